@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import minhash, shards, substring
 
-QUERIES = {"op1_substring_dedup": substring.op1_substring_dedup}
-ORACLES = {"op1_substring_dedup": substring.ORACLE}
+QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
+    "op3_feistel_sharding": shards.op3_feistel_sharding,
+    "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+}
+ORACLES = {
+    "op1_substring_dedup": substring.ORACLE,
+    "op3_feistel_sharding": shards.ORACLE,
+    "op4_minhash_near_dedup": minhash.ORACLE,
+}

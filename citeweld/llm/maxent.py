@@ -31,7 +31,7 @@ CLASSES = 32  # class 0 is the end of a text
 ROWS = 1 << 15  # rows of weights; row 0 is the bias
 BLOCK = 128  # rows of weights that travel together
 ROUNDS = 2
-RATE = 0.15
+RATE = 0.4
 BATCH = 16_384  # tokens of a gradient
 CHUNK_BYTES = 8 << 20
 ADD = 0.1  # smoothing of counts
@@ -78,7 +78,7 @@ class Trainer:
 
     def __init__(self, weights: np.ndarray) -> None:
         self.w = weights.copy()
-        self.seen = np.full(weights.shape, 1e-4, np.float32)
+        self.seen = np.full(weights.shape, 1.0, np.float32)
         self.count = 0
 
     def step(self, rows: np.ndarray, kind: np.ndarray) -> None:
@@ -179,18 +179,15 @@ def _score(shared: object):
         if not texts.num_rows:
             return pa.table({"did": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "log_counts": pa.array([], pa.float64()), "model": pa.array([], pa.float64()), "kinds": pa.array([], pa.list_(pa.int64()))})
         own = _words(texts.append_column("learn", pa.array(~ints(texts["held_out"], bool))).select(["chunk", "text", "learn"]))
-        word, count = ints(own["word"]), ints(own["n"]).copy()
+        word, count = ints(own["word"]).view(U), ints(own["n"]).copy()  # sorted as unsigned numbers
         if told.num_rows:
-            count[np.searchsorted(word, ints(told["word"]))] = ints(told["c"])
-        unsigned = word.view(U)
-        order = np.argsort(unsigned)
-        unsigned, count = unsigned[order], count[order]
+            count[np.searchsorted(word, ints(told["word"]).view(U))] = ints(told["c"])
         weights = shared.value
         out = [[] for _ in names[2:]]
         texts = texts.combine_chunks()
         for c in chunks(texts["text"], lower=True, limit=1 << 20):
             h, kind, text = tokens(c)
-            n = count[np.searchsorted(unsigned, h)]
+            n = count[np.searchsorted(word, h)]
             rows = rows_of(h, text)
             log_class = np.concatenate([log_softmax(weights, rows[:, at : at + BATCH])[np.arange(len(kind[at : at + BATCH])), kind[at : at + BATCH]] for at in range(0, len(h), BATCH)]).astype(float)
             logs = np.log10(n + ADD)

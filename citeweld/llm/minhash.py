@@ -5,10 +5,12 @@ Each class has 128 minima: 25 bands of five of them propose candidates, and the
 into 64 bytes, estimate the similarity of a candidate by bit counts, corrected for low bits that agree by chance.
 Estimates far below the threshold end a candidate; all others are confirmed on the full sets.
 
-A pair at the threshold of 0.85 shares no band with a chance of 4e-7. Buckets are compared in two rounds. In the
+A pair at the threshold of 0.85 shares no band with a chance of 4e-7. Buckets are compared in three rounds. In the
 first, each member meets the bucket's least member only; that links whole groups of copies. In the second, members of
-a bucket that are still in different components meet each other in blocks of bounded size, so no link between
-components is lost, and a group of m copies costs about m comparisons instead of m * m.
+a bucket that are in different components meet those that look most alike; that gathers the outlying copies. In the
+third, those that are still apart meet each other in blocks of bounded size, and 1,024 minima of each decide which
+pairs are confirmed on the full sets. So no link between components is lost, and a group of m copies costs a few times
+m confirmations instead of m * m.
 """
 
 from __future__ import annotations
@@ -30,9 +32,12 @@ BANDS, ROWS = 25, 5
 BITS = 4  # low bits that are kept of each minimum
 PERCENT = 85  # of the union that the intersection has to reach
 MARGIN = 0.18  # an estimate this far below the threshold ends a candidate: over five standard deviations
-BLOCK = 2048  # rows of a bucket that meet at once in the second round
+BLOCK = 2048  # rows of a bucket that meet at once
+BEST = 2  # partners that a member meets in the second round
+FINE = 1024  # minima of the third round
+FINE_MARGIN = 0.065
 
-_MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_MULTIPLIERS = mix(np.arange(1, FINE + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
 def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +60,18 @@ def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, U)), sizes
 
 
-def minima(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The HASHES minima of each set (starts: where it begins)."""
-    out = np.empty((len(starts), HASHES), U)
+def minima(sets: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """So many minima of each set (starts: where it begins)."""
+    out = np.empty((len(starts), hashes), U)
     if len(starts):
-        for i in range(HASHES):
+        for i in range(hashes):
             out[:, i] = np.minimum.reduceat(sets * _MULTIPLIERS[i], starts)
     return out
 
 
 def signatures(least: np.ndarray) -> np.ndarray:
     """Low bits of the minima, 16 to a word of 64 bits."""
-    low = (least & U((1 << BITS) - 1)).reshape(len(least), HASHES * BITS // 64, 64 // BITS)
+    low = (least & U((1 << BITS) - 1)).reshape(len(least), least.shape[1] * BITS // 64, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=U) * U(BITS)), axis=2)
 
 
@@ -75,7 +80,8 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a ^ b
     x = x | (x >> U(1))
     x = (x | (x >> U(2))) & U(0x1111111111111111)
-    same = (HASHES - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)) / HASHES
+    hashes = x.shape[-1] * 64 // BITS
+    same = (hashes - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)) / hashes
     chance = 1 / (1 << BITS)
     return (same - chance) / (1 - chance)
 
@@ -157,23 +163,45 @@ def _confirm(percent: int):
     return run
 
 
-def _meet(percent: int):
-    """Pairs of a block whose components differ and whose estimate is not far below the threshold."""
-    floor = percent / 100 - MARGIN
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of many minima."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            own = [np.frombuffer(x.as_buffer(), U) for x in part["shingles"]]
+            there = np.array([len(x) > 0 for x in own], bool)
+            starts = np.cumsum([0, *[len(x) for x in own]])[:-1][there]
+            sign = signatures(minima(np.concatenate(own), starts, FINE)) if there.any() else np.zeros((0, FINE * BITS // 64), U)
+            yield batch(node=ints(part["node"])[there], signature=_binary(sign, there[there]))
+
+
+def _meet(floor: float, best: int = 0):
+    """Pairs of a block whose components differ and whose estimate reaches floor; with best, so many partners of each.
+
+    A pair that shares several buckets is looked at in the first of them only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "block", 8192):
             block, node, comp, part, cross = (ints(t[c]) for c in ("block", "node", "component", "part", "cross"))
             sign = _matrix(t["signature"].combine_chunks())
+            bucket, bands = ints(t["bucket"]), ints(t["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
             out = []
             for s, m in zip(*runs(block), strict=True):
-                if m < 2:
-                    continue
-                for i in range(s, s + m - 1):
-                    rest = np.arange(i + 1, s + m)
+                for i in range(s, s + m):
+                    rest = np.arange(s if best else i + 1, s + m)
                     rest = rest[(comp[rest] != comp[i]) & (node[rest] != node[i]) & ((cross[rest] == 0) | (part[rest] != part[i]))]
                     if len(rest):
-                        rest = rest[estimates(sign[i], sign[rest]) >= floor]
+                        common = np.argmax(bands[rest] == bands[i], axis=1)
+                        rest = rest[bands[i][common] == bucket[i]]
+                    if not len(rest):
+                        continue
+                    alike = estimates(sign[i], sign[rest])
+                    if best and len(rest) > best:
+                        top = np.argpartition(-alike, best - 1)[:best]
+                        rest, alike = rest[top], alike[top]
+                    rest = rest[alike >= floor]
+                    if len(rest):
                         out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
             pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
             yield batch(a=pairs[0], b=pairs[1])
@@ -210,21 +238,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     sig = lambda side: reps.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}"))
     first = cut(confirmed(star.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent), "a long, b long")))
-    rest = members.where("node != head").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
-    dealt = (
-        rest.join(open_.select("bucket", parts.alias("parts")), "bucket")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("block", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-        .withColumn("cross", (F.col("part") != F.col("other")).cast("long"))
-        .join(reps.select("node", "signature"), "node")
-        .select("block", "node", "component", "part", "cross", "signature")
-    )
-    pairs = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_meet(percent), "a long, b long").distinct()
-    second = confirmed(pairs)
-    joined = components(first.unionByName(second))
+
+    def apart(edges: DataFrame, fine: bool) -> DataFrame:
+        """Members of buckets that hold several components, dealt into blocks that bring every two of a bucket together."""
+        rest = members.where("node != head").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+        parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+        dealt = (
+            rest.join(split.select("bucket", parts.alias("parts")), "bucket")
+            .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .withColumn("block", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+            .withColumn("cross", (F.col("part") != F.col("other")).cast("long"))
+        )
+        known = reps.select("node", "signature", "bands")
+        if fine:
+            there = rest.join(split.select("bucket"), "bucket").select("node").distinct()
+            known = sets.join(there, "node", "left_semi").mapInArrow(_fine, "node long, signature binary").join(reps.select("node", "bands"), "node")
+        return dealt.join(known, "node").select("block", "bucket", "node", "component", "part", "cross", "signature", "bands").repartition("block").sortWithinPartitions("block")
+
+    second = cut(first.unionByName(confirmed(apart(first, fine=False).mapInArrow(_meet(percent / 100 - MARGIN, BEST), "a long, b long").distinct())))
+    third = confirmed(apart(second, fine=True).mapInArrow(_meet(percent / 100 - FINE_MARGIN), "a long, b long").distinct())
+    joined = components(second.unionByName(third))
     named = classes.join(joined, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
     out = base.select("did", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print1")).alias("print1"), F.when(F.col("n_shingles") > 0, F.col("print2")).alias("print2")).join(named, ["print1", "print2"], "left")
     component = F.coalesce("component", "did")

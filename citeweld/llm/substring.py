@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import batch, ints, lists, runs, whole_groups
+from ._arrow import batch, ints, lists, runs, tidy, whole_groups
 from ._spark import from_key, id_key, read
 from ._words import U, Chunk, chunks, grams, mix, ranges
 
 WINDOW = 20  # words that make a repeat
 SEED = 8  # words of an anchor
-HOLD = 2_000_000  # anchors that a task holds before it settles what recurs among them
+HOLD = 1_000_000  # anchors that a task holds before it settles what recurs among them
 
 
 def _anchors(c: Chunk, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle_spans(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    x = {k: np.concatenate([p.pop(k) for p in parts]) for k in list(parts[0])}
     off = np.cumsum(x["n"]) - x["n"]
     order = np.lexsort((x["lo"], x["tie"], x["did"], x["n"], x["print"], x["k"]))
     s = {k: x[k][order] for k in ("k", "print", "n", "did", "tie", "lo")}
@@ -115,14 +115,10 @@ def _settle_spans(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch
         tie=np.r_[x["tie"][sent], s["tie"][dup]],
         lo=np.r_[x["lo"][sent], s["lo"][dup]].astype(np.int32),
         n=np.r_[n, s["n"][dup]].astype(np.int32),
-        windows=lists(parts_hash(parts)[ranges(off[sent], n)].view(np.int64), np.r_[n, np.zeros(dup.sum(), np.int64)]),
+        windows=lists(x["_w"][ranges(off[sent], n)].view(np.int64), np.r_[n, np.zeros(dup.sum(), np.int64)]),
     )
 
 
-def parts_hash(parts: list[dict[str, np.ndarray]]) -> np.ndarray:
-    return np.concatenate([p["_w"] for p in parts])
-
-
 def _spans(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -151,18 +147,14 @@ def _spans(window: int, seed: int):
                 parts.append({"k": g[lead[new]], "print": np.add.reduceat(mix(w + step.astype(U) * U(0x9E3779B97F4A7C15)), new), "n": n, "did": did[c.first + text[new]], "tie": tie[c.first + text[new]], "lo": start[new] - c.off[text[new]], "_w": w})
                 held += len(w)
                 if held >= 2 * HOLD:
-                    yield from _settle_parts(parts)
+                    yield from _settle_spans(parts)
                     parts, held = [], 0
         if parts:
-            yield from _settle_parts(parts)
+            yield from _settle_spans(parts)
 
     return run
 
 
-def _settle_parts(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    yield from _settle_spans([{**p} for p in parts])
-
-
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the windows under an anchor, those whose words start earlier too, as bits from lo on."""
     for t in whole_groups(batches, "k"):
@@ -264,14 +256,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"_c{i}" for i in range(len(carry))]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    seeds = texts.select("did", "text").mapInArrow(_seeds(window, seed), "k long, did long, pos int, known boolean")
-    places = seeds.repartition("k").sortWithinPartitions("k").mapInArrow(_recurring, "did long, pos int")
+    seeds = texts.select("did", "text").mapInArrow(tidy(_seeds(window, seed)), "k long, did long, pos int, known boolean")
+    places = seeds.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_recurring), "did long, pos int")
     by_doc = places.groupBy("did").agg(F.collect_list("pos").alias("seeds"))
-    spans = texts.join(by_doc.hint("shuffle_hash"), "did").select("did", "tie", "text", "seeds").mapInArrow(_spans(window, seed), "k long, did long, tie long, lo int, n int, windows array<long>")
-    repeats = spans.repartition("k").sortWithinPartitions("k").mapInArrow(_repeats, "did long, tie long, lo int, bits long")
+    spans = texts.join(by_doc.hint("shuffle_hash"), "did").select("did", "tie", "text", "seeds").mapInArrow(tidy(_spans(window, seed)), "k long, did long, tie long, lo int, n int, windows array<long>")
+    repeats = spans.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_repeats), "did long, tie long, lo int, bits long")
     found = repeats.groupBy("did").agg(F.collect_list(F.struct("tie", "lo", "bits")).alias("found"))
     kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
-    out = texts.join(found.hint("shuffle_hash"), "did", "left").mapInArrow(_cut(window, ["did", *names]), f"did long{kinds}, n_words long, n_removed long, kept string, kept_layout string, removed array<struct<start: long, words: long>>")
+    out = texts.join(found.hint("shuffle_hash"), "did", "left").mapInArrow(tidy(_cut(window, ["did", *names])), f"did long{kinds}, n_words long, n_removed long, kept string, kept_layout string, removed array<struct<start: long, words: long>>")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_words", "n_removed", "kept", "kept_layout", "removed")
 
 

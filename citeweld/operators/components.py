@@ -1,0 +1,35 @@
+"""Connected components of an edge table, and checkpoints."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))  # only where the session names none
+    return df.checkpoint(eager=True)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b): component is the least node that can be reached.
+
+    Each round every node takes the least label of itself and its neighbours, then the label of its label; rounds end when
+    no label changes. Labels travel by grouped minima and joins, so nothing is gathered on the driver or in one task.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("step"), "label")
+        jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
+        after = cut(step.join(jump, "step", "left").select("node", F.least("step", F.coalesce("far", "step")).alias("now"), "label"))
+        changed = after.where("now != label").isEmpty()
+        labels = after.select("node", F.col("now").alias("label"))
+        if changed:
+            return labels.withColumnRenamed("label", "component")

@@ -1,7 +1,352 @@
-"""The queries of the record-linkage engine over the driver's tables."""
+"""The queries of the record-linkage engine over the driver's tables, each with DuckDB's SQL where SQL can state it.
+
+The tables hold no bibliography, so each operator works on the column that comes closest to its field.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions import columns as C
+from ..functions.similarity import jaro_winkler_many
+from ..operators import evaluate
+from ..operators.enrich import cumulative_percent, enriched
+from ..sources import writers
+from . import linkage
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "linkage_documents"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+FIRST_LINE = "split_part(text, chr(10), 1)"
+
+
+def first_line() -> Column:
+    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+
+# fields
+
+
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
+def year_extract(spark, d):
+    return t(spark, d, "orders").groupBy(C.year(F.col("o_orderdate").cast("string")).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN 1500 + o_orderkey % 700 < 1850 THEN 0 ELSE 1500 + o_orderkey % 700 END AS INTEGER) AS year FROM orders")
+def year_floor(spark, d):
+    text = F.concat(F.lit("c"), (F.lit(1500) + F.col("o_orderkey") % 700).cast("string"), F.lit(" ed. 12345"))
+    return t(spark, d, "orders").select("o_orderkey", C.year(text).alias("year"))
+
+
+@query("SELECT page_id, '10.1234/ab-' || page_id || '|10.' || (5000 + page_id % 100) || '/x(' || page_id || ')y' AS dois FROM pages")
+def doi_extract(spark, d):
+    k = F.col("page_id").cast("string")
+    text = F.concat(F.lit("https://doi.org/10.1234/AB-"), k, F.lit("., doi:10."), (F.lit(5000) + F.col("page_id") % 100).cast("string"), F.lit("%2FX("), k, F.lit(")y 10.1234/ab-"), k)
+    return t(spark, d, "pages").select("page_id", F.array_join(C.dois(text), "|").alias("dois"))
+
+
+@query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS issns, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS isbns FROM part")
+def issn_isbn_classify(spark, d):
+    k = F.col("p_partkey").cast("string")
+    a, b = F.lpad(k, 8, "0"), F.lpad(k, 9, "0")
+    text = F.concat(F.substring(a, 1, 4), F.lit("-"), F.substring(a, 5, 4), F.lit(" (print) 978-"), b, F.lit("x "), b, F.lit("X 123456 "), a)
+    return t(spark, d, "part").select("p_partkey", F.array_join(C.issns(text), "|").alias("issns"), F.array_join(C.isbns(text), "|").alias("isbns"))
+
+
+_LATIN = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')"
+_STEPS = (
+    ("(\\(?(chinese|dutch|french|german|italian|japanese|polish|russian|spanish)( text)?\\)?)$", ""),
+    ("(\\(author''s transl\\))$", ""),
+    ("^case (reports?|series|[-0-9]+)[.:] ", ""),
+    (".\\[[^\\\\]+\\]$", ""),
+    ("<[^>]+>+", ""),
+    ("[()]", ""),
+    ("-", ""),
+    ("[^a-z0-9]", " "),
+)
+
+
+def _title_sql(x: str) -> str:
+    s = "lower(replace(" + _LATIN.format(f"regexp_replace({x}, '([!\"#%&''(*,\\-./:;?@\\[\\\\_{{}}¡§«¶·»¿‐-‧]+)$', '')") + ", '\"', ''))"
+    for pattern, new in _STEPS:
+        s = f"regexp_replace({s}, '{pattern}', '{new}', 'g')"
+    return f"trim(regexp_replace(regexp_replace(trim({s}), ' {{2,}}', ' ', 'g'), '^(the|a|an) ', ''))"
+
+
+@query(f"SELECT doc_id, {_title_sql(FIRST_LINE)} AS title FROM documents")
+def title_normalize(spark, d):
+    return t(spark, d, "documents").select("doc_id", C.title(first_line()).alias("title"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>+', '', 'g') AS text FROM pages")
+def strip_html_tags(spark, d):
+    return t(spark, d, "pages").select("page_id", C.without_tags(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, {_LATIN.format('text')} AS text FROM documents")
+def basic_latin_fold(spark, d):
+    return t(spark, d, "documents").select("doc_id", C.basic_latin(F.col("text")).alias("text"))
+
+
+@query("SELECT c_custkey, 'van Dorn' || chr(97 + CAST(c_custkey % 26 AS INTEGER)) || ' Meer ' || chr(65 + CAST(c_nationkey AS INTEGER)) || 'J' AS author, 'Meer ' || chr(65 + CAST(c_nationkey AS INTEGER)) || 'JVD' AS transposed, true AS is_transposed FROM customer")
+def author_initials(spark, d):
+    name = F.concat(F.lit("van Dorn"), F.char(F.lit(97) + F.col("c_custkey") % 26), F.lit(" Meer, "), F.char(F.lit(65) + F.col("c_nationkey")), F.lit(". Jan"))
+    return t(spark, d, "customer").select("c_custkey", C.author(name).alias("x")).select("c_custkey", "x.author", "x.transposed", "x.is_transposed")
+
+
+@query("SELECT o_custkey, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey)[1:40], '; ') AS authors FROM orders GROUP BY o_custkey")
+def authors_joined(spark, d):
+    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(C.all_authors(keys).alias("authors"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= length(CAST(l_suppkey AS VARCHAR)) THEN l_partkey || '-' || substr(CAST(l_partkey AS VARCHAR), 1, length(CAST(l_partkey AS VARCHAR)) - length(CAST(l_suppkey AS VARCHAR))) || l_suppkey ELSE l_partkey || '-' || l_suppkey END AS pages FROM lineitem")
+def page_range_expand(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.page_range(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("pages"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS INTEGER) AS value FROM part")
+def roman_to_int(spark, d):
+    tens = F.array(*map(F.lit, ("", "X", "XX", "XXX", "XL", "L")))
+    ones = F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
+    text = F.lower(F.concat(F.get(tens, F.expr("int(p_size div 10)")), F.get(ones, F.col("p_size") % 10)))
+    return t(spark, d, "part").select("p_partkey", C.roman(text).alias("value"))
+
+
+@query("SELECT n_nationkey, [n_name, r_name, reverse(n_name), reverse(r_name)] AS titles FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reversed_titles(spark, d):
+    both = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows by the table's definition
+    return both.select("n_nationkey", C.with_reversed(F.array("n_name", "r_name")).alias("titles"))
+
+
+@query("SELECT doc_id, regexp_matches(lower(l), '^(?:(^C(omment|OMMENT)|^R[Ee]: .+|.*\\breply\\b.*|.*author(.+)respon.*|^response$))$') OR regexp_matches(l, '^(?:(e)?(Comment|COMMENT)(|s|S|ary)\\b.*|.+[cC]omment(|s|ary)( from| on| to)?:? ([A-Z''\"]|the).+|.+[Cc]omment(|s|ary)|.+COMMENT|.*[Ii]nvited [Cc]ommen.+)$') AS is_reply, regexp_matches(lower(l), '^(?:.*phase\\s[0-9i].*)$') AS is_phase, regexp_matches(l, '\\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)') AS has_month FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Reply to ' ELSE '' END || split_part(text, chr(10), 1) || CASE doc_id % 6 WHEN 1 THEN ' comment' WHEN 2 THEN ' phase 2 x' WHEN 3 THEN ' 01 June' ELSE '' END AS l FROM documents)")
+def title_flags(spark, d):
+    k = F.col("doc_id") % 6
+    line = F.concat(F.when(k == 0, "Reply to ").otherwise(""), first_line(), F.when(k == 1, " comment").when(k == 2, " phase 2 x").when(k == 3, " 01 June").otherwise(""))
+    return t(spark, d, "documents").select("doc_id", C.is_reply(line).alias("is_reply"), C.is_phase(line).alias("is_phase"), C.names_month(line).alias("has_month"))
+
+
+# comparison
+
+
+@query("SELECT a.p_partkey, regexp_matches(b.p_name, '(?i)\\b' || array_to_string(list_transform(string_split(a.p_name, ' '), lambda w: substr(w, 1, 3)), '.*\\b') || '.*') AS alike FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 2")
+def journal_abbreviation(spark, d):
+    a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
+    short = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 3)), " ")
+    return a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 2).join(b, "k").select("p_partkey", C.abbreviates(short, F.col("other")).alias("alike"))
+
+
+@query("SELECT a.p_partkey, regexp_matches(b.p_type, '(?i)\\b' || array_to_string(list_transform(string_split(upper(a.p_type), ' '), lambda w: substr(w, 1, 1)), '.*\\b') || '.*') AS alike FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 3")
+def journal_initialism(spark, d):
+    a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("other"))
+    short = F.array_join(F.transform(F.split(F.upper("p_type"), " "), lambda w: F.substring(w, 1, 1)), "")
+    return a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 3).join(b, "k").select("p_partkey", C.initials_of(short, F.col("other")).alias("alike"))
+
+
+@query("SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 5")
+def jaro_winkler_names(spark, d):
+    """With half transpositions rounded down, which is how the SQL function counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["p_partkey"], pa.array(jaro_winkler_many(b["p_name"].to_pylist(), b["other"].to_pylist(), floor=True))], names=["p_partkey", "similarity"])
+
+    a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
+    pairs = a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 5).join(b, "k").select("p_partkey", "p_name", "other")
+    return pairs.mapInArrow(run, "p_partkey long, similarity double").select("p_partkey", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(year(a.o_orderdate) - year(b.o_orderdate)) <= 1")
+def year_band_join(spark, d):
+    """Pairs of near years by equal keys: a year meets itself and the one before."""
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
+    left = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("y").alias("band"), F.col("y").alias("ya"))
+    right = o.select("o_custkey", F.col("o_orderkey").alias("b"), F.explode(F.array("y", F.col("y") + 1)).alias("band"), F.col("y").alias("yb"))
+    met = left.join(right, ["o_custkey", "band"]).where((F.col("ya") > F.col("yb")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+@query("SELECT a.doc_id, list_has_any(string_split(split_part(a.text, chr(10), 1), ' '), string_split(split_part(b.text, chr(10), 1), ' ')) AS overlap FROM documents a JOIN documents b ON b.doc_id = a.doc_id - a.doc_id % 4")
+def set_overlap(spark, d):
+    words = F.split(first_line(), " ")
+    a = t(spark, d, "documents").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("k"), words.alias("own"))
+    b = t(spark, d, "documents").select(F.col("doc_id").alias("k"), words.alias("other"))
+    return a.join(b, "k").select("doc_id", C.overlap(F.col("own"), F.col("other")).alias("overlap"))
+
+
+# whole linkage
+
+
+def document_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items: the first line as title, the length as start page, the hash of the text as DOI."""
+    none = {f.name: F.lit(None).cast(f.dataType) if f.nullable else F.array().cast(f.dataType) if f.dataType == schema.STRINGS else F.lit(False) for f in schema.ITEM.fields}
+    title = C.title(first_line())
+    found = {
+        "pos": F.col("doc_id") + 1, "id": F.col("doc_id") + 1, "reference_type": F.lit("JOUR"), "year": (F.lit(2000) + F.col("doc_id") % 2).cast("int"), "titles": F.filter(F.array(title), lambda x: x != ""),
+        "journals": F.array("lang"), "dois": F.array(F.concat(F.lit("10.1234/"), F.md5(F.col("text").cast("binary")))), "page_start": F.col("n_chars").cast("string"), "pages_output": F.col("n_chars").cast("string"),
+    }
+    return t(spark, d, "documents").select(*[found.get(c, none[c]).alias(c) for c in none])
+
+
+@query()
+def linkage_documents(spark, d):
+    """All steps of a run; labels depend on the order of records, which SQL cannot state: see tests/test_linkage.py."""
+    return linkage.link(document_items(spark, d)).select("id", "label", "is_reply")
+
+
+@query("SELECT min(doc_id) AS first, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def exact_duplicate_sets(spark, d):
+    return t(spark, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("k")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")).where("n > 1").drop("k")
+
+
+@query("SELECT doc_id, CAST(min(doc_id) OVER (PARTITION BY md5(text)) AS BIGINT) AS label FROM documents")
+def mark_all(spark, d):
+    """Every row with its set's first id; sets are reduced first and joined, so a large set is never one task's window."""
+    docs = t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"))
+    return docs.join(docs.groupBy("k").agg(F.min("doc_id").alias("label")), "k").select("doc_id", "label")
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as items with their customer as label."""
+    none = {f.name: F.lit(None).cast(f.dataType) if f.nullable else F.array().cast(f.dataType) if f.dataType == schema.STRINGS else F.lit(False) for f in schema.ITEM.fields}
+    found = {
+        "pos": F.col("o_orderkey"), "id": F.col("o_orderkey"), "label": F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")), "is_reply": F.col("o_orderkey") % 2 == 0, "is_trial": F.col("o_orderkey") % 11 == 0,
+        "year": F.when(F.col("o_orderkey") % 4 == 0, F.lit(0)).otherwise(F.year("o_orderdate")), "title": F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"))), "dois": F.array("o_orderpriority"),
+        "pages_output": F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))), "is_cochrane": F.col("o_orderkey") % 13 == 0,
+    }
+    return t(spark, d, "orders").select(*[found.get(c, none[c]).alias(c) for c in none])
+
+
+_SETS = """WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS label, o_orderkey % 2 = 0 AS reply, o_orderkey % 11 = 0 AS trial, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(year(o_orderdate) AS INTEGER) END AS y,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || ' ' || o_orderkey END AS title, o_orderpriority AS doi, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '' ELSE 'p' || o_orderkey END AS pages, o_orderkey % 13 = 0 AS coch FROM orders),
+f AS (SELECT *, CASE WHEN label IS NULL THEN true ELSE id = min(id) OVER (PARTITION BY label) END AS kept FROM i),
+g AS (SELECT label, arg_max(title, (length(title), -id)) AS longest, arg_min(title, (length(title), id)) AS shortest, list(doi ORDER BY id) AS dois, arg_min(y, id) FILTER (y <> 0) AS yy, arg_min(pages, id) FILTER (pages IS NOT NULL) AS pp FROM f WHERE label IS NOT NULL AND NOT kept GROUP BY label)"""
+
+
+@query(
+    _SETS
+    + """ SELECT id, kept, CASE WHEN f.label IS NOT NULL AND kept AND trial THEN CASE WHEN title IS NULL OR length(title) > length(shortest) THEN coalesce(shortest, title) ELSE title END
+WHEN f.label IS NOT NULL AND kept AND (reply OR title IS NOT NULL) THEN CASE WHEN title IS NULL OR length(title) < length(longest) THEN coalesce(longest, title) ELSE title END ELSE title END AS title,
+CASE WHEN f.label IS NOT NULL AND kept AND y = 0 THEN coalesce(yy, 0) ELSE y END AS year FROM f LEFT JOIN g ON f.label = g.label"""
+)
+def enrich_titles_years(spark, d):
+    return enriched(_sets(spark, d)).select("id", "kept", "title", "year")
+
+
+@query(
+    _SETS
+    + """, h AS (SELECT f.*, g.dois, g.pp, CASE WHEN coch AND (kept OR f.label IS NULL) THEN upper(pages) ELSE pages END AS own FROM f LEFT JOIN g ON f.label = g.label)
+SELECT id, CASE WHEN label IS NOT NULL AND kept AND (own IS NULL OR own = '') THEN coalesce(pp, own) ELSE own END AS pages_output, CASE WHEN label IS NOT NULL AND kept THEN array_to_string(list_sort(list_distinct(list_prepend(doi, coalesce(dois, [])))), '|') ELSE doi END AS dois FROM h"""
+)
+def enrich_pages_dois(spark, d):
+    return enriched(_sets(spark, d)).select("id", "pages_output", F.array_join(F.array_sort("dois"), "|").alias("dois"))
+
+
+@query("SELECT doc_id FROM documents n WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = n.text)")
+def new_not_in_old(spark, d):
+    key = F.md5(F.col("text").cast("binary")).alias("k")
+    docs = t(spark, d, "documents").select("doc_id", key)
+    return docs.where("doc_id % 2 = 1").join(docs.where("doc_id % 2 = 0").select("k"), "k", "left_anti").select("doc_id")
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(_SETS + " SELECT count(*) AS total, count(label) AS labelled, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS written FROM f")
+def counts_report(spark, d):
+    return enriched(_sets(spark, d)).agg(F.count(F.lit(1)).alias("total"), F.count("label").alias("labelled"), F.sum(F.col("kept").cast("long")).alias("written"))
+
+
+@query("SELECT y AS year, CAST(floor(sum(n) OVER (ORDER BY y DESC) * 100 / sum(n) OVER ()) AS INTEGER) AS percent FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1)")
+def cumulative_percentages(spark, d):
+    return cumulative_percent(t(spark, d, "orders").select(F.year("o_orderdate").alias("year")))
+
+
+@query("SELECT s_suppkey, 'TY  - JOUR' || chr(10) || 'AU  - ' || s_name || chr(10) || 'PY  - ' || (1900 + s_nationkey) || chr(10) || 'T2  - ' || n_name || chr(10) || 'ID  - ' || s_suppkey || chr(10) || 'ER  - ' || chr(10) AS record FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def ris_serialise(spark, d):
+    both = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    tags = F.create_map(F.lit("T2"), F.col("n_name"), F.lit("ID"), F.col("s_suppkey").cast("string"), F.lit("PY"), (F.lit(1900) + F.col("s_nationkey")).cast("string"), F.lit("AU"), F.col("s_name"), F.lit("TY"), F.lit("JOUR"))
+    return both.select("s_suppkey", writers.serialised(tags).alias("record"))
+
+
+# evaluation
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    labels = t(spark, d, "labels")
+    result = labels.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - F.col("doc_id") % 9).alias("dedupid"))
+    truth = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, F.col("doc_id") - F.col("doc_id") % 7).alias("dedupid"))
+    return evaluate.classified(result, truth)
+
+
+_JUDGED = """WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN doc_id - doc_id % 9 END AS v, CASE WHEN quality = 1 THEN doc_id - doc_id % 7 END AS t FROM labels),
+o AS (SELECT id, v, t, CASE WHEN v IS NULL THEN CASE WHEN t IS NULL OR t = id THEN 'TN' ELSE 'FN' END WHEN id = v OR EXISTS (SELECT 1 FROM r s WHERE s.t = r.t AND s.id = r.v) THEN 'TP' ELSE 'FP' END AS outcome FROM r)"""
+
+
+@query(_JUDGED + " SELECT id, v AS dedupid, t AS truth_dedupid, outcome FROM o")
+def confusion_classes(spark, d):
+    return _judged(spark, d)
+
+
+@query(
+    _JUDGED
+    + """, c AS (SELECT count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'TN') AS tn, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'TP' AND id = v) AS unique_duplicates FROM o)
+SELECT *, round(tp / (tp + fn), 9) AS sensitivity, round(tn / (tn + fp), 9) AS specificity, round(tp / (tp + fp), 9) AS precision, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp + fn) / (tp + tn + fp + fn), 9) AS duplicates FROM c"""
+)
+def evaluation_metrics(spark, d):
+    m = evaluate.metrics(_judged(spark, d))
+    rates = {"sensitivity", "specificity", "precision", "accuracy", "f1", "duplicates"}
+    return m.select(*[F.round(c, 9).alias(c) if c in rates else F.col(c) for c in m.columns])
+
+
+@query(_JUDGED + " SELECT outcome, least(id, w) AS first, greatest(id, w) AS second FROM (SELECT *, CASE outcome WHEN 'FN' THEN t ELSE v END AS w FROM o WHERE outcome IN ('FN', 'FP')) WHERE w IS NOT NULL AND w <> id")
+def wrong_pairs(spark, d):
+    return evaluate.wrong_pairs(_judged(spark, d))
+
+
+@query("WITH m AS (SELECT l_orderkey - min(l_orderkey) OVER () + 1 AS id, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1), s AS (SELECT k, list_sort(list_distinct(list(id))) AS s FROM m GROUP BY k) SELECT id, array_to_string(s, ',') AS set FROM m JOIN s USING (k)")
+def gold_sets(spark, d):
+    pairs = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("duplicate_id"))
+    return evaluate.gold_sets(pairs).select("id", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("set"))
+
+
+@query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.98) AS p98, quantile_disc(l_extendedprice, 0.5) AS p50 FROM lineitem GROUP BY l_returnflag")
+def percentile_rank(spark, d):
+    """Nearest rank."""
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.98) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p98"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p50"))
+
+
+@query(f"SELECT title, n FROM (SELECT {_title_sql(FIRST_LINE)} AS title, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, title LIMIT 500")
+def top_titles(spark, d):
+    """The 500 most frequent titles: a limit that is the feature."""
+    return t(spark, d, "documents").groupBy(C.title(first_line()).alias("title")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(500)
+
+
+@query("SELECT o_custkey, arg_max(o_orderpriority, (length(o_orderpriority), -o_orderkey)) AS longest, arg_min(o_orderpriority, (length(o_orderpriority), o_orderkey)) AS shortest FROM orders GROUP BY o_custkey")
+def longest_and_shortest(spark, d):
+    size = F.length("o_orderpriority")
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct(size, -F.col("o_orderkey"))).alias("longest"), F.min_by("o_orderpriority", F.struct(size, F.col("o_orderkey"))).alias("shortest"))

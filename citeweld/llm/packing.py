@@ -6,14 +6,13 @@ where the seed ends before the window does, the best unused neighbours of the se
 neighbour that does not fit goes on in the next window, as its seed. Every window of a shard is full; what is left
 at a shard's end goes into windows whose lengths are powers of two, so nothing is padded.
 
-Texts are tokenised piece by piece: a byte-level BPE never joins a letter to a single space after it, so pieces between
-such places have ids of their own, which a bounded cache remembers.
+Ids are those of a tokenizer file, whose path is a parameter.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,38 +30,64 @@ SHARD_BYTES = 4 << 20  # texts of a shard
 TERMS = 1 << 18  # hashed terms of the index
 QUERY = 12  # terms of a seed that are looked up: those that weigh most
 K1, B = 1.2, 0.75
-CACHE = 300_000  # pieces that a worker remembers
 
-#: Between a character and a single space that another character follows.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Fixed value: how a byte-level BPE splits a text before it merges.
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_tokenizers: dict[str, Coder] = {}
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers."""
-    if path not in _tokenizers:
+class Coder:
+    """Ids of a tokenizer file. Where its merges are in the order of its ids, as those of a plain byte-level BPE are, a faster
+    library merges by the same ranks; other files, and texts that hold a special token, go to the file's own library."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-    cut = [_CUT.split(t) for t in texts]
-    new = list({p for pieces in cut for p in pieces if p not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({p for pieces in cut for p in pieces})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for p, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        self.own = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file.get("added_tokens", ())]
+        self.fast = self._ranked(file)
+
+    def _ranked(self, file: dict) -> object | None:
+        model, before = file["model"], file.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not file.get("normalizer")
+        if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        order = [model["vocab"][m] for m in merges]
+        if order != sorted(set(order)):
+            return None
+        import tiktoken
+
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+        byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if self.fast is None or any(s in t for s in self.special):
+                out.append(np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(np.array(self.fast.encode_ordinary(t), "<u4").tobytes())
+        return out
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit numbers."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Coder(path)
+    return _tokenizers[path].encode(texts)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(TERMS, np.int64)
     docs = words = 0
     for b in batches:
-        for c in chunks(b["text"], lower=True):
+        for c in chunks(b["text"], lower=True, limit=1 << 20):
             key = np.unique(c.owner().astype(U) * U(TERMS) + (c.hash & U(TERMS - 1)))
             found += np.bincount((key & U(TERMS - 1)).astype(np.int64), minlength=TERMS)
             docs += c.texts
@@ -71,26 +96,36 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[term, -1, -2]), pa.array(np.r_[found[term], docs, words])], names=["term", "n"])
 
 
+def _by(numbers: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 2**32, by their 16-bit halves."""
+    order = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (numbers >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 class Index:
     """BM25 over the documents of a shard."""
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> None:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1e-9)))
         self.docs = len(length)
-        order = np.lexsort((doc, term))
+        order = _by(term)
         self.posting_doc, self.posting_weight = doc[order], self.weight[order]
         self.terms, self.first = np.unique(term[order], return_index=True)
         self.size = np.diff(np.r_[self.first, len(order)])
-        # the terms of each document that weigh most
-        by = np.lexsort((term, -self.weight, doc))
+        # the terms of each document that weigh most; rows come by document
+        top = float(self.weight.max(initial=0)) or 1.0
+        by = _by(65_535 - (self.weight / top * 65_535).astype(np.int64))
+        by = by[_by(doc[by])]
         start, n = runs(doc[by])
-        self.query = {int(doc[by][s]): np.searchsorted(self.terms, term[by][s : s + min(m, QUERY)]) for s, m in zip(start, n, strict=True)}
+        rank = np.arange(len(by)) - np.repeat(start, n)
+        best = by[rank < QUERY]
+        self.query_term = np.searchsorted(self.terms, term[best])
+        self.query_end = np.cumsum(np.bincount(doc[best], minlength=self.docs))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a queried term with the seed, best first."""
-        q = self.query.get(seed)
-        if q is None:
-            return
+        q = self.query_term[self.query_end[seed - 1] if seed else 0 : self.query_end[seed]]
         at = ranges(self.first[q], self.size[q])
         scores = np.bincount(self.posting_doc[at], self.posting_weight[at], self.docs)
         scores[~unused] = 0

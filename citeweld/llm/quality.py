@@ -134,11 +134,11 @@ def fit(ptr: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarra
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        label = ints(b["label"])
         for c in chunks(b["text"]):
             who, bucket, value, stats = features(c)
             size = np.bincount(who, minlength=c.texts)
-            yield pa.RecordBatch.from_arrays([pa.array(label[c.first : c.first + c.texts]), lists(bucket.astype(np.int32), size), lists(value.astype(np.float32), size), lists(stats.reshape(-1), np.full(c.texts, stats.shape[1]))], names=["label", "bucket", "value", "stats"])
+            part = b.slice(c.first, c.texts)
+            yield pa.RecordBatch.from_arrays([part["did"], part["tie"], part["label"], lists(bucket.astype(np.int32), size), lists(value.astype(np.float32), size), lists(stats.reshape(-1), np.full(c.texts, stats.shape[1]))], names=["did", "tie", "label", "bucket", "value", "stats"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     picked = known.orderBy(F.xxhash64("did"), "did").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # max_train rows of two longs are the proven size of the broadcast side
-    found = texts.join(F.broadcast(picked), "did").select("label", "text").mapInArrow(_collect, "label long, bucket array<int>, value array<float>, stats array<double>").toArrow()
+    found = texts.join(F.broadcast(picked), "did").select("did", F.xxhash64("text").alias("tie"), "label", "text").mapInArrow(_collect, "did long, tie long, label long, bucket array<int>, value array<float>, stats array<double>").toArrow()
     if not found.num_rows:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(STATS))), np.zeros(0))
     found = found.combine_chunks()
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     stats = found["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
     at, value = ints(bucket.flatten()), found["value"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
     # rows come in any order: sort them, so that a fit can be repeated
-    order = np.lexsort((label, at[np.minimum(np.cumsum(size) - size, max(len(at) - 1, 0))] if len(at) else label, stats[:, 8], stats[:, 0]))
+    order = np.lexsort((ints(found["tie"]), ints(found["did"])))
     rows = np.repeat((np.cumsum(size) - size)[order], size[order]) + np.arange(size.sum()) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
     return fit(np.r_[0, np.cumsum(size[order])].astype(np.int64), at[rows], value[rows], stats[order], label[order].astype(float))
 

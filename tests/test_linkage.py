@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeweld.config import MatchConfig, Mode
 from citeweld.functions.similarity import jaro_winkler, jaro_winkler_many
@@ -196,3 +197,26 @@ def test_streaming_absorbs_new_files(spark, tmp_path):
         watch(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "store")).count() == expected
         (tmp_path / "in" / "b.ris").write_text(paper(1, "2011", SP="12") + paper(2, title="Another work on quite different things", SP="99"))
+
+
+def test_pairs_can_be_explained_and_tests_replaced(spark, save):
+    items = ris.read_items(spark, save(paper(1, SP="12") + paper(2, SP="13", journal="J Med")))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    r = predicates.explained(items, pairs).first()
+    assert (r.pages_or_dois, r.same_work, r.journals) == (False, None, True) and r.authors == 1 and r.titles == 1
+    assert predicates.compared(items, pairs).count() == 0
+    assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True)).first().plain
+    assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True), journals_test=lambda *_: False).count() == 0
+    assert predicates.compared(items, pairs, MatchConfig(authors=1.0), pages_test=lambda: F.lit(True)).where("plain").count() == 0
+
+
+def test_truth_output(spark, save, tmp_path):
+    records = ris.read_records(spark, save(paper(1, SP="12", DO="10.1/x") + paper(2) + paper(3)))
+    truth = spark.createDataFrame([(1, 1, True), (2, None, False)], "id int, dedupid int, validated boolean")
+    lines = [r.value for r in writers.truth_lines(records, truth).orderBy("pos").collect()]
+    assert "CA  - Duplicate" in lines[0] and "LB  - 1" in lines[0] and "CA  - Unknown" in lines[1] and "CA  - Unknown" in lines[2]
+    assert "CA  - DUPLICATE" in writers.truth_lines(records, truth, by_validation=True).orderBy("pos").first().value
+    items = ris.items(records).withColumn("label", F.lit("1"))
+    writers.write_table(writers.truth_rows(records, items), str(tmp_path / "truth"))
+    back = tables.read_truth(spark, str(tmp_path / "truth")).orderBy("id").collect()
+    assert [r.id for r in back] == [1, 2, 3] and back[0].dedupid == 1 and back[0].pages == "12" and back[0].number_authors == 2 and back[0].authors == "Smith, Arthur; Doe, Jane"

@@ -95,7 +95,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = named.where("size > 0").select("source_no", "doc", "size", "before", F.explode(F.sequence(F.expr(f"before div {block}L"), F.expr(f"(before + size - 1) div {block}L"))).alias("block"))
     start, end = F.greatest(F.col("block") * block, F.col("before")), F.least((F.col("block") + 1) * block, F.col("before") + F.col("size"))
     parts = laid.select("source_no", "block", "doc", (start - F.col("before")).alias("from_word"), (end - start).alias("words"))
-    pieces = drawn.join(parts, ["source_no", "block"]).select("shard", "place", "source_no", "block", "epoch", "doc", "from_word", "words")
+    # neither side has a bound: slots look as small as the sources that they unfold from, so the join is stated
+    pieces = drawn.hint("merge").join(parts, ["source_no", "block"]).select("shard", "place", "source_no", "block", "epoch", "doc", "from_word", "words")
     return named, pieces, sources
 
 

@@ -3,7 +3,8 @@
 A text's five-word shingles are hashed once each. The top bits of a hash choose one of 128 bins, the bin keeps its least
 hash. An empty bin takes the value of the first filled bin in a random order of all bins that belongs to it (optimal
 densification: every filled bin is as likely), so two texts fill it alike where they agree. The low four bits of the
-128 values are written as hexadecimal digits. The share of equal digits, corrected for digits that agree by chance,
+128 values, each hashed once more with its bin so that a value in several bins is not compared several times alike, are
+written as hexadecimal digits. The share of equal digits, corrected for digits that agree by chance,
 estimates the similarity of the shingle sets.
 """
 
@@ -51,7 +52,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     tries = [F.lit([o[k] for o in orders]) for k in range(PROBES)]
     rest = F.lit([o[PROBES:] for o in orders])
     last = lambda j: F.get(t("s"), F.get(F.filter(F.get(rest, j), lambda b: F.get(t("s"), b).isNotNull()), F.lit(0)))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.lower(F.hex(F.coalesce(F.get(t("s"), j), *[F.get(t("s"), F.get(p, j)) for p in tries], last(j)).bitwiseAND(F.lit(15).cast("long")))))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.lower(F.hex(F.xxhash64(F.coalesce(F.get(t("s"), j), *[F.get(t("s"), F.get(p, j)) for p in tries], last(j)), j).bitwiseAND(F.lit(15).cast("long")))))
     return df.withColumn(out, F.array_join(dense, "")).drop(*[name(x) for x in "whmbs"])
 
 

@@ -10,8 +10,6 @@ estimates the similarity of the shingle sets.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +17,7 @@ from ._spark import SPACE, cut, from_key, id_key, in_order, read
 
 BINS = 128
 SHINGLE = 5
-PROBES = 12  # bins that are tried one by one before the whole order is searched
-
-
-def _orders(bins: int = BINS) -> list[list[int]]:
-    """For each bin the order in which other bins are tried, from a fixed seed."""
-    out = []
-    for j in range(bins):
-        others = [b for b in range(bins) if b != j]
-        random.Random(1_000_003 * j + bins).shuffle(others)
-        out.append(others)
-    return out
+PROBES = 12  # bins that are tried one by one before the filled ones are ranked
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -48,11 +36,10 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     df = df.withColumn(name("m"), F.filter(t("h"), lambda h, i: (i == 0) | (bin_of(F.get(t("h"), i - 1)) != bin_of(h))))
     df = df.withColumn(name("b"), F.transform(t("m"), bin_of))
     df = df.withColumn(name("s"), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.get(t("m"), (F.array_position(t("b"), j) - 1).cast("int"))))
-    orders = _orders()
-    tries = [F.lit([o[k] for o in orders]) for k in range(PROBES)]
-    rest = F.lit([o[PROBES:] for o in orders])
-    last = lambda j: F.get(t("s"), F.get(F.filter(F.get(rest, j), lambda b: F.get(t("s"), b).isNotNull()), F.lit(0)))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.lower(F.hex(F.xxhash64(F.coalesce(F.get(t("s"), j), *[F.get(t("s"), F.get(p, j)) for p in tries], last(j)), j).bitwiseAND(F.lit(15).cast("long")))))
+    # bin j tries bins that a hash of (j, try) names; after PROBES of them, the filled bins in the order of a hash of (j, bin)
+    tries = lambda j: [F.get(t("s"), F.pmod(F.xxhash64(j, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
+    last = lambda j: F.array_min(F.transform(t("m"), lambda v: F.struct(F.xxhash64(j, F.lit("rank"), bin_of(v)).alias("r"), v.alias("v"))))["v"]
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: F.lower(F.hex(F.xxhash64(F.coalesce(F.get(t("s"), j), *tries(j), last(j)), j).bitwiseAND(F.lit(15).cast("long")))))
     return df.withColumn(out, F.array_join(dense, "")).drop(*[name(x) for x in "whmbs"])
 
 

@@ -77,6 +77,8 @@ class Permutation:
 
     def walks(self) -> int:
         """How often a number has to be permuted again at most: the longest path above n (fewer than sqrt(n) + 1 start there)."""
+        if self.n < 1:
+            return 0
         a, b = sides(self.n)
         longest = 0
         for x in range(self.n, a * b):

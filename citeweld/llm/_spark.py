@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are done, and the driver give memory back, now instead of whenever the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -89,6 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        release(edges.sparkSession)  # a round leaves shuffle files, an old checkpoint and plans behind
         if seen == print_before:
             break
         print_before = seen

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import batch, ints, lists, runs, whole_groups
-from ._spark import components, cut, from_key, id_key, read
+from ._spark import components, cut, from_key, id_key, read, release
 from ._words import U, WORD_BASE, Chunk, chunks, grams, mix, ranges
 
 SHINGLE = 5  # words of a shingle
@@ -231,6 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(buckets.join(shared, "bucket"))
     sets = cut(texts.join(members.select(F.col("node").alias("did")).distinct().hint("shuffle_hash"), "did", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
 
+    release(docs.sparkSession)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct()
@@ -258,8 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return dealt.join(known, "node").select("block", "bucket", "node", "component", "part", "cross", "signature", "bands").repartition("block").sortWithinPartitions("block")
 
     second = cut(first.unionByName(confirmed(apart(first, fine=False).mapInArrow(_meet(percent / 100 - MARGIN, BEST), "a long, b long").distinct())))
+    release(docs.sparkSession)
     third = confirmed(apart(second, fine=True).mapInArrow(_meet(percent / 100 - FINE_MARGIN), "a long, b long").distinct())
-    joined = components(second.unionByName(third))
+    joined = cut(components(second.unionByName(third)))
+    del first, second, third
+    release(docs.sparkSession)
     named = classes.join(joined, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
     out = base.select("did", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print1")).alias("print1"), F.when(F.col("n_shingles") > 0, F.col("print2")).alias("print2")).join(named, ["print1", "print2"], "left")
     component = F.coalesce("component", "did")

@@ -232,10 +232,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [f"_c{i}" for i in range(len(carry))]
     texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    counts = dict(texts.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
-    n_docs, n_words = int(counts.pop(-1, 0)), int(counts.pop(-2, 0))
+    counts = texts.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows and two
+    term, n = ints(counts["term"]), ints(counts["n"])
+    n_docs, n_words = int(n[term == -1].sum()), int(n[term == -2].sum())
     found = np.zeros(TERMS)
-    found[np.fromiter(counts.keys(), np.int64, len(counts))] = np.fromiter(counts.values(), float, len(counts))
+    found[term[term >= 0]] = n[term >= 0]
     idf = np.log1p((n_docs - found + 0.5) / (found + 0.5))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))

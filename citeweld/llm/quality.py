@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import ints, lists
+from ._arrow import give_back, ints, lists, tidy
 from ._spark import from_key, id_key, read
 from ._words import U, Chunk, chunks
 
@@ -150,18 +150,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     picked = known.orderBy(F.xxhash64("did"), "did").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # max_train rows of two longs are the proven size of the broadcast side
-    found = texts.join(F.broadcast(picked), "did").select("did", F.xxhash64("text").alias("tie"), "label", "text").mapInArrow(_collect, "did long, tie long, label long, bucket array<int>, value array<float>, stats array<double>").toArrow()
+    found = texts.join(F.broadcast(picked), "did").select("did", F.xxhash64("text").alias("tie"), "label", "text").mapInArrow(tidy(_collect), "did long, tie long, label long, bucket array<int>, value array<float>, stats array<double>").toArrow()
     if not found.num_rows:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(STATS))), np.zeros(0))
-    found = found.combine_chunks()
-    bucket, label = found["bucket"].combine_chunks(), ints(found["label"])
-    size = bucket.value_lengths().to_numpy(zero_copy_only=False)
+    order = np.lexsort((ints(found["tie"]), ints(found["did"])))  # rows come in any order; a fit can be repeated
+    found = found.take(pa.array(order)).combine_chunks()
+    bucket, label = found["bucket"].combine_chunks(), ints(found["label"]).astype(float)
+    ptr = np.r_[0, np.cumsum(bucket.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
     stats = found["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
-    at, value = ints(bucket.flatten()), found["value"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
-    # rows come in any order: sort them, so that a fit can be repeated
-    order = np.lexsort((ints(found["tie"]), ints(found["did"])))
-    rows = np.repeat((np.cumsum(size) - size)[order], size[order]) + np.arange(size.sum()) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-    return fit(np.r_[0, np.cumsum(size[order])].astype(np.int64), at[rows], value[rows], stats[order], label[order].astype(float))
+    machine = fit(ptr, bucket.flatten().to_numpy(), found["value"].combine_chunks().flatten().to_numpy(), stats, label)
+    del found, bucket, stats
+    give_back()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -185,7 +185,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     texts = docs.select(id_key(id_col).alias("did"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
-    out = texts.mapInArrow(run, f"did long{kinds}, score double")
+    out = texts.mapInArrow(tidy(run), f"did long{kinds}, score double")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "score")
 
 

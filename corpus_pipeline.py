@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweld.llm import minhash, mixing, packing, quality, substring
+from citeweld.llm._spark import NO_ID, cut, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,14 +35,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-duplicates: of each component the document with the smallest id stays; rows that repeat it go too."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    match = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    mine = docs.join(kept.hint("shuffle_hash"), match, "left_semi")
-    # several rows under one id: the one whose text comes first stays
-    first = mine.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang", "source"), F.xxhash64("text")).alias("d"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = first.select(F.col("doc_id").alias("_r"))
-    single = mine.join(repeated, F.col("doc_id").eqNullSafe(F.col("_r")), "left_anti").select(*COLUMNS)
-    return single.unionByName(_columns(first.select("doc_id", "d.text", "d.lang", "d.source")))
+    key, tie = F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = minhash.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    # several texts under one id: the one whose hash is least stays
+    light = docs.select(key.alias("_id"), tie.alias("_tie"))
+    wanted = cut(light.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min("_tie").alias("_tie")))
+    release(spark)
+    mine = docs.withColumn("_id", key).withColumn("_tie", tie).join(wanted.hint("shuffle_hash"), ["_id", "_tie"], "left_semi")
+    return mine.dropDuplicates(["_id", "_tie"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

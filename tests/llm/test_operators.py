@@ -360,7 +360,7 @@ def test_fingerprints(docs):
         r = got[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert len(r.fingerprint) == len(r.edited_fingerprint) == 128 and 0 <= r.near_next <= 1
-        a, b = ({tuple(words(t)[j : j + 5]) for j in range(max(len(words(t)) - 4, 1))} for t in (text, edited))
+        a, b = ({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for w in (words(text), words(edited)))
         assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.25
     assert got[2003].fingerprint == got[2004].fingerprint != got[2005].fingerprint
     assert got[2006].fingerprint == got[2007].fingerprint and got[2006].near_next == 1

@@ -88,7 +88,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        did = ints(b["did"])
+        did, tie = ints(b["did"]), ints(b["tie"])
         for c in chunks(b["text"], lower=True, limit=1 << 19):
             sets, sizes = shingle_sets(c)
             full = np.flatnonzero(sizes)
@@ -106,7 +106,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints[0, full] = np.add.reduceat(mix(sets), start)
                 prints[1, full] = np.add.reduceat(mix(sets ^ U(0xD1B54A32D192ED03)), start)
             sign = pa.array([None] * n, pa.binary()) if not len(full) else _binary(signatures(least), sizes > 0)
-            yield batch(did=did[c.first : c.first + n], n_shingles=sizes, print1=prints[0].view(np.int64), print2=prints[1].view(np.int64), bands=lists(keys.reshape(-1).view(np.int64), np.where(sizes > 0, BANDS, 0)), signature=sign)
+            yield batch(did=did[c.first : c.first + n], tie=tie[c.first : c.first + n], n_shingles=sizes, print1=prints[0].view(np.int64), print2=prints[1].view(np.int64), bands=lists(keys.reshape(-1).view(np.int64), np.where(sizes > 0, BANDS, 0)), signature=sign)
 
 
 def _binary(rows: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -118,13 +118,21 @@ def _binary(rows: np.ndarray, there: np.ndarray) -> pa.Array:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # rows that repeat an id and a text meet in one partition
     for b in batches:
-        did = ints(b["did"])
+        fresh = []
+        for i, x in enumerate(b["node"].to_pylist()):
+            if x not in seen:
+                seen.add(x)
+                fresh.append(i)
+        if len(fresh) < b.num_rows:
+            b = b.take(pa.array(fresh, pa.int64()))
+        node = ints(b["node"])
         for c in chunks(b["text"], lower=True):
             sets, sizes = shingle_sets(c)
             offsets = np.zeros(c.texts + 1, np.int32)
             np.cumsum(sizes * 8, out=offsets[1:])
-            yield batch(node=did[c.first : c.first + c.texts], shingles=pa.Array.from_buffers(pa.binary(), c.texts, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(sets.tobytes())]))
+            yield batch(node=node[c.first : c.first + c.texts], shingles=pa.Array.from_buffers(pa.binary(), c.texts, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(sets.tobytes())]))
 
 
 def _prune(percent: int):
@@ -210,26 +218,39 @@ def _meet(floor: float, best: int = 0):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Component of near copies of every document.
+    """Component of near copies of every document; see ``linked``.
+
+    Returns ``id_col``, ``n_shingles``, ``component_id`` (the id of the row that leads the component; null where that has
+    none) and ``kept`` (whether the row, or one equal to it in id and text, leads).
+    """
+    out = linked(docs, id_col, text_col, percent)
+    return out.select(from_key("did").alias(id_col), "n_shingles", from_key("lead_did").alias("component_id"), "kept")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Every row as (did, tie, n_shingles, lead_did, kept): id, hash of its text, id of the row that leads its component.
 
     Words are lower-cased (A-Z); documents are linked where ``100 * intersection >= percent * union`` of their sets of
-    five-word shingles. Returns one row for each row of docs: ``id_col``, ``n_shingles``, ``component_id`` (the least id
-    that links reach) and ``kept`` (whether that is the row's own id).
+    five-word shingles. Returns one row for each row of docs. The row with the least id leads a component, among rows
+    of that id the one whose text has the least hash.
 
     A text of fewer than five words has the whole sequence as its only shingle; null and empty texts have none and are
-    linked with nothing. A null id counts as the smallest, and a component that it leads has a null ``component_id``.
-    Rows that repeat an id and a text are returned as often; where an id has several texts, each row is linked by its own,
-    and sets that the same id leads are one. Other columns are not looked at; an empty table gives an empty result.
+    linked with nothing. A null id (``NO_ID``) counts as the smallest. Rows that repeat an id and a text are returned as
+    often; several texts of one id are documents of their own and may lead components of their own. Other columns are not
+    looked at; an empty table gives an empty result.
     """
-    texts = docs.select(id_key(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = cut(texts.mapInArrow(_describe, "did long, n_shingles long, print1 long, print2 long, bands array<long>, signature binary"))
-    classes = base.where("n_shingles > 0").groupBy("print1", "print2").agg(F.min("did").alias("node"))
-    lead = classes.select("print1", "print2", F.col("node").alias("did"))
-    reps = cut(base.join(lead, ["print1", "print2", "did"], "left_semi").select(F.col("did").alias("node"), "bands", "signature"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    base = cut(texts.mapInArrow(_describe, "did long, tie long, n_shingles long, print1 long, print2 long, bands array<long>, signature binary").withColumn("row", F.monotonically_increasing_id()))
+    # a node is the number of the row that leads a class
+    lead = F.min(F.struct("did", "tie", "row")).alias("lead")
+    classes = cut(base.where("n_shingles > 0").groupBy("print1", "print2").agg(lead).select("print1", "print2", "lead.did", "lead.tie", F.col("lead.row").alias("node")))
+    reps = cut(base.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "signature"))
     buckets = reps.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     members = cut(buckets.join(shared, "bucket"))
-    sets = cut(texts.join(members.select(F.col("node").alias("did")).distinct().hint("shuffle_hash"), "did", "left_semi").mapInArrow(_sets, "node long, shingles binary"))
+    met = classes.join(members.select("node").distinct(), "node", "left_semi").select("did", "tie", "node")
+    sets = cut(texts.join(met.hint("shuffle_hash"), ["did", "tie"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
 
     release(docs.sparkSession)
 
@@ -265,10 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = cut(components(second.unionByName(third)))
     del first, second, third
     release(docs.sparkSession)
-    named = classes.join(joined, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
-    out = base.select("did", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print1")).alias("print1"), F.when(F.col("n_shingles") > 0, F.col("print2")).alias("print2")).join(named, ["print1", "print2"], "left")
-    component = F.coalesce("component", "did")
-    return out.select(from_key("did").alias(id_col), "n_shingles", F.when(component != -(2**63), component).alias("component_id"), (F.col("did") == component).alias("kept"))
+    grouped = classes.join(joined, "node")
+    heads = grouped.groupBy("component").agg(F.min(F.struct("did", "tie")).alias("lead"))
+    led = grouped.join(heads, "component").select("node", "lead")
+    named = classes.join(led, "node", "left").select("print1", "print2", F.coalesce("lead", F.struct("did", "tie")).alias("lead"))
+    out = base.select("did", "tie", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print1")).alias("print1"), F.when(F.col("n_shingles") > 0, F.col("print2")).alias("print2")).join(named, ["print1", "print2"], "left")
+    own = F.struct("did", "tie")
+    return out.withColumn("lead", F.coalesce("lead", own)).select("did", "tie", "n_shingles", F.col("lead.did").alias("lead_did"), (F.col("lead") == own).alias("kept"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

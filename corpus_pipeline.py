@@ -34,12 +34,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-duplicates: of each component the document with the smallest id stays; rows that repeat it go too."""
+    """MinHash near-duplicates: of each component the document with the smallest id stays; rows that repeat it go too.
+
+    Several texts under one id, or under none, are documents of their own.
+    """
     key, tie = F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = minhash.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-    # several texts under one id: the one whose hash is least stays
-    light = docs.select(key.alias("_id"), tie.alias("_tie"))
-    wanted = cut(light.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min("_tie").alias("_tie")))
+    wanted = cut(minhash.linked(docs).where("kept").select(F.col("did").alias("_id"), F.col("tie").alias("_tie")).distinct())
     release(spark)
     mine = docs.withColumn("_id", key).withColumn("_tie", tie).join(wanted.hint("shuffle_hash"), ["_id", "_tie"], "left_semi")
     return mine.dropDuplicates(["_id", "_tie"]).select(*COLUMNS)

@@ -172,6 +172,15 @@ def test_near_duplicates_of_a_spread_group(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_where_ids_repeat(spark):
+    """Texts of one id, or of none, are linked one by one; only rows equal in id and text are one."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (5, text("c") + " x"), (5, text("d")), (7, text("b") + " x"), (9, text("e")), (9, text("e")), (10, text("a") + " y")]
+    got = sorted((key(r.doc_id), r.n_shingles, key(r.component_id), r.kept) for r in minhash.near_duplicates(table(spark, rows)).collect())
+    no = key(None)
+    assert got == sorted([(no, 56, no, True)] * 3 + [(3, 56, 3, True), (5, 57, 3, False), (5, 56, 5, True), (7, 57, no, False), (9, 56, 9, True), (9, 56, 9, True), (10, 57, no, False)])
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(1)
     whole = rng.integers(0, 2**63, 4000).astype(np.uint64)

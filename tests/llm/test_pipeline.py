@@ -60,6 +60,13 @@ def test_one_of_each_component_stays(stages):
     assert sorted(key(r.doc_id) for r in after.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_every_text_of_an_id_is_looked_at(spark, folder):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (5, text("c") + " x"), (5, text("d")), (7, text("b") + " x"), (None, None)]
+    after = P.keep_one_of_each(spark, table(spark, rows).repartition(3), folder).collect()
+    assert sorted((key(r.doc_id), r.text or "") for r in after) == sorted([(key(None), text("a")), (key(None), text("b")), (key(None), ""), (3, text("c")), (5, text("d"))])
+
+
 def test_repeats_go(stages):
     before, after = stages[2]
     rows = sorted((key(r.doc_id), r.text or "") for r in before.collect())

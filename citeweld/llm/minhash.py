@@ -1,11 +1,11 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A text is the set of its five-word shingles. Texts with one set are one class, found by a 128-bit print of the set.
-Each class has 128 minima: 25 bands of five of them propose candidates, and the low four bits of all of them, packed
+Each class has 128 minima: bands of some of them, 25 of five at a threshold of 0.85, propose candidates, and the low four bits of all of them, packed
 into 64 bytes, estimate the similarity of a candidate by bit counts, corrected for low bits that agree by chance.
 Estimates far below the threshold end a candidate; all others are confirmed on the full sets.
 
-A pair at the threshold of 0.85 shares no band with a chance of 4e-7. Buckets are compared in three rounds. In the
+A pair at the threshold shares no band with a chance of at most 5e-7; bands and margins follow from it. Buckets are compared in three rounds. In the
 first, each member meets the bucket's least member only; that links whole groups of copies. In the second, members of
 a bucket that are in different components meet those that look most alike; that gathers the outlying copies. In the
 third, those that are still apart meet each other in blocks of bounded size, and 1,024 minima of each decide which
@@ -15,6 +15,7 @@ m confirmations instead of m * m.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +29,37 @@ from ._words import U, WORD_BASE, Chunk, chunks, grams, mix, ranges
 
 SHINGLE = 5  # words of a shingle
 HASHES = 128
-BANDS, ROWS = 25, 5
+MISS = 5e-7  # chance that a pair at the threshold shares no band
+MOST_ROWS = 8  # minima of a band
 BITS = 4  # low bits that are kept of each minimum
 PERCENT = 85  # of the union that the intersection has to reach
-MARGIN = 0.18  # an estimate this far below the threshold ends a candidate: over five standard deviations
+DEVIATIONS = 5.5  # an estimate so many standard deviations below the threshold ends a candidate
 BLOCK = 2048  # rows of a bucket that meet at once
 BEST = 2  # partners that a member meets in the second round
 FINE = 1024  # minima of the third round
-FINE_MARGIN = 0.065
 
 _MULTIPLIERS = mix(np.arange(1, FINE + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and minima of a band: the most minima at which a pair at the threshold is missed with a chance of MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent has to be in 1 .. 100, not {percent}")
+    for rows in range(MOST_ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log(apart)) if apart else 1
+        if bands * rows <= HASHES:
+            return bands, rows
+    raise ValueError(f"{HASHES} minima are too few to find pairs at {percent} percent")
+
+
+def floor_for(percent: int, hashes: int) -> float:
+    """Estimate from so many minima that a pair at the threshold does not fall below."""
+    chance = 1 / (1 << BITS)
+    same = chance + (1 - chance) * percent / 100
+    return percent / 100 - DEVIATIONS * math.sqrt(same * (1 - same) / hashes) / (1 - chance)
+
+
 def shingle_sets(c: Chunk, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text of a chunk, one after another, and how many each has."""
     g = grams(c.hash, k)
@@ -86,27 +106,30 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        did, tie = ints(b["did"]), ints(b["tie"])
-        for c in chunks(b["text"], lower=True, limit=1 << 19):
-            sets, sizes = shingle_sets(c)
-            full = np.flatnonzero(sizes)
-            start = (np.cumsum(sizes) - sizes)[full]
-            least = minima(sets, start)
-            keys = np.empty((len(full), BANDS), U)
-            for i in range(BANDS):
-                acc = np.full(len(full), i + 1, U)
-                for j in range(ROWS):
-                    acc = acc * WORD_BASE + least[:, i * ROWS + j]
-                keys[:, i] = mix(acc)
-            n = c.texts
-            prints = np.zeros((2, n), U)
-            if len(full):
-                prints[0, full] = np.add.reduceat(mix(sets), start)
-                prints[1, full] = np.add.reduceat(mix(sets ^ U(0xD1B54A32D192ED03)), start)
-            sign = pa.array([None] * n, pa.binary()) if not len(full) else _binary(signatures(least), sizes > 0)
-            yield batch(did=did[c.first : c.first + n], tie=tie[c.first : c.first + n], n_shingles=sizes, print1=prints[0].view(np.int64), print2=prints[1].view(np.int64), bands=lists(keys.reshape(-1).view(np.int64), np.where(sizes > 0, BANDS, 0)), signature=sign)
+def _describe(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            did, tie = ints(b["did"]), ints(b["tie"])
+            for c in chunks(b["text"], lower=True, limit=1 << 19):
+                sets, sizes = shingle_sets(c)
+                full = np.flatnonzero(sizes)
+                start = (np.cumsum(sizes) - sizes)[full]
+                least = minima(sets, start)
+                keys = np.empty((len(full), bands), U)
+                for i in range(bands):
+                    acc = np.full(len(full), i + 1, U)
+                    for j in range(rows):
+                        acc = acc * WORD_BASE + least[:, i * rows + j]
+                    keys[:, i] = mix(acc)
+                n = c.texts
+                prints = np.zeros((2, n), U)
+                if len(full):
+                    prints[0, full] = np.add.reduceat(mix(sets), start)
+                    prints[1, full] = np.add.reduceat(mix(sets ^ U(0xD1B54A32D192ED03)), start)
+                sign = pa.array([None] * n, pa.binary()) if not len(full) else _binary(signatures(least), sizes > 0)
+                yield batch(did=did[c.first : c.first + n], tie=tie[c.first : c.first + n], n_shingles=sizes, print1=prints[0].view(np.int64), print2=prints[1].view(np.int64), bands=lists(keys.reshape(-1).view(np.int64), np.where(sizes > 0, bands, 0)), signature=sign)
+
+    return run
 
 
 def _binary(rows: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -136,7 +159,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prune(percent: int):
-    floor = percent / 100 - MARGIN
+    floor = floor_for(percent, HASHES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +206,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(node=ints(part["node"])[there], signature=_binary(sign, there[there]))
 
 
-def _meet(floor: float, best: int = 0):
+def _meet(floor: float, bands_of: int, best: int = 0):
     """Pairs of a block whose components differ and whose estimate reaches floor; with best, so many partners of each.
 
     A pair that shares several buckets is looked at in the first of them only.
@@ -193,7 +216,7 @@ def _meet(floor: float, best: int = 0):
         for t in whole_groups(batches, "block", 8192):
             block, node, comp, part, cross = (ints(t[c]) for c in ("block", "node", "component", "part", "cross"))
             sign = _matrix(t["signature"].combine_chunks())
-            bucket, bands = ints(t["bucket"]), ints(t["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+            bucket, bands = ints(t["bucket"]), ints(t["bands"].combine_chunks().flatten()).reshape(-1, bands_of)
             out = []
             for s, m in zip(*runs(block), strict=True):
                 for i in range(s, s + m):
@@ -237,11 +260,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     A text of fewer than five words has the whole sequence as its only shingle; null and empty texts have none and are
     linked with nothing. A null id (``NO_ID``) counts as the smallest. Rows that repeat an id and a text are returned as
     often; several texts of one id are documents of their own and may lead components of their own. Other columns are not
-    looked at; an empty table gives an empty result.
+    looked at; an empty table gives an empty result. Below 11 percent the bands cannot find all pairs: a ``ValueError``.
     """
+    n_bands, n_rows = bands_for(percent)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    base = cut(texts.mapInArrow(_describe, "did long, tie long, n_shingles long, print1 long, print2 long, bands array<long>, signature binary").withColumn("row", F.monotonically_increasing_id()))
+    base = cut(texts.mapInArrow(_describe(n_bands, n_rows), "did long, tie long, n_shingles long, print1 long, print2 long, bands array<long>, signature binary").withColumn("row", F.monotonically_increasing_id()))
     # a node is the number of the row that leads a class
     lead = F.min(F.struct("did", "tie", "row")).alias("lead")
     classes = cut(base.where("n_shingles > 0").groupBy("print1", "print2").agg(lead).select("print1", "print2", "lead.did", "lead.tie", F.col("lead.row").alias("node")))
@@ -280,9 +304,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
             known = sets.join(there, "node", "left_semi").mapInArrow(_fine, "node long, signature binary").join(reps.select("node", "bands"), "node")
         return dealt.join(known, "node").select("block", "bucket", "node", "component", "part", "cross", "signature", "bands").repartition("block").sortWithinPartitions("block")
 
-    second = cut(first.unionByName(confirmed(apart(first, fine=False).mapInArrow(_meet(percent / 100 - MARGIN, BEST), "a long, b long").distinct())))
+    second = cut(first.unionByName(confirmed(apart(first, fine=False).mapInArrow(_meet(floor_for(percent, HASHES), n_bands, BEST), "a long, b long").distinct())))
     release(docs.sparkSession)
-    third = confirmed(apart(second, fine=True).mapInArrow(_meet(percent / 100 - FINE_MARGIN), "a long, b long").distinct())
+    third = confirmed(apart(second, fine=True).mapInArrow(_meet(floor_for(percent, FINE), n_bands), "a long, b long").distinct())
     joined = cut(components(second.unionByName(third)))
     del first, second, third
     release(docs.sparkSession)

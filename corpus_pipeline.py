@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from citeweld.llm import minhash, mixing, packing, quality, substring
 from citeweld.llm._spark import NO_ID, cut, release
 
+NEAR_PERCENT = 80  # of the union of two documents' shingles that is common where one of them goes
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +40,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Several texts under one id, or under none, are documents of their own.
     """
     key, tie = F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    wanted = cut(minhash.linked(docs).where("kept").select(F.col("did").alias("_id"), F.col("tie").alias("_tie")).distinct())
+    wanted = cut(minhash.linked(docs, percent=NEAR_PERCENT).where("kept").select(F.col("did").alias("_id"), F.col("tie").alias("_tie")).distinct())
     release(spark)
     mine = docs.withColumn("_id", key).withColumn("_tie", tie).join(wanted.hint("shuffle_hash"), ["_id", "_tie"], "left_semi")
     return mine.dropDuplicates(["_id", "_tie"]).select(*COLUMNS)

@@ -181,6 +181,34 @@ def test_near_duplicates_where_ids_repeat(spark):
     assert got == sorted([(no, 56, no, True)] * 3 + [(3, 56, 3, True), (5, 57, 3, False), (5, 56, 5, True), (7, 57, no, False), (9, 56, 9, True), (9, 56, 9, True), (10, 57, no, False)])
 
 
+@pytest.mark.parametrize("percent", range(11, 101))
+def test_bands_follow_the_threshold(percent):
+    bands, rows = minhash.bands_for(percent)
+    assert bands * rows <= minhash.HASHES and (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    assert minhash.bands_for(85) == (25, 5)
+
+
+def test_thresholds_that_bands_cannot_serve(docs):
+    for percent in (0, 10, 101):
+        with pytest.raises(ValueError):
+            minhash.near_duplicates(docs, percent=percent)
+
+
+@pytest.mark.parametrize("percent", [80, 50])
+def test_pairs_just_over_a_lower_threshold(spark, percent):
+    """80 pairs of 100 words with a changed tail: one shingle more or less decides."""
+    rows, want = [], {}
+    for i in range(80):
+        own = [f"{i}w{j}" for j in range(104)]
+        # with the last m of 100 shingles changed, (100 - m) of (100 + m) are common
+        most = (100 * 100 - percent * 100) // (100 + percent)
+        m = most + i % 2
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: 104 - m] + [f"{i}x{j}" for j in range(m)]))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + i % 2}
+    got = minhash.near_duplicates(table(spark, rows), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(1)
     whole = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -67,6 +67,18 @@ def test_every_text_of_an_id_is_looked_at(spark, folder):
     assert sorted((key(r.doc_id), r.text or "") for r in after) == sorted([(key(None), text("a")), (key(None), text("b")), (key(None), ""), (3, text("c")), (5, text("d"))])
 
 
+def test_near_duplicates_from_80_percent_on_go(spark, folder):
+    """15 pairs with 0.80 to 0.85 in common, and 15 with a little less than 0.80."""
+    rows, want = [], []
+    for i in range(30):
+        own = [f"{i}w{j}" for j in range(104)]
+        m = 9 + i % 3 if i < 15 else 12
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: 104 - m] + [f"{i}x{j}" for j in range(m)]))]
+        want += [2 * i] if i < 15 else [2 * i, 2 * i + 1]
+    after = P.keep_one_of_each(spark, table(spark, rows), folder).collect()
+    assert sorted(r.doc_id for r in after) == want
+
+
 def test_repeats_go(stages):
     before, after = stages[2]
     rows = sorted((key(r.doc_id), r.text or "") for r in before.collect())

@@ -28,7 +28,6 @@ WINDOW = 1024
 END_ID = 0  # follows each document
 SHARD_BYTES = 4 << 20  # texts of a shard
 TERMS = 1 << 18  # hashed terms of the index
-QUERY = 12  # terms of a seed that are looked up: those that weigh most
 K1, B = 1.2, 0.75
 
 #: Fixed value: how a byte-level BPE splits a text before it merges.
@@ -113,18 +112,12 @@ class Index:
         self.posting_doc, self.posting_weight = doc[order], self.weight[order]
         self.terms, self.first = np.unique(term[order], return_index=True)
         self.size = np.diff(np.r_[self.first, len(order)])
-        # the terms of each document that weigh most; rows come by document
-        top = float(self.weight.max(initial=0)) or 1.0
-        by = _by(65_535 - (self.weight / top * 65_535).astype(np.int64))
-        by = by[_by(doc[by])]
-        start, n = runs(doc[by])
-        rank = np.arange(len(by)) - np.repeat(start, n)
-        best = by[rank < QUERY]
-        self.query_term = np.searchsorted(self.terms, term[best])
-        self.query_end = np.cumsum(np.bincount(doc[best], minlength=self.docs))
+        by = _by(doc)
+        self.query_term = np.searchsorted(self.terms, term[by])  # all terms of each document
+        self.query_end = np.cumsum(np.bincount(doc, minlength=self.docs))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
-        """Unused documents that share a queried term with the seed, best first."""
+        """Unused documents that share a term with the seed, by the BM25 score of all its terms, best first."""
         q = self.query_term[self.query_end[seed - 1] if seed else 0 : self.query_end[seed]]
         at = ranges(self.first[q], self.size[q])
         scores = np.bincount(self.posting_doc[at], self.posting_weight[at], self.docs)

@@ -366,6 +366,25 @@ def test_neighbours_follow_their_seed():
     assert packing.cuts(2500).tolist() == [1024, 2048, 2304, 2432, 2496, 2500]
 
 
+def test_neighbours_are_ranked_by_all_terms():
+    """Against brute force; the last two documents share only the lightest term, which 12 terms of a seed would leave out."""
+    rng = np.random.default_rng(6)
+    own = [np.unique(rng.integers(0, 60, rng.integers(15, 40))) for _ in range(40)]
+    own += [np.r_[59, np.arange(60, 80)], np.r_[59, np.arange(80, 100)]]
+    term, doc = np.concatenate(own), np.repeat(np.arange(42), [len(x) for x in own])
+    tf, length = rng.integers(1, 4, len(term)), np.array([len(x) for x in own])
+    idf = np.log1p((42 - np.bincount(term, minlength=100) + 0.5) / (np.bincount(term, minlength=100) + 0.5))
+    index = packing.Index(term, doc, tf, length, idf, float(length.mean()))
+    weight = {(d, t): w for d, t, w in zip(doc.tolist(), term.tolist(), index.weight.tolist(), strict=True)}
+    for seed in range(42):
+        unused = np.arange(42) != seed
+        score = {d: sum(weight.get((d, t), 0) for t in own[seed].tolist()) for d in range(42) if d != seed}
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == sorted(d for d in score if score[d] > 0)
+        assert [score[d] for d in got] == pytest.approx(sorted((x for x in score.values() if x > 0), reverse=True))
+    assert 41 in index.neighbours(40, np.ones(42, bool))
+
+
 # 8
 
 

@@ -1,6 +1,7 @@
 """Packing of documents into fixed windows by lexical retrieval.
 
-Documents are dealt to shards by a hash. A shard has a BM25 inverted index over its documents; the numbers of documents
+Documents are dealt to shards by the term that weighs most in them, so that texts on one subject meet however large the
+input is; what a shard takes in is bounded. A shard has a BM25 inverted index over its documents; the numbers of documents
 with a term and the mean length that BM25 needs are counted over the whole table. A window starts with a seed document;
 where the seed ends before the window does, the best unused neighbours of the seed follow until it is full, and a
 neighbour that does not fit goes on in the next window, as its seed. Every window of a shard is full; what is left
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import ints, runs
 from ._spark import from_key, id_key, read
-from ._words import U, chunks, ranges
+from ._words import U, chunks, mix, ranges
 
 WINDOW = 1024
 END_ID = 0  # follows each document
@@ -95,6 +97,48 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[term, -1, -2]), pa.array(np.r_[found[term], docs, words])], names=["term", "n"])
 
 
+def _heaviest(texts: pa.Array, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The term that weighs most in each text, among those that others have too; TERMS where there is none."""
+    out = np.full(len(texts), TERMS, np.int64)
+    for c in chunks(texts, lower=True, limit=1 << 20):
+        key, tf = np.unique(c.owner().astype(U) * U(TERMS) + (c.hash & U(TERMS - 1)), return_counts=True)
+        term, doc = (key & U(TERMS - 1)).astype(np.int64), (key // U(TERMS)).astype(np.int64)
+        weight = idf[term] * tf / (tf + K1 * (1 - B + B * np.diff(c.off)[doc] / max(mean, 1e-9)))
+        start, n = runs(doc)
+        if len(start):
+            best = weight == np.repeat(np.maximum.reduceat(weight, start), n)
+            best &= np.repeat(np.maximum.reduceat(weight, start) > 0, n)
+            out[doc[best][::-1] + c.first] = term[best][::-1]  # the least of equal ones
+    return out
+
+
+def _weigh(stats: object):
+    """Bytes of the texts by heaviest term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(TERMS + 1, np.int64)
+        for b in batches:
+            np.add.at(found, _heaviest(b["text"], *stats.value[:2]), pc.binary_length(b["text"]).to_numpy(zero_copy_only=False))
+        term = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(found[term])], names=["term", "n"])
+
+    return run
+
+
+def _deal(stats: object, spans: object):
+    """Rows with their shard: subjects lie one after another, small ones whole, texts of large ones at a place of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            begin, size, shard_bytes = spans.value
+            term = _heaviest(b["text"], *stats.value[:2])
+            place = (mix(mix(ints(b["did"]).view(U)) ^ ints(b["tie"]).view(U)) >> U(11)) / 2**53
+            at = begin[term] + np.where(size[term] > shard_bytes // 4, place * size[term], 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int64) // shard_bytes)], names=[*b.schema.names, "shard"])
+
+    return run
+
+
 def _by(numbers: np.ndarray) -> np.ndarray:
     """Stable order of numbers below 2**32, by their 16-bit halves."""
     order = np.argsort((numbers & 0xFFFF).astype(np.uint16), kind="stable")
@@ -173,7 +217,7 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
 
 def _pack(path: str, window: int, end_id: int, stats: object, names: list[str]):
     def run(shard: pa.Table) -> pa.Table:
-        idf, mean = stats.value
+        idf, mean = stats.value[:2]
         shard = shard.combine_chunks()
         n = shard.num_rows
         order = np.lexsort((ints(shard["tie"]), ints(shard["did"])))
@@ -218,8 +262,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``end_id``; a null or empty text is that id alone. Each row of docs is a document, also where ids repeat or are null.
     Only the named columns are looked at; an empty table gives an empty result.
 
-    A shard's texts (about ``shard_bytes``, or one longer text) are packed by one task; the terms counted for BM25 are
-    hashed to 2**18 numbers, which is what the driver and every task hold of them.
+    A shard's texts (about ``shard_bytes``, or one longer text) are packed by one task, and neighbours are looked for in
+    it, not across shards: a text meets those with the same heaviest term (see README for how many of the best neighbours
+    of a whole table that finds). The terms counted for BM25 are hashed to 2**18 numbers, which is what the driver and
+    every task hold of them.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -231,11 +277,23 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     found = np.zeros(TERMS)
     found[term[term >= 0]] = n[term >= 0]
     idf = np.log1p((n_docs - found + 0.5) / (found + 0.5))
+    shared = np.where(found > 1, idf, 0)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
-    stats = spark.sparkContext.broadcast((idf, n_words / max(n_docs, 1)))
+    mean = n_words / max(n_docs, 1)
+    stats = spark.sparkContext.broadcast((idf, mean))
     kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("did", "tie", F.lit(7)), F.lit(shards)))
+    dealt = texts.withColumn("shard", F.lit(0).cast("long"))
+    if shards > 1:
+        subjects = spark.sparkContext.broadcast((shared, mean))
+        sums = texts.select("text").mapInArrow(_weigh(subjects), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows and one
+        weight = np.zeros(TERMS + 1, np.int64)
+        weight[ints(sums["term"])] = ints(sums["n"])
+        order = np.argsort(mix(np.arange(TERMS + 1, dtype=U)), kind="stable")
+        begin = np.zeros(TERMS + 1, np.int64)
+        begin[order] = np.cumsum(weight[order]) - weight[order]
+        spans = spark.sparkContext.broadcast((begin, weight, shard_bytes))
+        dealt = texts.mapInArrow(_deal(subjects, spans), f"did long, tie long, text string{kinds}, shard long")
     out = dealt.groupBy("shard").applyInArrow(_pack(tokenizer, window, end_id, stats, names), f"did long{kinds}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 

@@ -366,6 +366,20 @@ def test_neighbours_follow_their_seed():
     assert packing.cuts(2500).tolist() == [1024, 2048, 2304, 2432, 2496, 2500]
 
 
+def test_texts_on_one_subject_share_a_shard(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(7)
+    rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(60)] + [f"subject{i % 40}"] * 12)) for i in range(400)] + [(1000, None), (None, ""), (None, "w1")]
+    got = packing.pack(table(spark, rows).repartition(3), P.path("byte_bpe_50k.json"), shard_bytes=16_000).collect()
+    shards: dict[int, set] = {}
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 400:
+            shards.setdefault(r.doc_id % 40, set()).add(r.sequence_id >> 40)
+    assert len({r.sequence_id >> 40 for r in got}) > 5
+    assert all(len(x) == 1 for x in shards.values())
+    assert len({(r.doc_id, r.doc_tokens) for r in got}) == 403
+
+
 def test_neighbours_are_ranked_by_all_terms():
     """Against brute force; the last two documents share only the lightest term, which 12 terms of a seed would leave out."""
     rng = np.random.default_rng(6)

@@ -146,16 +146,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents, pieces, _ = mix(docs, id_col, text_col, source_col, **options)
     found = pieces.groupBy("source_no", "doc").agg(F.collect_list(F.struct("epoch", "from_word", "words")).alias("found"))
     plan = documents.join(found, ["source_no", "doc"]).select("source", "did", "tie", "size", "found")
-    # rows alike in source, id and text get one plan each; numbering both sides pairs them off
     from pyspark.sql import Window
 
-    twin = lambda df: df.withColumn("_twin", F.row_number().over(Window.partitionBy("did", "tie", "source").orderBy(F.lit(1))))
     names = [f"_c{i}" for i in range(len(carry))]
-    texts = docs.select(F.col(source_col).cast("string").alias("_s"), id_key(id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_t"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    pairs = twin(plan).groupBy("source", "did", "tie").agg(F.collect_list(F.struct("found")).alias("_all"), F.first("size").alias("size"))
-    one = pairs.select("source", "did", "tie", "size", F.expr("transform(_all, x -> x.found)").alias("_all"))
-    joined = texts.join(one, (F.col("_d") == F.col("did")) & (F.col("_t") == F.col("tie")) & F.col("_s").eqNullSafe(F.col("source")))
-    flat = joined.select("source", "did", "text", "size", *names, F.flatten("_all").alias("found"))
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("")).alias("_k")  # noqa: E731  # equal where sources are, null or not
+    texts = docs.select(named(F.col(source_col).cast("string")), id_key(id_col).alias("did"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    # rows alike in source, id and text: the n-th of them takes the n-th of their plans, if there is one
+    plans = plan.groupBy("did", "tie", named(F.col("source"))).agg(F.collect_list("found").alias("_all"), F.first("source").alias("source"), F.first("size").alias("size"))
+    numbered = texts.withColumn("_twin", F.row_number().over(Window.partitionBy("did", "tie", "_k").orderBy(F.lit(1))))
+    joined = numbered.join(plans, ["did", "tie", "_k"]).withColumn("found", F.get("_all", F.col("_twin") - 1))
+    flat = joined.where("found IS NOT NULL").select("did", "source", "text", "size", *names, "found")
     kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
     out = flat.mapInArrow(_lay_out(["did", "source", *names]), f"did long, source string{kinds}, text string")
     return out.select(from_key("did").alias(id_col), F.col("text").alias(text_col), F.col("source").alias(source_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])

@@ -476,6 +476,24 @@ def test_mixing(spark, docs):
     assert by == taken
 
 
+def test_mixed_documents_with_repeated_rows(spark):
+    """Each row takes its own plan: as many words as the mix takes, and no row more than three times."""
+    text = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    df = spark.createDataFrame([(5, text("a", 50), "s")] * 4 + [(6, text("b", 300), "t"), (7, text("c", 200), None), (7, text("c", 200), None), (None, None, "s")], "doc_id long, text string, source string")
+    taken: Counter = Counter()
+    named, pieces, _ = mixing.mix(df, block=16)
+    info = {(r.source_no, r.doc): r.source for r in named.collect()}
+    for p in pieces.collect():
+        taken[info[p.source_no, p.doc]] += p.words
+    by: Counter = Counter()
+    each: Counter = Counter()
+    for r in mixing.mixed_documents(df, block=16).collect():
+        by[r.source] += len(words(r.text))
+        each.update((r.source, w) for w in words(r.text))
+    assert by == taken
+    assert all(n <= 3 * {"s": 4, "t": 1, None: 2}[s] for (s, _), n in each.items())
+
+
 # all
 
 

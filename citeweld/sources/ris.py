@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import normal
 from ..functions import patterns as P
 from ..functions.pages import pages
+from ..spark import in_order
 
 #: Java forms of the line rules.
 _RECORD_END = "\nER  -"
@@ -43,24 +44,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     fields = F.transform(F.filter(F.split(marked, "\u0001"), lambda x: x.rlike(_TAG)), _field)
     wanted = F.filter(fields, lambda f: (f["value"] != "") & (f["value"] != "NA") | (F.size(f["more"]) > 0))
     records = raw.join(last, ["_f", "_b", "_m"], "left_anti").select("_f", "_b", "_m", wanted.alias("fields")).where(F.exists("fields", lambda f: f["tag"] == "TY"))
-    return numbered(records, ["_f", "_b", "_m"]).select("pos", "fields")
+    return in_order(records, ["_f", "_b", "_m"]).select((F.col("row_no") + 1).alias("pos"), "fields")
 
 
 def _field(x):  # noqa: ANN001, ANN202
     parts = F.split(x, "\n")
     rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda y: y != "")
-    return F.struct(F.substring(x, 1, 2).alias("tag"), F.trim(F.substring(F.get(parts, F.lit(0)), 7, 1_000_000)).alias("value"), rest.alias("more"))
-
-
-def numbered(df: DataFrame, by: list[str]) -> DataFrame:
-    """df with pos (1, 2, ... in the order of by), by counts of ranges: no task sees all rows."""
-    from ..operators.components import cut
-
-    dealt = cut(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_s"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
-    return dealt.withColumn("_at", at).join(shift, "_range").withColumn("pos", F.col("_at") + F.col("_s")).drop("_range", "_at", "_s")
+    return F.struct(F.substring(x, 1, 2).alias("tag"), F.trim(F.substr(F.get(parts, F.lit(0)), F.lit(7))).alias("value"), rest.alias("more"))
 
 
 def item_of(fields: list[dict]) -> dict:
@@ -193,7 +183,7 @@ def items(records: DataFrame, old: bool = False, labels: bool = False) -> DataFr
             rows = []
             for pos, fields in zip(b["pos"].to_pylist(), b["fields"].to_pylist(), strict=True):
                 x = item_of(fields)
-                x |= {"pos": pos, "is_old": old, "id": x["id"] or pos, "label": x["label"] if labels else None}
+                x |= {"pos": pos, "is_old": old, "id": pos if x["id"] is None else x["id"], "label": x["label"] if labels else None}
                 rows.append({n: x[n] for n in names})
             yield pa.RecordBatch.from_pylist(rows, schema=form)
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import MatchConfig
-from ..operators.components import cut
 from ..operators.enrich import enriched
 from ..plans.linkage import link
 from ..sources import ris
+from ..spark import cut
 
 
 def absorb(batch: DataFrame, kept: DataFrame, config: MatchConfig | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citeweld.config import MatchConfig, Mode
 from citeweld.functions.similarity import jaro_winkler, jaro_winkler_many
 from citeweld.operators import evaluate, labels, predicates
-from citeweld.operators.components import components
+from citeweld.spark import components
 from citeweld.plans import linkage
 from citeweld.sources import ris, tables, writers
 

@@ -28,23 +28,24 @@ def batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:
-    """Batches that come sorted by key, as tables of about ``rows`` rows in which no key is cut in two."""
+    """Batches that come sorted by key, as tables of about ``rows`` rows in which no key is cut in two.
+
+    Each batch is looked at once, however many of them a key fills.
+    """
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, last = 0, None
     for b in batches:
         if not b.num_rows:
             continue
+        k = ints(b[key])
+        if held and count + b.num_rows >= rows:
+            at = int(np.searchsorted(k, k[-1], "left"))
+            if at or k[-1] != last:  # the batch's last key starts in it: all before that key is whole
+                yield pa.Table.from_batches([*held, *([b.slice(0, at)] if at else [])]).combine_chunks()
+                held, count, b = [], 0, b.slice(at)
         held.append(b)
         count += b.num_rows
-        if count < rows:
-            continue
-        t = pa.Table.from_batches(held)
-        k = ints(t[key])
-        at = int(np.searchsorted(k, k[-1], "left"))
-        if at:
-            yield t.slice(0, at).combine_chunks()
-            rest = t.slice(at).combine_chunks()
-            held, count = rest.to_batches(), rest.num_rows
+        last = k[-1]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -1,31 +1,16 @@
-"""What the operators share on Spark's side: checkpoints, document keys, global order, components."""
+"""What the operators of this folder share on Spark's side."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators, so that it sorts before every other id and joins with itself.
 NO_ID = -(2**63)
+#: Fixed value: the characters that end a word.
+BLANKS = " \t\n\x0b\x0c\r"
 SPACE = "[\\x20\\x09-\\x0D]"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share; later steps do not go behind it."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))  # only where the session names none
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps that are done, and the driver give memory back, now instead of whenever the
-    driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,72 +18,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def id_key(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NO_ID))
 
 
 def from_key(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have, whatever its letters' case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def text_of(column: str) -> Column:
+    """A text column as a string; null is empty."""
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def n_words(text: Column) -> Column:
-    """Words of a text: null and empty texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"{SPACE}+"))).cast("long")
+def trimmed(text: Column) -> Column:
+    """text without blanks at its ends, in one pass whatever their number."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
-def in_order(df: DataFrame, by: list[str], group: str | None = None, size: str | None = None) -> DataFrame:
-    """df with ``row_no`` (0, 1, ... in the order of ``by``, within ``group`` if given) and ``before`` (sum of size of the rows ahead).
-
-    Rows are dealt by range, numbered within their range, and shifted by the counts of the ranges ahead; only those
-    counts, one row for each range and group in it, meet in a window of their own. No task sees more than a range's
-    rows, however large a group is. ``group`` has to lead ``by``.
-    """
-    dealt = cut(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by]).withColumn("_range", F.spark_partition_id()))
-    keys = ["_range"] + ([group] if group else [])
-    amount = F.sum(size) if size else F.lit(0)
-    ahead = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), amount.alias("_size"))
-    shifts = counts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_sizes"))
-    within = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in by])
-    numbered = dealt.withColumn("_at", F.row_number().over(within) - 1)
-    if size:
-        numbered = numbered.withColumn("_sum", F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        numbered = numbered.withColumn("_sum", F.lit(0))
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return numbered.join(shifts, match).select(*df.columns, (F.col("_at") + F.col("_rows")).cast("long").alias("row_no"), (F.col("_sum") + F.col("_sizes")).cast("long").alias("before"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the smallest node that can be reached.
-
-    Alternates large-star and small-star steps until nothing changes. A step sends each node the least neighbour, by
-    a grouped minimum and a join, so a node with many neighbours is never gathered in one place.
-    """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now, print_before = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()), None
-    while True:
-        # large star: neighbours above a node move to the least node that it sees
-        sides = both(now)
-        least = sides.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # small star: the lower neighbours of a node move to the least of them
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        release(edges.sparkSession)  # a round leaves shuffle files, an old checkpoint and plans behind
-        if seen == print_before:
-            break
-        print_before = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+def n_words(text: Column) -> Column:
+    """Words of a text: null and empty texts have none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -110,8 +110,12 @@ def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
                 total = np.zeros(len(part) + 1, U)
                 np.cumsum(value, out=total[1:])
                 h = (total[e] - total[s]) * inverse[s]
-            else:  # a single word longer than a block
-                h = np.array([np.bitwise_xor.reduce(mix(np.add.reduceat(value, range(0, len(value), 64)) + np.arange((len(value) + 63) // 64, dtype=U)))], U)
+            else:  # a single word longer than a block: the same polynomial, block after block
+                total = 0
+                for i, x in enumerate(range(0, len(value), BLOCK)):
+                    own = value[x : x + BLOCK]
+                    total += int((own * power[: len(own)]).sum(dtype=U)) * pow(BYTE_BASE, i * BLOCK, 1 << 64)
+                h = np.array([total % (1 << 64)], U)
             starts.append(s + at)
             ends.append(e + at)
             hashes.append(mix(h + (e - s).astype(U) * U(0x9E3779B97F4A7C15)))
@@ -155,6 +159,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def gram_of(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the symbols of each span, for short spans of at most BLOCK symbols."""
+    _, _, _, power, inverse = _setup()
+    value = (symbols + np.uint32(1)) * power[: len(symbols)]
+    total = np.zeros(len(value) + 1, U)
+    np.cumsum(value, out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... lengths[0] numbers, then those of the next range."""
     total = int(lengths.sum())

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spark import fresh
+
 PRIME = (1 << 31) - 1
 ROUNDS = 6
 
@@ -92,38 +94,43 @@ class Permutation:
         """df with the permuted number, by arithmetic on long columns."""
         a, b = sides(self.n)
 
+        left, right, t, after = (fresh(df, x) for x in ("left", "right", "t", "after"))
+
         def once(df: DataFrame) -> DataFrame:
-            df = df.withColumn("_left", F.expr(f"`{out}` div {b}L")).withColumn("_right", F.col(out) % F.lit(b))
+            df = df.withColumn(left, F.expr(f"`{out}` div {b}L")).withColumn(right, F.col(out) % F.lit(b))
             for i, (m, c, d) in enumerate(constants(self.seed)):
-                source, target, modulus = ("_right", "_left", a) if i % 2 == 0 else ("_left", "_right", b)
-                df = df.withColumn("_t", (F.col(source) * F.lit(m) + F.lit(c)) % F.lit(PRIME))
-                df = df.withColumn("_t", (F.col("_t") * F.col("_t") + F.lit(d)) % F.lit(PRIME))
-                df = df.withColumn(target, (F.col(target) + F.col("_t")) % F.lit(modulus))
-            return df.withColumn("_next", F.col("_left") * F.lit(b) + F.col("_right"))
+                source, target, modulus = (right, left, a) if i % 2 == 0 else (left, right, b)
+                df = df.withColumn(t, (F.col(source) * F.lit(m) + F.lit(c)) % F.lit(PRIME))
+                df = df.withColumn(t, (F.col(t) * F.col(t) + F.lit(d)) % F.lit(PRIME))
+                df = df.withColumn(target, (F.col(target) + F.col(t)) % F.lit(modulus))
+            return df.withColumn(after, F.col(left) * F.lit(b) + F.col(right))
 
         df = df.withColumn(out, F.col(number).cast("long"))
-        df = once(df).withColumn(out, F.col("_next"))
+        df = once(df).withColumn(out, F.col(after))
         for _ in range(self.walks()):
-            df = once(df).withColumn(out, F.when(F.col(out) < self.n, F.col(out)).otherwise(F.col("_next")))
-        return df.drop("_left", "_right", "_t", "_next")
+            df = once(df).withColumn(out, F.when(F.col(out) < self.n, F.col(out)).otherwise(F.col(after)))
+        return df.drop(left, right, t, after)
 
 
-def permute(x: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
-    """x permuted within 0 .. n-1, with an n of its own for each number."""
+def permute(x: np.ndarray, n: np.ndarray, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """x permuted within 0 .. n-1, with an n and a seed of its own for each number; back undoes it."""
     a = np.maximum(1, np.ceil(np.sqrt(n)).astype(np.int64))
     b = np.maximum(1, -(-n // a))
+    kinds, which = np.unique(seed, return_inverse=True)
+    table = np.array([constants(int(k)) for k in kinds], np.int64).reshape(-1, ROUNDS, 3)
     out = x.astype(np.int64).copy()
-    todo = np.arange(len(out))
+    todo, sign = np.arange(len(out)), -1 if back else 1
     while len(todo):
-        aa, bb, y = a[todo], b[todo], out[todo]
+        aa, bb, y, own = a[todo], b[todo], out[todo], which[todo]
         left, right = y // bb, y % bb
-        for i, (m, c, d) in enumerate(constants(seed)):
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            m, c, d = table[own, i].T
             t = ((right if i % 2 == 0 else left) * m + c) % PRIME
             t = (t * t + d) % PRIME
             if i % 2 == 0:
-                left = (left + t) % aa
+                left = (left + sign * t) % aa
             else:
-                right = (right + t) % bb
+                right = (right + sign * t) % bb
         out[todo] = left * bb + right
         todo = todo[out[todo] >= n[todo]]
     return out

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import SPACE, cut, from_key, id_key, in_order, read
+from ..spark import cut, in_order
+from ._spark import SPACE, from_key, id_key, read, text_of, trimmed
 
 BINS = 128
 SHINGLE = 5
@@ -27,8 +28,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """
     t = lambda x: F.col(f"_{x}_{out}")
     name = lambda x: f"_{x}_{out}"
-    trimmed = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
-    df = df.withColumn(name("w"), F.split(trimmed, f"{SPACE}+"))
+    df = df.withColumn(name("w"), F.split(trimmed(F.coalesce(F.col(text_col), F.lit(""))), f"{SPACE}+"))
     many = F.transform(F.sequence(F.lit(0), F.size(t("w")) - SHINGLE), lambda i: F.xxhash64(*[F.get(t("w"), i + k) for k in range(SHINGLE)]))
     df = df.withColumn(name("h"), F.sort_array(F.when(F.size(t("w")) >= SHINGLE, many).otherwise(F.array(F.xxhash64(F.array_join(t("w"), " "))))))
     bin_of = lambda h: F.shiftrightunsigned(h, 64 - BINS.bit_length() + 1).cast("int")
@@ -59,7 +59,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts are shuffled once, by document; each sends the start that the document before it needs.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"))
     ids = texts.select("did", "tie", F.char_length("text").cast("long").alias("n_chars")).distinct()
     order = cut(in_order(ids, ["did", "tie"]).select("did", "tie", "n_chars", "row_no"))

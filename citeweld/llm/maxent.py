@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import ints, runs, whole_groups
-from ._spark import from_key, id_key, read
+from ._spark import from_key, id_key, read, text_of
 from ._words import U, Chunk, chunks, mix
 from .quality import fold
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, in_order, read
+from ..spark import in_order
+from ._spark import read
 from .feistel import PRIME, Permutation, constants
 
 SHARDS = 24
@@ -19,18 +20,18 @@ SEED = 20
 
 
 def assign_shards(rows: DataFrame, by: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """rows with ``shard`` (0 .. shards - 1) and ``slot`` (0, 1, ... without gaps in each shard).
+    """rows with ``row_no``, ``shard`` (0 .. shards - 1) and ``slot`` (0, 1, ... without gaps in each shard).
 
     Rows are numbered in the order of ``by``, nulls first; rows alike in ``by`` share out their numbers among them. The
     counts of shards differ by one at most; rows with equal contents may lie in different shards. Columns of rows that
-    are called like an added one are replaced; an empty table gives an empty result.
+    are called like one of the three are replaced, all others stay, whatever their names; an empty table gives an empty result.
     """
-    plain = rows.drop("shard", "slot", "row_no", "before")
-    numbered = in_order(plain, by).drop("before")
-    n = numbered.count()
-    place = fresh(numbered, "_place")
-    out = Permutation(n, seed).column(numbered, "row_no", place)
-    return out.select(*plain.columns, "row_no", (F.col(place) % shards).cast("int").alias("shard"), F.expr(f"`{place}` div {shards}L").alias("slot"))
+    added = ("row_no", "shard", "slot")
+    wanted = [c for c in rows.columns if c.lower() not in added]
+    plain = rows.select(F.struct("*").alias("all"), *[F.col(f"`{c}`").alias(f"by{i}") for i, c in enumerate(by)])
+    numbered = in_order(plain, [f"by{i}" for i in range(len(by))])
+    place = Permutation(numbered.count(), seed).column(numbered.select("all", "row_no"), "row_no", "place")
+    return place.select(*[F.col(f"all.`{c}`").alias(c) for c in wanted], "row_no", (F.col("place") % shards).cast("int").alias("shard"), F.expr(f"place div {shards}L").alias("slot"))
 
 
 def locate(row_no: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import ints
-from ._spark import cut, read
+from ..spark import cut
+from ._spark import read
 
 TOP = 5
 SCALE = 256

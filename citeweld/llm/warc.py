@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import cut, read
+from ..spark import cut, remove, shared_folder
+from ._spark import read
 
 LEAST = 100  # bytes of a payload from which on a copy becomes a revisit
 FILE_RECORDS = 4000  # records of an archive file
@@ -127,19 +128,13 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An empty table gives an empty result; columns other than page_id, url and html are not looked at.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:  # only where the session names none
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-    path = f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(resolve_revisits(read(spark, sf_dir, "pages")), path)
     records = read_archives(spark, path, payloads=False)
     stored = records.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("_page"))
     out = records.join(stored.withColumnRenamed("record_id", "refers"), F.col("refers_to") == F.col("refers"), "left")
     result = cut(out.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to")))
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    remove(spark, path)
     return result
 
 

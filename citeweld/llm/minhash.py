@@ -10,7 +10,8 @@ first, each member meets the bucket's least member only; that links whole groups
 a bucket that are in different components meet those that look most alike; that gathers the outlying copies. In the
 third, those that are still apart meet each other in blocks of bounded size, and 1,024 minima of each decide which
 pairs are confirmed on the full sets. So no link between components is lost, and a group of m copies costs a few times
-m confirmations instead of m * m.
+m confirmations instead of m * m. Components are found of the first round's links; from then on links join components,
+so the graph that later rounds leave is as small as what they find.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import batch, ints, lists, runs, whole_groups
-from ._spark import components, cut, from_key, id_key, read, release
+from ..spark import components, cut, hop
+from ._spark import from_key, id_key, read, text_of
 from ._words import U, WORD_BASE, Chunk, chunks, grams, mix, ranges
 
 SHINGLE = 5  # words of a shingle
@@ -165,7 +167,8 @@ def _prune(percent: int):
         for b in batches:
             if b.num_rows:
                 pick = estimates(_matrix(b["sig_a"]), _matrix(b["sig_b"])) >= floor
-                yield batch(a=ints(b["a"])[pick], b=ints(b["b"])[pick])
+                a, z = ints(b["a"])[pick], ints(b["b"])[pick]
+                yield batch(a=a, b=z, ca=a, cb=z)  # no node has a component yet but itself
 
     return run
 
@@ -176,6 +179,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _confirm(percent: int):
+    """Links between the components of pairs whose full sets are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             links = []
@@ -189,7 +194,7 @@ def _confirm(percent: int):
                 common = int((both[1:] == both[:-1]).sum())
                 links.append(100 * common >= percent * (len(x) + len(y) - common))
             pick = np.array(links, bool)
-            yield batch(a=ints(b["a"])[pick], b=ints(b["b"])[pick])
+            yield batch(a=ints(b["ca"])[pick], b=ints(b["cb"])[pick])
 
     return run
 
@@ -233,9 +238,12 @@ def _meet(floor: float, bands_of: int, best: int = 0):
                         rest, alike = rest[top], alike[top]
                     rest = rest[alike >= floor]
                     if len(rest):
-                        out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])]))
-            pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield batch(a=pairs[0], b=pairs[1])
+                        out.append(np.stack([np.full(len(rest), i), rest]))
+            x, y = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            own = np.unique(np.stack([node[x], node[y], comp[x], comp[y]]), axis=1)
+            yield batch(a=own[0], b=own[1], ca=own[2], cb=own[3])
 
     return run
 
@@ -263,53 +271,57 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     looked at; an empty table gives an empty result. Below 11 percent the bands cannot find all pairs: a ``ValueError``.
     """
     n_bands, n_rows = bands_for(percent)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"))
     base = cut(texts.mapInArrow(_describe(n_bands, n_rows), "did long, tie long, n_shingles long, print1 long, print2 long, bands array<long>, signature binary").withColumn("row", F.monotonically_increasing_id()))
     # a node is the number of the row that leads a class
     lead = F.min(F.struct("did", "tie", "row")).alias("lead")
     classes = cut(base.where("n_shingles > 0").groupBy("print1", "print2").agg(lead).select("print1", "print2", "lead.did", "lead.tie", F.col("lead.row").alias("node")))
-    reps = cut(base.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "signature"))
-    buckets = reps.select("node", F.explode("bands").alias("bucket"))
+    buckets = base.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
     members = cut(buckets.join(shared, "bucket"))
-    met = classes.join(members.select("node").distinct(), "node", "left_semi").select("did", "tie", "node")
+    met = cut(classes.join(members.select("node").distinct(), "node", "left_semi").select("did", "tie", "node"))
+    reps = cut(base.join(met.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "bands", "signature"))
     sets = cut(texts.join(met.hint("shuffle_hash"), ["did", "tie"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
-
-    release(docs.sparkSession)
+    pairs_of = "a long, b long, ca long, cb long"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct()
+        return cut(full.select("ca", "cb", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
 
     star = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     sig = lambda side: reps.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}"))
-    first = cut(confirmed(star.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent), "a long, b long")))
+    first = confirmed(star.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent), pairs_of))
 
-    def apart(edges: DataFrame, fine: bool) -> DataFrame:
+    def apart(labels: DataFrame, fine: bool) -> DataFrame:
         """Members of buckets that hold several components, dealt into blocks that bring every two of a bucket together."""
-        rest = members.where("node != head").join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = members.where("node != head").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
         parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+        rest = cut(rest.join(split.select("bucket", parts.alias("parts")), "bucket").select("bucket", "node", "component", "parts"))
         dealt = (
-            rest.join(split.select("bucket", parts.alias("parts")), "bucket")
-            .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+            rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             .withColumn("block", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
             .withColumn("cross", (F.col("part") != F.col("other")).cast("long"))
         )
         known = reps.select("node", "signature", "bands")
         if fine:
-            there = rest.join(split.select("bucket"), "bucket").select("node").distinct()
+            there = rest.select("node").distinct()
             known = sets.join(there, "node", "left_semi").mapInArrow(_fine, "node long, signature binary").join(reps.select("node", "bands"), "node")
         return dealt.join(known, "node").select("block", "bucket", "node", "component", "part", "cross", "signature", "bands").repartition("block").sortWithinPartitions("block")
 
-    second = cut(first.unionByName(confirmed(apart(first, fine=False).mapInArrow(_meet(floor_for(percent, HASHES), n_bands, BEST), "a long, b long").distinct())))
-    release(docs.sparkSession)
-    third = confirmed(apart(second, fine=True).mapInArrow(_meet(floor_for(percent, FINE), n_bands), "a long, b long").distinct())
-    joined = cut(components(second.unionByName(third)))
-    del first, second, third
-    release(docs.sparkSession)
+    def meet(labels: DataFrame, fine: bool) -> DataFrame:
+        run = _meet(floor_for(percent, FINE), n_bands) if fine else _meet(floor_for(percent, HASHES), n_bands, BEST)
+        return confirmed(apart(labels, fine).mapInArrow(run, pairs_of).dropDuplicates(["a", "b"]))
+
+    # links of the later rounds join components of the first one, so their graphs are small
+    ones = cut(components(first))
+    second = meet(ones, fine=False)
+    near = cut(ones.join(hop(second).select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("to", "component").alias("component")))
+    third = meet(near, fine=True)
+    last = components(second.unionByName(third)).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    joined = cut(ones.join(last, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("to", "component").alias("component")))
     grouped = classes.join(joined, "node")
     heads = grouped.groupBy("component").agg(F.min(F.struct("did", "tie")).alias("lead"))
     led = grouped.join(heads, "component").select("node", "lead")

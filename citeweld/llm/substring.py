@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import batch, ints, lists, runs, tidy, whole_groups
-from ._spark import from_key, id_key, read
+from ._spark import from_key, id_key, read, text_of
 from ._words import U, Chunk, chunks, grams, mix, ranges
 
 WINDOW = 20  # words that make a repeat
 SEED = 8  # words of an anchor
+PART = 63  # windows that the bits of a number stand for
 HOLD = 1_000_000  # anchors that a task holds before it settles what recurs among them
 
 
@@ -60,7 +61,7 @@ def _settle_seeds(keys: list, docs: list, at: list) -> Iterator[pa.RecordBatch]:
     marks = first[n > 1]
     yield batch(
         k=np.r_[k[~often].view(np.int64), own, k[marks].view(np.int64)],
-        did=np.r_[d[~often], d[often], d[marks]],
+        doc=np.r_[d[~often], d[often], d[marks]],
         pos=np.r_[p[~often], p[often], np.full(len(marks), -1)].astype(np.int32),
         known=np.r_[np.zeros((~often).sum(), bool), np.ones(often.sum(), bool), np.zeros(len(marks), bool)],
     )
@@ -70,7 +71,7 @@ def _seeds(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, at, held = [], [], [], 0
         for b in batches:
-            did = ints(b["did"])
+            doc = ints(b["doc"])
             for c in chunks(b["text"]):
                 start, lead, g = _anchors(c, window, seed)
                 if not len(start):
@@ -78,7 +79,7 @@ def _seeds(window: int, seed: int):
                 lead = lead[np.r_[True, lead[1:] != lead[:-1]]]
                 text = np.searchsorted(c.off, lead, "right") - 1
                 keys.append(g[lead])
-                docs.append(did[c.first + text])
+                docs.append(doc[c.first + text])
                 at.append(lead - c.off[text])
                 held += len(lead)
                 if held >= HOLD:
@@ -95,7 +96,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, pos, known = ints(t["k"]), ints(t["pos"]), t["known"].combine_chunks().to_numpy(zero_copy_only=False)
         first, n = runs(k)
         keep = (np.repeat(n > 1, n) | known) & (pos >= 0)
-        yield batch(did=ints(t["did"])[keep], pos=pos[keep].astype(np.int32))
+        yield batch(doc=ints(t["doc"])[keep], pos=pos[keep].astype(np.int32))
 
 
 def _settle_spans(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,7 @@ def _spans(window: int, seed: int):
                 own = slice(c.first, c.first + c.texts)
                 mine = at[ranges(begin[own], where[own])]
                 text = np.repeat(np.arange(c.texts), where[own])
-                inside = mine < np.diff(c.off)[text]  # places of another text under the same id may lie outside
+                inside = mine < np.diff(c.off)[text]  # places of another document with the same hash may lie outside
                 wanted = np.zeros(len(c.hash) + 1, bool)
                 wanted[(c.off[text] + mine)[inside]] = True
                 pick = wanted[lead]
@@ -144,6 +145,10 @@ def _spans(window: int, seed: int):
                 new = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (text[1:] != text[:-1])])
                 n = np.diff(np.r_[new, len(start)])
                 step = np.arange(len(start)) - np.repeat(new, n)
+                if len(n) and n.max() > PART:  # what a number cannot hold a bit for goes into a part of its own
+                    step %= PART
+                    new = np.flatnonzero(step == 0)
+                    n = np.diff(np.r_[new, len(start)])
                 parts.append({"k": g[lead[new]], "print": np.add.reduceat(mix(w + step.astype(U) * U(0x9E3779B97F4A7C15)), new), "n": n, "did": did[c.first + text[new]], "tie": tie[c.first + text[new]], "lo": start[new] - c.off[text[new]], "_w": w})
                 held += len(w)
                 if held >= 2 * HOLD:
@@ -250,20 +255,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts have no words; empty texts give an empty ``kept``. A null id counts as the smallest. Rows with one id
     and one text are one document and all get its result; of several texts under an id, that with the smaller
-    ``xxhash64`` counts as earlier. Other columns of docs are not looked at, whatever their names; an empty table gives
-    an empty result.
+    ``xxhash64`` counts as earlier. Documents are told apart by id and text, so many texts under one id, or under none,
+    cost no more than under ids of their own. Other columns of docs are not looked at, whatever their names; an empty
+    table gives an empty result. A window shorter than a seed is a ``ValueError``.
     """
+    if not 0 < seed <= window:
+        raise ValueError(f"a window of {window} words holds no seed of {seed}")
     names = [f"_c{i}" for i in range(len(carry))]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    seeds = texts.select("did", "text").mapInArrow(tidy(_seeds(window, seed)), "k long, did long, pos int, known boolean")
-    places = seeds.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_recurring), "did long, pos int")
-    by_doc = places.groupBy("did").agg(F.collect_list("pos").alias("seeds"))
-    spans = texts.join(by_doc.hint("shuffle_hash"), "did").select("did", "tie", "text", "seeds").mapInArrow(tidy(_spans(window, seed)), "k long, did long, tie long, lo int, n int, windows array<long>")
+    text = text_of(text_col)
+    texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
+    doc = F.xxhash64("did", "tie").alias("doc")  # of equal texts another one for each id
+    texts = texts.select("*", doc)
+    seeds = texts.select("doc", "text").mapInArrow(tidy(_seeds(window, seed)), "k long, doc long, pos int, known boolean")
+    places = seeds.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_recurring), "doc long, pos int")
+    by_doc = places.groupBy("doc").agg(F.collect_set("pos").alias("seeds"))  # rows that repeat a document find the same places
+    spans = texts.join(by_doc.hint("shuffle_hash"), "doc").select("did", "tie", "text", "seeds").mapInArrow(tidy(_spans(window, seed)), "k long, did long, tie long, lo int, n int, windows array<long>")
     repeats = spans.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_repeats), "did long, tie long, lo int, bits long")
-    found = repeats.groupBy("did").agg(F.collect_list(F.struct("tie", "lo", "bits")).alias("found"))
-    kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
-    out = texts.join(found.hint("shuffle_hash"), "did", "left").mapInArrow(tidy(_cut(window, ["did", *names])), f"did long{kinds}, n_words long, n_removed long, kept string, kept_layout string, removed array<struct<start: long, words: long>>")
+    found = repeats.groupBy(doc).agg(F.collect_set(F.struct("tie", "lo", "bits")).alias("found"))
+    kinds = "".join(f", {n} {docs.select(f'`{c}`').schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
+    out = texts.join(found.hint("shuffle_hash"), "doc", "left").mapInArrow(tidy(_cut(window, ["did", *names])), f"did long{kinds}, n_words long, n_removed long, kept string, kept_layout string, removed array<struct<start: long, words: long>>")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "n_words", "n_removed", "kept", "kept_layout", "removed")
 
 

@@ -4,8 +4,9 @@ Features of a text: its hashed words (log counts, scaled to length one), statist
 Each feature has a weight and a short vector; two features add the product of their values and the inner product of
 their vectors. All pairs together cost one pass: half of the square of the summed vectors less the sum of squares.
 
-The machine is fitted on at most ``max_train`` labelled texts, the first ones by a hash of their ids, and then scores
-every text in numpy batches. Neither label, language, source nor id is an input.
+The machine is fitted on at most ``max_train`` labelled texts with ``max_features`` distinct words between them, the first
+ones by a hash of their ids, and then scores every text in numpy batches. Neither label, language, source nor id is an input,
+so the text's length in characters and words is all the metadata that is left to use.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._arrow import give_back, ints, lists, tidy
-from ._spark import from_key, id_key, read
+from ..spark import cut
+from ._spark import from_key, id_key, read, text_of
 from ._words import U, Chunk, chunks
 
 BUCKETS = 1 << 17
 RANK = 8
-MAX_TRAIN = 8000  # labelled texts to fit on: a bound on what the driver holds
+MAX_TRAIN = 8000  # labelled texts to fit on, and
+MAX_FEATURES = 4_000_000  # words in them, distinct within a text: bounds on what the driver holds (8 bytes a word)
 EPOCHS = 8
 STATS = ("log_chars", "log_words", "upper", "digit", "line", "stop", "symbol", "high", "length", "spread", "distinct", "top", "short", "long", "capital", "stopped")
 
@@ -134,27 +137,33 @@ def fit(ptr: np.ndarray, bucket: np.ndarray, value: np.ndarray, stats: np.ndarra
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for c in chunks(b["text"]):
+        for c in chunks(b["text"], limit=1 << 20):
             who, bucket, value, stats = features(c)
             size = np.bincount(who, minlength=c.texts)
             part = b.slice(c.first, c.texts)
-            yield pa.RecordBatch.from_arrays([part["did"], part["tie"], part["label"], lists(bucket.astype(np.int32), size), lists(value.astype(np.float32), size), lists(stats.reshape(-1), np.full(c.texts, stats.shape[1]))], names=["did", "tie", "label", "bucket", "value", "stats"])
+            yield pa.RecordBatch.from_arrays([part["did"], part["tie"], part["label"], pa.array(size), lists(bucket.astype(np.int32), size), lists(value.astype(np.float32), size), lists(stats.reshape(-1), np.full(c.texts, stats.shape[1]))], names=["did", "tie", "label", "n", "bucket", "value", "stats"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """Fits a machine on the labelled rows of docs; labels has an id and a label of 0 or 1 (the largest of several counts).
 
-    Rows without an id or a label are left out. Without any labelled text every score is one half.
+    Rows without an id or a label are left out. Of an id that repeats, the text with the least ``xxhash64`` counts, once. Null
+    texts are empty ones. Without any labelled text, so also with an empty table, every score is one half. Only the named
+    columns are looked at. The features of labelled texts are kept as a table; the driver takes those of the first ids in the
+    order of their hashes until one of the two bounds is reached.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("did")).agg(F.max(F.col(label_col).cast("long")).alias("label"))
+    known = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").cast("long").alias("did")).agg(F.max(F.col(f"`{label_col}`").cast("long")).alias("label"))
     picked = known.orderBy(F.xxhash64("did"), "did").limit(max_train)
-    texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("did"), text_of(text_col).alias("text"))
     # max_train rows of two longs are the proven size of the broadcast side
-    found = texts.join(F.broadcast(picked), "did").select("did", F.xxhash64("text").alias("tie"), "label", "text").mapInArrow(tidy(_collect), "did long, tie long, label long, bucket array<int>, value array<float>, stats array<double>").toArrow()
+    every = cut(texts.join(F.broadcast(picked), "did").select("did", F.xxhash64("text").alias("tie"), "label", "text").mapInArrow(tidy(_collect), "did long, tie long, label long, n long, bucket array<int>, value array<float>, stats array<double>"))
+    one = every.groupBy("did").agg(F.min(F.struct("tie", "n")).alias("own")).select("did", "own.tie", "own.n")
+    held = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("did"), "did"))  # of max_train rows at most
+    chosen = one.withColumn("held", held).where(F.col("held") <= max_features).select("did", "tie")
+    found = every.join(F.broadcast(chosen), ["did", "tie"]).dropDuplicates(["did"]).toArrow()
     if not found.num_rows:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(STATS))), np.zeros(0))
-    order = np.lexsort((ints(found["tie"]), ints(found["did"])))  # rows come in any order; a fit can be repeated
-    found = found.take(pa.array(order)).combine_chunks()
+    found = found.take(pa.array(np.argsort(ints(found["did"]), kind="stable"))).combine_chunks()  # rows come in any order; a fit can be repeated
     bucket, label = found["bucket"].combine_chunks(), ints(found["label"]).astype(float)
     ptr = np.r_[0, np.cumsum(bucket.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
     stats = found["stats"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
@@ -183,15 +192,15 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 out.append(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
             yield pa.RecordBatch.from_arrays([b["did"], *[b[x] for x in names], pa.array(np.concatenate(out) if out else np.zeros(0))], names=["did", *names, "score"])
 
-    texts = docs.select(id_key(id_col).alias("did"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
+    texts = docs.select(id_key(id_col).alias("did"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], text_of(text_col).alias("text"))
+    kinds = "".join(f", {n} {docs.select(f'`{c}`').schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
     out = texts.mapInArrow(tidy(run), f"did long{kinds}, score double")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "score")
 
 
 def fold(column: str, folds: int) -> Column:
     """crc32 of an id as text, modulo folds; null for a null id."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+    return F.crc32(F.col(f"`{column}`").cast("string").cast("binary")) % folds
 
 
 def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

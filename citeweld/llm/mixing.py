@@ -1,10 +1,12 @@
 """Mixing sources to target weights by blocks.
 
-The words of each source, its documents in the order of their ids, are packed into blocks of 64 words. A source's
-target number of words gives its number of draws. Draws become slots: a pseudorandom permutation of all slots deals
-them over output shards, so the counts of sources in a shard are a multinomial draw conditioned on the targets, and a
-pseudorandom permutation of the source's block numbers turns its k-th slot into a block, pass after pass, so no block
-is drawn twice more often than another of its source. Slots and blocks are then joined by source and block number.
+The words of each source, its documents in the order of their ids, are packed into blocks of 64 words. A source's target
+number of words gives its number of draws. For each output shard of 4,096 slots the counts of the sources are a multinomial
+draw with a seed of the shard's own. Draws of their own would miss the targets of small sources and the limit on repeats, so
+the sums are then reconciled: in the order of shards, slots that a source has no draws left for go to the sources that have.
+A source's k-th slot is place ``k mod blocks`` of pass ``k div blocks``; a pseudorandom permutation of the block numbers, with
+a seed for each source and pass, turns it into a block, so no block is drawn twice more often than another. The last draw
+takes only the words that are left of the target. Slots and blocks are then joined by source and block number.
 
 Everything is computed from ids, sizes and the seed, so reruns agree. Texts are not moved to choose the mix.
 """
@@ -15,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..spark import cut, in_order
 from ._arrow import batch, ints
-from ._spark import cut, from_key, id_key, in_order, n_words, read
+from ._spark import from_key, id_key, n_words, read, text_of
+from ._words import U, ranges
+from ._words import mix as spread_bits
 from .feistel import permute
 
 BLOCK = 64  # words of a block
@@ -27,7 +32,8 @@ SHARD = 4096  # slots of an output shard
 WEIGHTS = (1.0, 2.0, 3.0)  # of the sources in order, repeating
 MOST = 3  # times a source's size that its target may be
 SEED = 10
-SPREAD = 1 << 16  # slots that one row unfolds to
+GROUP = 1 << 16  # sources that a multinomial draw deals with at once
+SPREAD = 1 << 17  # slots that a task unfolds to, about
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -37,7 +43,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     times its source's size. Each round finds the share of the sources that are not at their limit by one sum over the
     sources and fixes those that reach it, until none does.
     """
-    sources = in_order(sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull()), ["_null", "source"])
+    sources = in_order(sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull()), ["_null", "source"], unique=True)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("row_no") % len(weights) + 1).cast("int"))
     table = cut(sources.select("source", F.col("row_no").alias("source_no"), "source_size", weight.alias("weight")))
     limit = F.col("source_size") * F.lit(float(most))
@@ -55,49 +61,145 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return table.select("source", "source_no", "source_size", target.cast("double").alias("target"))
 
 
-def _draw(seed: int, shard: int):
+def seeds(seed: int, *numbers: np.ndarray) -> np.ndarray:
+    """A seed for each row of numbers."""
+    out = np.full(len(numbers[0]), seed, U)
+    for x in numbers:
+        out = spread_bits(out * U(0x9E3779B97F4A7C15) + x.astype(U) + U(1))
+    return out
+
+
+def _plan(seed: int, size_of_block: int):
+    """How often each source draws, and how many words its last draw takes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            no, slot, blocks, ahead, slots = (ints(b[c]) for c in ("source_no", "slot", "blocks", "ahead", "slots"))
-            epoch = slot // blocks
-            place = permute(ahead + slot, slots, seed)
-            # a pass of its own permutation for each epoch would need a seed for each; shifting the slot does as well
-            at = permute((slot + epoch * 7919) % blocks, blocks, seed + 1)
-            yield batch(source_no=no, block=at, epoch=epoch, shard=place // shard, place=place % shard)
+            no, size, wanted = (ints(b[c]) for c in ("source_no", "source_size", "wanted"))
+            blocks = -(-size // size_of_block)
+            short = size - size_of_block * (blocks - 1)  # words of the last block
+            epoch, rest = wanted // size, wanted % size
+            # of the pass that is not whole: where its short block comes, and how many blocks hold the rest
+            at = permute(blocks - 1, blocks, seeds(seed, no, epoch), back=True)
+            draws = np.where(rest <= size_of_block * at, -(-rest // size_of_block), 1 + -(-np.maximum(rest - short, 0) // size_of_block))
+            before = np.where(draws - 1 <= at, size_of_block * (draws - 1), size_of_block * (draws - 2) + short)
+            last = np.where(rest > 0, rest - before, size_of_block)
+            yield batch(source_no=no, blocks=blocks, draws=epoch * blocks + np.where(rest > 0, draws, 0), last=last)
 
     return run
 
 
+def _rng(seed: int, *numbers: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64([seed, *numbers]))
+
+
+def _share_out(seed: int, shard: int, total: int, weights: np.ndarray):
+    """Multinomial counts of each group of sources for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in ints(b["id"]).tolist():
+                n = _rng(seed, s).multinomial(min(shard, total - s * shard), weights / weights.sum())
+                kept = np.flatnonzero(n)
+                yield batch(shard=np.full(len(kept), s), group=kept, n=n[kept])
+
+    return run
+
+
+def _share_group(seed: int):
+    """Multinomial counts of the sources of a group for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, group, n = (ints(b[c]) for c in ("shard", "group", "n"))
+            sources, draws = b["sources"], b["draws"]
+            for i in range(b.num_rows):
+                weight = draws[i].values.to_numpy(zero_copy_only=False).astype(float)
+                own = _rng(seed, int(shard[i]), int(group[i])).multinomial(n[i], weight / weight.sum())
+                kept = np.flatnonzero(own)
+                yield batch(shard=np.full(len(kept), shard[i]), source_no=sources[i].values.to_numpy(zero_copy_only=False)[kept], n=own[kept])
+
+    return run
+
+
+def _unfold(seed: int, size_of_block: int):
+    """A row for each slot: its block, its pass, its place in the shard and how many words of the block it takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {x: ints(b[x]) for x in b.schema.names}
+            end = np.cumsum(c["n"])
+            at = 0
+            while at < b.num_rows:
+                stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SPREAD, "right")))
+                own = {x: v[at:stop] for x, v in c.items()}
+                at = stop
+                row = np.repeat(np.arange(len(own["n"])), own["n"])
+                step = ranges(np.zeros(len(own["n"]), np.int64), own["n"])
+                no, shard, blocks, slot = own["source_no"][row], own["shard"][row], own["blocks"][row], own["first"][row] + step
+                epoch = slot // blocks
+                block = permute(slot % blocks, blocks, seeds(seed, no, epoch))
+                place = permute(own["ahead"][row] + step, own["slots"][row], seeds(seed + 1, shard))
+                words = np.where(slot == own["draws"][row] - 1, own["last"][row], size_of_block)
+                yield batch(source_no=no, block=block, epoch=epoch, shard=shard, place=place, most=words)
+
+    return run
+
+
+def draw(sources: DataFrame, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD) -> DataFrame:
+    """(source_no, block, epoch, shard, place, most): a row for each slot of the mix; ``most`` words of its block count."""
+    spark = sources.sparkSession
+    wanted = sources.where("source_size > 0").select("source_no", "source_size", F.round("target").cast("long").alias("wanted")).where("wanted > 0")
+    plan = cut(wanted.mapInArrow(_plan(seed, block), "source_no long, blocks long, draws long, last long"))
+    groups = plan.groupBy(F.expr(f"source_no div {GROUP}L").alias("group")).agg(F.sum("draws").alias("all"), F.array_sort(F.collect_list(F.struct("source_no", "draws"))).alias("own"))
+    sums = groups.select("group", "all").toArrow()  # a number for each 65,536 sources
+    total = sum(sums["all"].to_pylist())
+    if not total:
+        return plan.where("false").select("source_no", *[F.lit(0).cast("long").alias(c) for c in ("block", "epoch", "shard", "place", "most")])
+    weights = np.zeros(max(sums["group"].to_pylist()) + 1)
+    weights[sums["group"].to_numpy()] = sums["all"].to_numpy()
+    shards = spark.range(0, -(-total // shard_slots), 1, max(1, total // (shard_slots * 256)))
+    dealt = shards.mapInArrow(_share_out(seed, shard_slots, total, weights), "shard long, group long, n long")
+    lists = groups.select("group", F.col("own.source_no").alias("sources"), F.col("own.draws").alias("draws"))
+    # one group has 65,536 sources of two numbers at most; more of them are joined
+    counts = dealt.join(F.broadcast(lists) if len(weights) == 1 else lists, "group").mapInArrow(_share_group(seed), "shard long, source_no long, n long")
+    # in the order of shards, a source takes what it drew until it has all its draws
+    taken = cut(in_order(counts, ["source_no", "shard"], group="source_no", size="n", unique=True).join(plan.select("source_no", "draws"), "source_no").withColumn("own", F.greatest(F.lit(0), F.least("n", F.col("draws") - F.col("before")))))
+    spare = in_order(taken.groupBy("shard").agg(F.sum(F.col("n") - F.col("own")).alias("n")).where("n > 0"), ["shard"], size="n", unique=True)
+    have = taken.groupBy("source_no").agg(F.sum("own").alias("own"))
+    lacking = in_order(plan.join(have, "source_no", "left").select("source_no", F.coalesce("own", F.lit(0)).alias("own"), (F.col("draws") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0"), ["source_no"], size="n", unique=True)
+    units = lambda d, *columns: d.select(*columns, "before", F.explode(F.sequence("before", F.col("before") + F.col("n") - 1)).alias("unit"))
+    more = units(spare, "shard").drop("before").join(units(lacking, "source_no", "own"), "unit").select("shard", "source_no", (F.col("own") + F.col("unit") - F.col("before")).alias("first"), F.lit(1).cast("long").alias("n"))
+    parts = taken.where("own > 0").select("shard", "source_no", F.col("before").alias("first"), F.col("own").alias("n")).unionByName(more)
+    inside = Window.partitionBy("shard")
+    ahead = F.coalesce(F.sum("n").over(inside.orderBy("source_no", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = parts.select("*", ahead.alias("ahead"), F.sum("n").over(inside).alias("slots")).join(plan, "source_no").repartition(max(1, total // SPREAD), "shard")
+    return laid.mapInArrow(_unfold(seed, block), "source_no long, block long, epoch long, shard long, place long, most long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of docs as three tables.
 
     ``documents``: doc (a number within the source), id, size, source columns and target. ``pieces``: for each drawn
     slot (shard, place) the pieces of documents in its block: source_no, doc, epoch, from_word, words. ``sources``: the
-    targets, see ``source_targets``.
+    targets, see ``source_targets``. The words taken of a source are its target, rounded.
 
     Null texts and texts without words have size 0 and are never drawn; they belong to their source all the same. A null
     source is a source of its own, the last one. Rows that repeat an id each hold their own words. Only the named columns
     are looked at; an empty table gives empty results.
     """
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), id_key(id_col).alias("did"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tie"), n_words(F.col(text_col).cast("string")).alias("size"))
+    sized = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), id_key(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("tie"), n_words(text_of(text_col)).alias("size"))
     numbered = cut(in_order(sized, ["source", "did", "tie"], group="source", size="size"))
     sources = cut(source_targets(numbered.select("source", "size")))
-    blocks = F.ceil(F.col("source_size") / F.lit(float(block))).cast("long")
-    draws = sources.where("source_size > 0").select("source_no", blocks.alias("blocks"), F.round(F.col("target") / F.col("source_size") * blocks).cast("long").alias("draws"))
-    draws = in_order(draws, ["source_no"], size="draws").select("source_no", "blocks", "draws", F.col("before").alias("ahead"))
-    slots_total = draws.agg(F.sum("draws")).first()[0] or 0
-    spread = draws.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {SPREAD}L"))).alias("_part")).repartition("source_no", "_part")
-    slots = spread.select("source_no", "blocks", "ahead", F.explode(F.sequence(F.col("_part") * SPREAD, F.least(F.col("draws"), (F.col("_part") + 1) * SPREAD) - 1)).alias("slot")).withColumn("slots", F.lit(slots_total).cast("long"))
-    drawn = slots.select("source_no", "slot", "blocks", "ahead", "slots").mapInArrow(_draw(seed, shard_slots), "source_no long, block long, epoch long, shard long, place long")
+    drawn = draw(sources, block, seed, shard_slots)
     named = numbered.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("source", "source_no", "did", "tie", "size", F.col("row_no").alias("doc"), "before", "source_size", "target")
     laid = named.where("size > 0").select("source_no", "doc", "size", "before", F.explode(F.sequence(F.expr(f"before div {block}L"), F.expr(f"(before + size - 1) div {block}L"))).alias("block"))
     start, end = F.greatest(F.col("block") * block, F.col("before")), F.least((F.col("block") + 1) * block, F.col("before") + F.col("size"))
-    parts = laid.select("source_no", "block", "doc", (start - F.col("before")).alias("from_word"), (end - start).alias("words"))
-    # neither side has a bound: slots look as small as the sources that they unfold from, so the join is stated
-    pieces = drawn.hint("merge").join(parts, ["source_no", "block"]).select("shard", "place", "source_no", "block", "epoch", "doc", "from_word", "words")
-    return named, pieces, sources
+    parts = laid.select("source_no", "block", "doc", (start - F.col("before")).alias("from_word"), (start - F.col("block") * block).alias("at"), (end - start).alias("own"))
+    # neither side has a bound: slots look as small as the counts that they unfold from, so the join is stated
+    pieces = drawn.hint("merge").join(parts, ["source_no", "block"]).withColumn("words", F.least("own", F.col("most") - F.col("at"))).where("words > 0")
+    return named, pieces.select("shard", "place", "source_no", "block", "epoch", "doc", "from_word", "words"), sources
 
 
 def op10_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,25 +239,40 @@ def _lay_out(names: list[str]):
     return run
 
 
+def _numbered_twins(texts: DataFrame, alike: list[str]) -> DataFrame:
+    """texts with ``twin``: 0, 1, ... among the rows that are equal in the columns alike, however many those are.
+
+    Rows are numbered within the partition that they are read from, and shifted by the counts of the partitions ahead.
+    """
+    kept = cut(texts.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
+    ahead = Window.partitionBy(*alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = kept.groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n")).select(*alike, "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shift"))
+    at = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("place")) - 1
+    return kept.withColumn("at", at).join(shift, [*alike, "part"]).withColumn("twin", (F.col("at") + F.col("shift")).cast("long")).drop("part", "place", "at", "shift")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), **options: int) -> DataFrame:
     """The mix as documents: of each document a row for every pass that takes words of it, with those words as its text.
 
     A pass that takes all of a document leaves its text as it is; gaps become line ends. Rows that the mix does not take
-    are not returned.
+    are not returned. Rows alike in source, id and text are documents of their own: the n-th of them takes the n-th plan.
+    Nulls, empty texts and tables are taken as ``mix`` does.
     """
     documents, pieces, _ = mix(docs, id_col, text_col, source_col, **options)
     found = pieces.groupBy("source_no", "doc").agg(F.collect_list(F.struct("epoch", "from_word", "words")).alias("found"))
-    plan = documents.join(found, ["source_no", "doc"]).select("source", "did", "tie", "size", "found")
-    from pyspark.sql import Window
-
     names = [f"_c{i}" for i in range(len(carry))]
-    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("")).alias("_k")  # noqa: E731  # equal where sources are, null or not
-    texts = docs.select(named(F.col(source_col).cast("string")), id_key(id_col).alias("did"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tie"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    # rows alike in source, id and text: the n-th of them takes the n-th of their plans, if there is one
-    plans = plan.groupBy("did", "tie", named(F.col("source"))).agg(F.collect_list("found").alias("_all"), F.first("source").alias("source"), F.first("size").alias("size"))
-    numbered = texts.withColumn("_twin", F.row_number().over(Window.partitionBy("did", "tie", "_k").orderBy(F.lit(1))))
-    joined = numbered.join(plans, ["did", "tie", "_k"]).withColumn("found", F.get("_all", F.col("_twin") - 1))
-    flat = joined.where("found IS NOT NULL").select("did", "source", "text", "size", *names, "found")
-    kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # equal where sources are, null or not
+    alike = ["did", "tie", "key"]
+    # equal rows follow each other in a source, so the first one's number tells which of them a row is
+    own = cut(documents.select("source_no", "doc", "source", "did", "tie", "size", key.alias("key")))
+    firsts = own.groupBy(*alike).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    plans = own.join(found, ["source_no", "doc"]).join(firsts, alike).select(*alike, "size", "found", (F.col("doc") - F.col("first")).alias("twin"))
+    texts = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), id_key(id_col).alias("did"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)]).withColumn("key", key)
+    if firsts.where("n > 1").isEmpty():
+        joined = texts.join(plans.drop("twin"), alike)
+    else:
+        joined = _numbered_twins(texts, alike).join(plans, [*alike, "twin"])
+    flat = joined.select("did", "source", "text", "size", *names, "found")
+    kinds = "".join(f", {n} {docs.select(f'`{c}`').schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
     out = flat.mapInArrow(_lay_out(["did", "source", *names]), f"did long, source string{kinds}, text string")
     return out.select(from_key("did").alias(id_col), F.col("text").alias(text_col), F.col("source").alias(source_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])

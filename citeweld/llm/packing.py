@@ -15,16 +15,17 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..spark import cut
 from ._arrow import ints, runs
-from ._spark import from_key, id_key, read
-from ._words import U, chunks, mix, ranges
+from ._spark import from_key, id_key, read, text_of
+from ._words import BLOCK, U, chunks, gram_of, mix, ranges
 
 WINDOW = 1024
 END_ID = 0  # follows each document
@@ -32,14 +33,23 @@ SHARD_BYTES = 4 << 20  # texts of a shard
 TERMS = 1 << 18  # hashed terms of the index
 K1, B = 1.2, 0.75
 
-#: Fixed value: how a byte-level BPE splits a text before it merges.
-_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SLOTS = 20  # bits of the number of pieces whose ids a worker remembers
+MOST_IDS = 1 << 24  # ids of those pieces
+LONG = 256  # characters of a piece from which on the file's own library merges it
+
+#: The ends of words that a byte-level BPE cuts off at an apostrophe.
+_ONE, _TWO = "sdmt", ("ll", "ve", "re")
 _tokenizers: dict[str, Coder] = {}
 
 
 class Coder:
-    """Ids of a tokenizer file. Where its merges are in the order of its ids, as those of a plain byte-level BPE are, a faster
-    library merges by the same ranks; other files, and texts that hold a special token, go to the file's own library."""
+    """Ids of a tokenizer file.
+
+    A plain byte-level BPE, whose merges are in the order of its ids, cuts a text into pieces that are merged for themselves.
+    Such texts are cut here for many at once, and each distinct piece is merged once, by a faster library with the same
+    ranks, long ones by the file's own library. What kind a character is comes from the file's own library too. Other files,
+    and texts that hold a special token, go to that library as a whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,7 +59,11 @@ class Coder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [t["content"] for t in file.get("added_tokens", ())]
-        self.fast = self._ranked(file)
+        self.ranked = self._ranked(file)
+        # ids of pieces met before: a place for each hash, the latest piece stays
+        self.key, self.begin, self.size = np.zeros(1 << SLOTS, U), np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
 
     def _ranked(self, file: dict) -> object | None:
         model, before = file["model"], file.get("pre_tokenizer") or {}
@@ -65,17 +79,122 @@ class Coder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
-        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranked", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        """LETTER, DIGIT, BLANK or OTHER for each character: those that the file's own library leaves in one piece are alike."""
+        out = self.kinds[points]
+        if (out == UNKNOWN).any():
+            cut = self.own.pre_tokenizer.pre_tokenize_str
+            for x in np.unique(points[out == UNKNOWN]).tolist():
+                alike = (k for k, like in ((LETTER, "a"), (DIGIT, "1"), (OTHER, "!")) if len(cut(like + chr(x))) == 1)
+                self.kinds[x] = next(alike, BLANK)
+            out = self.kinds[points]
+        return out
+
+    def _merged(self, piece: str) -> list[int]:
+        return self.own.encode(piece, add_special_tokens=False).ids if len(piece) > LONG else self.ranked.encode_ordinary(piece)
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        bounds = np.r_[0, np.cumsum([len(t) for t in texts])]
+        start, end = pieces(points, self._kinds(points), bounds)
+        key = np.maximum(gram_of(points, start, end), U(1))
+        key[end - start > LONG] = 0  # never remembered
+        slot = (key >> U(64 - SLOTS)).astype(np.int64)
+        begin, size = self.begin[slot], self.size[slot]
+        new = np.flatnonzero((self.key[slot] != key) | (key == 0))
+        if len(new):
+            own, first, back = np.unique(np.where(key[new] > 0, key[new], start[new].astype(U)), return_index=True, return_inverse=True)
+            first = new[first]
+            ids = [self._merged(whole[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            n = np.array([len(x) for x in ids], np.int64)
+            at = self.used + np.cumsum(n) - n
+            self._keep(list(chain.from_iterable(ids)))
+            begin[new], size[new] = at[back], n[back]
+            kept = key[first] > 0
+            self.key[slot[first[kept]]], self.begin[slot[first[kept]]], self.size[slot[first[kept]]] = key[first[kept]], at[kept], n[kept]
+        out = self.flat[ranges(begin, size)].astype("<u4", copy=False).tobytes()
+        at = 4 * np.r_[0, np.cumsum(size)][np.searchsorted(start, bounds, "left")]
+        if self.used > MOST_IDS:
+            self.key[:], self.used = 0, 0
+        return [out[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _keep(self, ids: list[int]) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.r_[self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)]
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if self.fast is None or any(s in t for s in self.special):
-                out.append(np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(np.array(self.fast.encode_ordinary(t), "<u4").tobytes())
+        out: list[bytes | None] = [None] * len(texts)
+        held: list[int] = []
+        room = 0
+        for i, t in enumerate(texts):
+            if self.ranked is None or any(s in t for s in self.special) or len(t) > BLOCK // 2:
+                out[i] = np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            held.append(i)
+            room += len(t)
+            if room > BLOCK // 2:
+                self._fill(out, texts, held)
+                held, room = [], 0
+        self._fill(out, texts, held)
         return out
 
+    def _fill(self, out: list[bytes | None], texts: list[str], which: list[int]) -> None:
+        if which:
+            for i, ids in zip(which, self._many([texts[i] for i in which]), strict=True):
+                out[i] = ids
+
+
+LETTER, DIGIT, OTHER, BLANK, UNKNOWN = range(5)
+
+
+def pieces(points: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces that a byte-level BPE merges by themselves; bounds are those of the texts.
+
+    A piece is a run of one kind. The last blank of a run goes with the piece behind it if it is a space, or else by itself,
+    unless the text ends there. An apostrophe alone before letters takes the ends of words with it.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[1:n] = kinds[1:] != kinds[:-1]
+    edge[bounds] = True
+    at = np.flatnonzero(edge)
+    start, end = at[:-1].copy(), at[1:].copy()
+    kind = kinds[start]
+    last = np.zeros(n + 1, bool)
+    last[bounds] = True
+    goes_on = ~last[end]  # another run of the same text follows
+    blank = (kind == BLANK) & goes_on
+    joins = blank & (points[end - 1] == 32)
+    alone = blank & ~joins & (end - start > 1)
+    loose_start, loose_end = end[alone] - 1, end[alone].copy()
+    end[joins | alone] -= 1
+    taken = np.r_[False, joins[:-1]]
+    # an apostrophe by itself, no space ahead of it, and letters behind
+    follows = np.r_[kind[1:] == LETTER, False] & goes_on
+    mark = np.flatnonzero((kind == OTHER) & (end - start == 1) & (points[start] == 39) & follows & ~taken)
+    if len(mark):
+        letters = end[mark + 1] - start[mark + 1]
+        c1 = points[start[mark] + 1]
+        c2 = np.where(letters > 1, points[np.minimum(start[mark] + 2, n - 1)], 0)
+        more = np.isin(c1, [ord(c) for c in _ONE]).astype(np.int64)
+        for a, b in _TWO:
+            more[(c1 == ord(a)) & (c2 == ord(b))] = 2
+        end[mark] += more
+        start[mark + 1] += more
+    start[taken] -= 1
+    start, end = np.r_[start, loose_start], np.r_[end, loose_end]
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    some = end > start
+    return start[some], end[some]
+
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers."""
@@ -112,31 +231,31 @@ def _heaviest(texts: pa.Array, idf: np.ndarray, mean: float) -> np.ndarray:
     return out
 
 
-def _weigh(stats: object):
-    """Bytes of the texts by heaviest term."""
+def _subjects(stats: object):
+    """Rows with their heaviest term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(TERMS + 1, np.int64)
         for b in batches:
-            np.add.at(found, _heaviest(b["text"], *stats.value[:2]), pc.binary_length(b["text"]).to_numpy(zero_copy_only=False))
-        term = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(found[term])], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_heaviest(b["text"], *stats.value[:2]))], names=[*b.schema.names, "term"])
 
     return run
 
 
-def _deal(stats: object, spans: object):
-    """Rows with their shard: subjects lie one after another, small ones whole, texts of large ones at a place of their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            begin, size, shard_bytes = spans.value
-            term = _heaviest(b["text"], *stats.value[:2])
-            place = (mix(mix(ints(b["did"]).view(U)) ^ ints(b["tie"]).view(U)) >> U(11)) / 2**53
-            at = begin[term] + np.where(size[term] > shard_bytes // 4, place * size[term], 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int64) // shard_bytes)], names=[*b.schema.names, "shard"])
-
-    return run
+def _dealt(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """Rows (term, bytes, ...) with their shard: subjects lie one after another, small ones whole, texts of large ones at a place of
+    their own, so that no shard takes in much more than shard_bytes, however large a subject is."""
+    spark = rows.sparkSession
+    sums = rows.groupBy("term").agg(F.sum("bytes").alias("n")).toArrow()  # TERMS rows and one
+    weight = np.zeros(TERMS + 1, np.int64)
+    weight[ints(sums["term"])] = ints(sums["n"])
+    order = np.argsort(mix(np.arange(TERMS + 1, dtype=U)), kind="stable")
+    begin = np.zeros(TERMS + 1, np.int64)
+    begin[order] = np.cumsum(weight[order]) - weight[order]
+    term = np.sort(ints(sums["term"]))
+    spans = spark.createDataFrame(pa.table({"term": term, "begin": begin[term], "all": weight[term]}))
+    place = F.shiftrightunsigned(F.xxhash64("did", "tie", "row"), 11) / F.lit(2.0**53)
+    at = F.col("begin") + F.when(F.col("all") > shard_bytes // 4, F.floor(place * F.col("all"))).otherwise(F.lit(0))
+    return rows.join(F.broadcast(spans), "term").withColumn("shard", F.floor(at / shard_bytes).cast("long"))  # three numbers for each of TERMS rows
 
 
 def _by(numbers: np.ndarray) -> np.ndarray:
@@ -262,15 +381,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``end_id``; a null or empty text is that id alone. Each row of docs is a document, also where ids repeat or are null.
     Only the named columns are looked at; an empty table gives an empty result.
 
-    A shard's texts (about ``shard_bytes``, or one longer text) are packed by one task, and neighbours are looked for in
+    Texts are read twice, once for the terms' counts and once for the heaviest term of each, and kept with that term. A shard's texts (about ``shard_bytes``, or one longer text) are packed by one task, and neighbours are looked for in
     it, not across shards: a text meets those with the same heaviest term (see README for how many of the best neighbours
     of a whole table that finds). The terms counted for BM25 are hashed to 2**18 numbers, which is what the driver and
     every task hold of them.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     names = [f"_c{i}" for i in range(len(carry))]
-    texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    texts = docs.select(id_key(id_col).alias("did"), F.xxhash64(text).alias("tie"), text.alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
     counts = texts.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows and two
     term, n = ints(counts["term"]), ints(counts["n"])
     n_docs, n_words = int(n[term == -1].sum()), int(n[term == -2].sum())
@@ -282,18 +401,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     shards = max(1, -(-int(size) // shard_bytes))
     mean = n_words / max(n_docs, 1)
     stats = spark.sparkContext.broadcast((idf, mean))
-    kinds = "".join(f", {n} {docs.select(c).schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
-    dealt = texts.withColumn("shard", F.lit(0).cast("long"))
-    if shards > 1:
+    kinds = "".join(f", {n} {docs.select(f'`{c}`').schema[0].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))
+    if shards == 1:
+        dealt = texts.withColumn("shard", F.lit(0).cast("long"))
+    else:
         subjects = spark.sparkContext.broadcast((shared, mean))
-        sums = texts.select("text").mapInArrow(_weigh(subjects), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS rows and one
-        weight = np.zeros(TERMS + 1, np.int64)
-        weight[ints(sums["term"])] = ints(sums["n"])
-        order = np.argsort(mix(np.arange(TERMS + 1, dtype=U)), kind="stable")
-        begin = np.zeros(TERMS + 1, np.int64)
-        begin[order] = np.cumsum(weight[order]) - weight[order]
-        spans = spark.sparkContext.broadcast((begin, weight, shard_bytes))
-        dealt = texts.mapInArrow(_deal(subjects, spans), f"did long, tie long, text string{kinds}, shard long")
+        heavy = texts.mapInArrow(_subjects(subjects), f"did long, tie long, text string{kinds}, term long")
+        dealt = _dealt(cut(heavy.withColumn("bytes", F.octet_length("text").cast("long")).withColumn("row", F.monotonically_increasing_id())), shard_bytes)
+        dealt = dealt.select("did", "tie", "text", *names, "shard")
     out = dealt.groupBy("shard").applyInArrow(_pack(tokenizer, window, end_id, stats, names), f"did long{kinds}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.select(from_key("did").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 

@@ -7,7 +7,6 @@ texts, repeated rows and ids as their operators do; see there.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweld.llm import minhash, mixing, packing, quality, substring
-from citeweld.llm._spark import NO_ID, cut, release
+from citeweld.llm._spark import id_key, text_of
+from citeweld.spark import cut, remove, shared_folder, tidied
 
 NEAR_PERCENT = 80  # of the union of two documents' shingles that is common where one of them goes
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -37,12 +37,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-duplicates: of each component the document with the smallest id stays; rows that repeat it go too.
 
-    Several texts under one id, or under none, are documents of their own.
+    Several texts under one id, or under none, are documents of their own: a text stays where it leads its component, whatever
+    becomes of the others of its id. Of rows equal in id and text one stays.
     """
-    key, tie = F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     wanted = cut(minhash.linked(docs, percent=NEAR_PERCENT).where("kept").select(F.col("did").alias("_id"), F.col("tie").alias("_tie")).distinct())
-    release(spark)
-    mine = docs.withColumn("_id", key).withColumn("_tie", tie).join(wanted.hint("shuffle_hash"), ["_id", "_tie"], "left_semi")
+    mine = docs.withColumn("_id", id_key("doc_id")).withColumn("_tie", F.xxhash64(text_of("text"))).join(wanted.hint("shuffle_hash"), ["_id", "_tie"], "left_semi")
     return mine.dropDuplicates(["_id", "_tie"]).select(*COLUMNS)
 
 
@@ -77,13 +76,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:  # only where the session names none
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with tidied():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

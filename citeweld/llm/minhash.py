@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import batch, ints, lists, runs, whole_groups
-from ..spark import components, cut, hop
+from ..spark import components, cut
 from ._spark import from_key, id_key, read, text_of
 from ._words import U, WORD_BASE, Chunk, chunks, grams, mix, ranges
 
@@ -315,13 +315,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
         run = _meet(floor_for(percent, FINE), n_bands) if fine else _meet(floor_for(percent, HASHES), n_bands, BEST)
         return confirmed(apart(labels, fine).mapInArrow(run, pairs_of).dropDuplicates(["a", "b"]))
 
-    # links of the later rounds join components of the first one, so their graphs are small
+    def joined_by(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """labels after links between components (or nodes that have none yet)."""
+        to = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        return cut(labels.join(to, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("to", "component").alias("component")))
+
+    # links of the later rounds join components of the rounds before, so their graphs are small
     ones = cut(components(first))
-    second = meet(ones, fine=False)
-    near = cut(ones.join(hop(second).select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("to", "component").alias("component")))
-    third = meet(near, fine=True)
-    last = components(second.unionByName(third)).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    joined = cut(ones.join(last, "component", "full").select(F.coalesce("node", "component").alias("node"), F.coalesce("to", "component").alias("component")))
+    twos = joined_by(ones, meet(ones, fine=False))
+    joined = joined_by(twos, meet(twos, fine=True))
     grouped = classes.join(joined, "node")
     heads = grouped.groupBy("component").agg(F.min(F.struct("did", "tie")).alias("lead"))
     led = grouped.join(heads, "component").select("node", "lead")

@@ -135,9 +135,3 @@ def components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("node").alias("to"), "component")
         found = rounds.pop().join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
     return found
-
-
-def hop(edges: DataFrame) -> DataFrame:
-    """(node, component) after a single step: the least of a node and its neighbours. Equal components are connected, not the
-    other way round."""
-    return _ways(edges).groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("component")).withColumnRenamed("a", "node")

@@ -90,9 +90,11 @@ def item_of(fields: list[dict]) -> dict:
             return s.replace("http:", "https:")
         return None
 
+    owner = None  # the field that lines without a tag belong to: a skipped field has none
     for f in fields:
         tag, s, more = f["tag"], f["value"], f["more"] or []
         if s and s != "NA":
+            owner = tag
             if tag == "AU":
                 people += [a for a in map(normal.author, s.split("; ") if "; " in s else [s]) if a[0] is not None]
             elif tag == "DO":
@@ -142,15 +144,15 @@ def item_of(fields: list[dict]) -> dict:
                 if len(s) > 10 and raw_journal is not None:
                     add_journal(f"{raw_journal}. {s}", tag)
         for line in more:
-            if tag == "DO":
+            if owner == "DO":
                 dois.update(dict.fromkeys(normal.dois(line)))
-            elif tag == "SN":
+            elif owner == "SN":
                 numbers(line)
-            elif tag == "TI":
+            elif owner == "TI":
                 if out["reference_type"] == "CHAP":
                     titles.clear()
                 add_title(line)
-            elif tag == "UR" and (url := trial(line)) is not None:
+            elif owner == "UR" and (url := trial(line)) is not None:
                 add_journal(url, "UR")
     if out["is_trial"]:
         people = []

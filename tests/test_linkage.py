@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeweld.config import MatchConfig, Mode
-from citeweld.functions.similarity import jaro_winkler, jaro_winkler_many
+from citeweld.functions.similarity import _block, jaro_winkler, jaro_winkler_many
 from citeweld.operators import evaluate, labels, predicates
-from citeweld.spark import components
+from citeweld.operators.candidates import candidates
 from citeweld.plans import linkage
 from citeweld.sources import ris, tables, writers
+from citeweld.spark import components
 
 LIVER = "A long enough title about the liver: and a subtitle that is certainly longer than forty characters"
 
@@ -135,25 +136,59 @@ def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want: dict[int, int] = {}
     near: dict[int, set[int]] = {}
     for x, y in edges:
-        near.setdefault(x, set()).add(y)
-        near.setdefault(y, set()).add(x)
+        if x != y:
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+    assert got.keys() == near.keys()
     for x in near:
         seen, todo = {x}, [x]
         while todo:
             for z in near[todo.pop()] - seen:
                 seen.add(z)
                 todo.append(z)
-        want[x] = min(seen)
-    assert got == {k: v for k, v in want.items() if any(a != b for a, b in edges if k in (a, b))}
+        assert got[x] in seen and {k for k, v in got.items() if v == got[x]} == seen
+
+
+def test_no_pair_of_distant_years_is_made(spark):
+    """20,000 records on page 1 over 100 years: only pairs of near years, each once."""
+    rows = spark.range(20_000).selectExpr("id + 1 AS pos", "CAST(1900 + id % 100 AS INT) AS year", "'1' AS page_start", "CAST(array() AS array<string>) AS dois")
+    found = candidates(rows)
+    per = 200
+    assert found.count() == 100 * per * (per - 1) // 2 + 99 * per * per
+    assert "(band#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("two_files", [False, True])
+def test_candidates_against_all_pairs(spark, two_files):
+    rng = random.Random(8)
+    rows = [(i + 1, rng.choice([0, 0, 2000, 2001, 2002, 2004]), rng.choice([None, "1", "2"]), rng.sample(["x", "y", "z"], rng.choice([0, 0, 1, 2]))) for i in range(90)]
+    df = spark.createDataFrame(rows, "pos long, year int, page_start string, dois array<string>")
+    got = [tuple(r) for r in candidates(df, two_files).collect()]
+
+    def met(x, y):
+        near = abs(x[1] - y[1]) <= 1 if x[1] and y[1] else bool(x[1] or y[1]) or two_files
+        pages, known = x[2] is not None and y[2] is not None, bool(x[3] and y[3])
+        return near and ((pages and x[2] == y[2]) or (known and bool(set(x[3]) & set(y[3]))) or not (pages or known))
+
+    want = {(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if met(x, y)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lines_after_a_skipped_field_belong_to_the_field_before(spark, save):
+    text = "TY  - JOUR\nSN  - 0002-9343\nAU  - NA\n1234-5678\nTI  - " + "t" * 1_200_000 + "\nID  - 0\nER  - \n\n"
+    item = ris.read_items(spark, save(text)).first()
+    assert item.issns == ["00029343", "12345678"] and item.authors == [] and item.id == 0 and len(item.titles[0]) == 1_200_000
 
 
 def test_similarity():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 14)))
     a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
+    long = [(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n)), " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(m))) for n, m in ((9, 9), (30, 28), (200, 190), (10, 200))]
+    assert all(abs(jaro_winkler(x, y) - float(_block([x], [y], False)[0])) < 1e-12 for x, y in long)
+    a, b = a + [x for x, _ in long], b + [y for _, y in long]
     many = jaro_winkler_many(a, b)
     assert all(abs(jaro_winkler(x, y) - z) < 1e-12 for x, y, z in zip(a, b, many, strict=True))
     assert jaro_winkler("", "") == 1 and jaro_winkler("", "a") == 0

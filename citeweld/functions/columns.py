@@ -1,147 +1,30 @@
-"""Rules of ``normal`` as Spark columns: they stay within the JVM and can be pushed and generated like any expression."""
+"""The rules of ``normal`` and ``pages`` on columns: the very functions that the reader calls, on Arrow batches."""
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from . import patterns as P
 
+def lifted(rule: Callable, kind: str) -> Callable[..., Column]:
+    """rule, a function of one or more values, as a function of as many columns; nulls are passed on as None."""
+    out = T._parse_datatype_string(kind)
 
-@lru_cache(maxsize=1)
-def _folds() -> tuple[str, str]:
-    """Characters whose canonical decomposition starts with an ASCII character, and those."""
-    pairs = []
-    for code in range(0x80, min(sys.maxunicode, 0x2FFFF) + 1):
-        if not 0xD800 <= code <= 0xDFFF:
-            base = unicodedata.normalize("NFD", chr(code))[0]
-            if base < "\x80":
-                pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    def run(first: pa.Array, *more: pa.Array) -> pa.Array:
+        return pa.array(map(rule, first.to_pylist(), *(x.to_pylist() for x in more)), to_arrow_type(out))
 
+    one = lambda a: run(a)
+    two = lambda a, b: run(a, b)
+    three = lambda a, b, c: run(a, b, c)
 
-def basic_latin(s: Column) -> Column:
-    """Letters without accents; what has no ASCII form is dropped. Texts that are ASCII pass as they are."""
-    src, dst = _folds()
-    return F.when(s.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(s, src, dst), "[^\\x00-\\x7F]", "")).otherwise(s)
+    def column(*columns: Column) -> Column:
+        f = (one, two, three)[len(columns) - 1]
+        f.__annotations__ = dict.fromkeys([*"abc"[: len(columns)], "return"], pa.Array)
+        return F.arrow_udf(f, returnType=out)(*columns)
 
-
-def clean_line(s: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(s, "\\p{Pd}", "-"), "\\u2009", "")
-    return F.regexp_replace(s, "[\\p{Zs}\\p{Zl}\\p{Zp}\\u0009\\u000A\\u000B\\u000C\\u000D&&[^ ]]", " ")
-
-
-def year(s: Column) -> Column:
-    found = F.regexp_extract(s, P.YEAR.pattern, 2)
-    n = F.when(found != "", found.cast("int")).otherwise(F.lit(0))
-    return F.when(n >= P.FIRST_YEAR, n).otherwise(F.lit(0))
-
-
-def dois(s: Column) -> Column:
-    """Distinct DOIs of a field in their order; a field that cannot be decoded has none."""
-    plain = F.lower(F.try_url_decode(s))
-    found = F.transform(F.regexp_extract_all(plain, F.lit(P.DOI.pattern), F.lit(1)), lambda x: F.regexp_replace(x, "\\.$", ""))
-    return F.when((F.length(s) <= P.LONGEST_DOI_FIELD) & plain.isNotNull(), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
-
-
-def _numbers(s: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.upper(s), F.lit(P.ISSN_ISBN.pattern), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit("")))
-
-
-def issns(s: Column) -> Column:
-    return F.array_distinct(F.filter(_numbers(s), lambda x: F.length(x) == 8))
-
-
-def isbns(s: Column) -> Column:
-    own = F.filter(_numbers(s), lambda x: F.length(x).isin(10, 13))
-    return F.array_distinct(F.transform(own, lambda x: F.when(F.length(x) == 10, F.substring(x, 1, 9)).otherwise(F.substring(x, 4, 9))))
-
-
-def title(s: Column) -> Column:
-    s = basic_latin(F.regexp_replace(s, "([\\p{P}&&[^)\\]]]+)$", ""))
-    s = F.lower(F.replace(s, F.lit('"'), F.lit("")))
-    for p in (P.LANGUAGE_END, P.TRANSLATION_END, P.CASE_REPORT, P.BRACKETS_END, P.POINTED, P.ROUND):
-        s = F.regexp_replace(s, ("(?i)" if p is P.CASE_REPORT else "") + p.pattern, "")
-    s = F.trim(F.regexp_replace(F.replace(s, F.lit("-"), F.lit("")), P.NOT_LOWER_ALNUM.pattern, " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, P.SPACES.pattern, " "), P.LEADING_ARTICLE.pattern, ""))
-
-
-def without_tags(s: Column) -> Column:
-    return F.regexp_replace(s, P.POINTED.pattern, "")
-
-
-def author(s: Column) -> Column:
-    """struct<author, transposed, is_transposed> of a name; null for groups and the anonymous."""
-    latin = basic_latin(s)
-    parts = F.split(latin, "\\s*,\\s+")
-    raw = F.get(parts, F.lit(0))
-    last = F.when(raw == F.upper(raw), F.array_join(F.transform(F.split(F.lower(raw), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")).otherwise(raw)
-    addition = "(?i)" + P.NAME_ADDITION.pattern
-    last = F.when(last.rlike(addition), F.trim(F.concat(F.trim(F.regexp_extract(last, addition, 1)), F.lit(" "), F.trim(F.regexp_extract(last, addition, 3))))).otherwise(last)
-    initials = F.regexp_replace(F.get(parts, F.lit(1)), "[^A-Z]", "")
-    names = F.split(F.concat(F.upper(F.substring(last, 1, 1)), F.substring(last, 2, 10_000)), "\\s+")
-    plain = F.concat(last, F.lit(" "), initials)
-    heads = F.array_join(F.transform(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1)), "")
-    several = F.size(names) > 1
-    other = F.when(several, F.concat(F.element_at(names, -1), F.lit(" "), initials, heads)).otherwise(plain)
-    whole = F.when(F.size(parts) > 1, F.struct(plain.alias("author"), other.alias("transposed"), several.alias("is_transposed"))).otherwise(F.struct(latin.alias("author"), F.lit(None).cast("string").alias("transposed"), F.lit(False).alias("is_transposed")))
-    return F.when(~s.rlike("(?i)" + P.NOT_A_PERSON.pattern), whole)
-
-
-def all_authors(authors: Column) -> Column:
-    """The first 40 authors as one string."""
-    return F.array_join(F.slice(authors, 1, P.MOST_AUTHORS), "; ")
-
-
-def with_reversed(titles: Column) -> Column:
-    return F.array_union(titles, F.transform(titles, lambda t: F.reverse(t)))
-
-
-def page_range(s: Column) -> Column:
-    """``start-end`` with an end as long as the start: 482-91 becomes 482-491."""
-    start, end = F.split_part(s, F.lit("-"), F.lit(1)), F.split_part(s, F.lit("-"), F.lit(2))
-    return F.when((end != "") & (F.length(start) >= F.length(end)), F.concat(start, F.lit("-"), F.substring(start, F.lit(1), F.length(start) - F.length(end)), end)).otherwise(s)
-
-
-def roman(s: Column) -> Column:
-    """Value of a Roman number; null if it is none."""
-    up = F.upper(s)
-    spelled = "^M*(CM|CD|D?C*)(XC|XL|L?X*)(IX|IV|V?I*)$"
-    values = {c: v for c, v in P.ROMAN if len(c) == 1}
-    digit = lambda c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in values.items()])
-    n = F.transform(F.split(up, ""), digit)
-    total = F.aggregate(F.transform(n, lambda x, i: F.when(x < F.coalesce(F.get(n, i + 1), F.lit(0)), -x).otherwise(x)), F.lit(0), lambda acc, x: acc + x)
-    return F.when(up.rlike(spelled) & (up != ""), total)
-
-
-def abbreviates(short: Column, long: Column) -> Column:
-    """Whether the words of short, in order, start words of long."""
-    return F.rlike(long, F.concat(F.lit("(?i)\\b"), F.regexp_replace(short, "\\s", ".*\\\\b"), F.lit(".*")))
-
-
-def initials_of(short: Column, long: Column) -> Column:
-    """Whether the letters of a short name in capitals, in order, start words of long."""
-    letters = F.array_join(F.split(short, ""), ".*\\b")
-    return (F.length(short) < 10) & (short == F.upper(short)) & F.rlike(long, F.concat(F.lit("(?i)\\b"), letters, F.lit(".*")))
-
-
-def is_reply(s: Column) -> Column:
-    whole = lambda p: s.rlike(f"^(?:{p.pattern})$")
-    return F.lower(s).rlike(f"^(?:{P.REPLY.pattern})$") | whole(P.ERRATUM) | whole(P.SOURCE_END) | whole(P.COMMENT)
-
-
-def is_phase(s: Column) -> Column:
-    return F.lower(s).rlike(f"^(?:{P.PHASE.pattern})$")
-
-
-def names_month(s: Column) -> Column:
-    return s.rlike(P.MONTH.pattern)
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Whether two sets share a member; empty ones never do."""
-    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+    return column

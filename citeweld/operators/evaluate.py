@@ -53,3 +53,30 @@ def wrong_pairs(outcomes: DataFrame) -> DataFrame:
     """(outcome, first, second): pairs that were missed or joined wrongly, the smaller id first."""
     other = F.when(F.col("outcome") == "FN", F.col("truth_dedupid")).otherwise(F.col("dedupid"))
     return outcomes.where("outcome IN ('FN', 'FP')").withColumn("_o", other).where(F.col("_o").isNotNull() & (F.col("_o") != F.col("id"))).select("outcome", F.least("id", "_o").alias("first"), F.greatest("id", "_o").alias("second"))
+
+
+def differing_pairs(truth: DataFrame, column: str) -> DataFrame:
+    """(first, second): the distinct pairs of different values of a column within the true sets, that of the smaller id first."""
+    side = lambda n: truth.select(F.col("dedupid"), F.col("id").alias(f"id_{n}"), F.col(column).alias(n))
+    met = side("first").where("dedupid IS NOT NULL").join(side("second"), "dedupid")
+    return met.where("id_first < id_second AND first != second").select("first", "second").distinct()
+
+
+def analysis(outcomes: DataFrame, items: DataFrame) -> DataFrame:
+    """What each test says of every pair that was missed or joined wrongly: the columns of ``explained`` with outcome and ids."""
+    from .predicates import explained
+
+    place = lambda n: items.select(F.col("id").alias(n), F.col("pos").alias(f"pos_{n}"))
+    wrong = wrong_pairs(outcomes).join(place("first"), "first").join(place("second"), "second")
+    pairs = wrong.select("outcome", "first", "second", F.least("pos_first", "pos_second").alias("a"), F.greatest("pos_first", "pos_second").alias("b"))
+    return pairs.join(explained(items, pairs.select("a", "b").distinct()), ["a", "b"]).drop("a", "b")
+
+
+def nearest_rank(df: DataFrame, group: str, value: str, percents: tuple[float, ...]) -> DataFrame:
+    """Percentiles of a column by group: the least value that so many percent of the values do not exceed."""
+    return df.groupBy(group).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{p:g}") for p in percents])
+
+
+def most_frequent(df: DataFrame, column: str, n: int = 500) -> DataFrame:
+    """The n most frequent values and their counts; of equally frequent ones those that come first in their order."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)

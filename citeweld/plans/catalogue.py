@@ -5,126 +5,42 @@ The tables hold no bibliography, so each operator works on the column that comes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
-from ..functions import columns as C
-from ..functions.similarity import jaro_winkler_many
-from ..operators import evaluate
+from ..config import Mode
+from ..functions import normal
+from ..functions.columns import lifted
+from ..functions.similarity import jaro_winkler
+from ..operators import evaluate, predicates
 from ..operators.enrich import cumulative_percent, enriched
-from ..sources import writers
-from . import linkage
+from ..sources import ris, tables, writers
+from ..spark import cut, remove, shared_folder
+from . import matching, reading
+from .matching import _NONE
+from .registry import ORACLES, QUERIES, query, t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 FLAGSHIP = "linkage_documents"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-FIRST_LINE = "split_part(text, chr(10), 1)"
-
-
-def first_line() -> Column:
-    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-
-
 # fields
 
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
 def year_extract(spark, d):
-    return t(spark, d, "orders").groupBy(C.year(F.col("o_orderdate").cast("string")).alias("year")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT o_orderkey, CAST(CASE WHEN 1500 + o_orderkey % 700 < 1850 THEN 0 ELSE 1500 + o_orderkey % 700 END AS INTEGER) AS year FROM orders")
-def year_floor(spark, d):
-    text = F.concat(F.lit("c"), (F.lit(1500) + F.col("o_orderkey") % 700).cast("string"), F.lit(" ed. 12345"))
-    return t(spark, d, "orders").select("o_orderkey", C.year(text).alias("year"))
-
-
-@query("SELECT page_id, '10.1234/ab-' || page_id || '|10.' || (5000 + page_id % 100) || '/x(' || page_id || ')y' AS dois FROM pages")
-def doi_extract(spark, d):
-    k = F.col("page_id").cast("string")
-    text = F.concat(F.lit("https://doi.org/10.1234/AB-"), k, F.lit("., doi:10."), (F.lit(5000) + F.col("page_id") % 100).cast("string"), F.lit("%2FX("), k, F.lit(")y 10.1234/ab-"), k)
-    return t(spark, d, "pages").select("page_id", F.array_join(C.dois(text), "|").alias("dois"))
-
-
-@query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS issns, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS isbns FROM part")
-def issn_isbn_classify(spark, d):
-    k = F.col("p_partkey").cast("string")
-    a, b = F.lpad(k, 8, "0"), F.lpad(k, 9, "0")
-    text = F.concat(F.substring(a, 1, 4), F.lit("-"), F.substring(a, 5, 4), F.lit(" (print) 978-"), b, F.lit("x "), b, F.lit("X 123456 "), a)
-    return t(spark, d, "part").select("p_partkey", F.array_join(C.issns(text), "|").alias("issns"), F.array_join(C.isbns(text), "|").alias("isbns"))
-
-
-_LATIN = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')"
-_STEPS = (
-    ("(\\(?(chinese|dutch|french|german|italian|japanese|polish|russian|spanish)( text)?\\)?)$", ""),
-    ("(\\(author''s transl\\))$", ""),
-    ("^case (reports?|series|[-0-9]+)[.:] ", ""),
-    (".\\[[^\\\\]+\\]$", ""),
-    ("<[^>]+>+", ""),
-    ("[()]", ""),
-    ("-", ""),
-    ("[^a-z0-9]", " "),
-)
-
-
-def _title_sql(x: str) -> str:
-    s = "lower(replace(" + _LATIN.format(f"regexp_replace({x}, '([!\"#%&''(*,\\-./:;?@\\[\\\\_{{}}¡§«¶·»¿‐-‧]+)$', '')") + ", '\"', ''))"
-    for pattern, new in _STEPS:
-        s = f"regexp_replace({s}, '{pattern}', '{new}', 'g')"
-    return f"trim(regexp_replace(regexp_replace(trim({s}), ' {{2,}}', ' ', 'g'), '^(the|a|an) ', ''))"
-
+    return t(spark, d, "orders").groupBy(lifted(normal.year, "int")(F.col("o_orderdate").cast("string")).alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"SELECT doc_id, {_title_sql(FIRST_LINE)} AS title FROM documents")
-def title_normalize(spark, d):
-    return t(spark, d, "documents").select("doc_id", C.title(first_line()).alias("title"))
 
-
-@query("SELECT page_id, regexp_replace(html, '<[^>]+>+', '', 'g') AS text FROM pages")
-def strip_html_tags(spark, d):
-    return t(spark, d, "pages").select("page_id", C.without_tags(F.col("html")).alias("text"))
-
-
-@query(f"SELECT doc_id, {_LATIN.format('text')} AS text FROM documents")
+@query(f"SELECT doc_id, {reading.latin('text')} AS text FROM documents")
 def basic_latin_fold(spark, d):
-    return t(spark, d, "documents").select("doc_id", C.basic_latin(F.col("text")).alias("text"))
-
-
-@query("SELECT c_custkey, 'van Dorn' || chr(97 + CAST(c_custkey % 26 AS INTEGER)) || ' Meer ' || chr(65 + CAST(c_nationkey AS INTEGER)) || 'J' AS author, 'Meer ' || chr(65 + CAST(c_nationkey AS INTEGER)) || 'JVD' AS transposed, true AS is_transposed FROM customer")
-def author_initials(spark, d):
-    name = F.concat(F.lit("van Dorn"), F.char(F.lit(97) + F.col("c_custkey") % 26), F.lit(" Meer, "), F.char(F.lit(65) + F.col("c_nationkey")), F.lit(". Jan"))
-    return t(spark, d, "customer").select("c_custkey", C.author(name).alias("x")).select("c_custkey", "x.author", "x.transposed", "x.is_transposed")
+    return t(spark, d, "documents").select("doc_id", lifted(normal.basic_latin, "string")(F.col("text")).alias("text"))
 
 
 @query("SELECT o_custkey, array_to_string(list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey)[1:40], '; ') AS authors FROM orders GROUP BY o_custkey")
 def authors_joined(spark, d):
-    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
-    return t(spark, d, "orders").groupBy("o_custkey").agg(C.all_authors(keys).alias("authors"))
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= length(CAST(l_suppkey AS VARCHAR)) THEN l_partkey || '-' || substr(CAST(l_partkey AS VARCHAR), 1, length(CAST(l_partkey AS VARCHAR)) - length(CAST(l_suppkey AS VARCHAR))) || l_suppkey ELSE l_partkey || '-' || l_suppkey END AS pages FROM lineitem")
-def page_range_expand(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.page_range(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("pages"))
+    first = lifted(lambda names: normal.all_authors([(str(n), str(n), False) for n in names])[0], "string")
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("_k")).select("o_custkey", first(F.col("_k")).alias("authors"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS INTEGER) AS value FROM part")
@@ -132,88 +48,78 @@ def roman_to_int(spark, d):
     tens = F.array(*map(F.lit, ("", "X", "XX", "XXX", "XL", "L")))
     ones = F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
     text = F.lower(F.concat(F.get(tens, F.expr("int(p_size div 10)")), F.get(ones, F.col("p_size") % 10)))
-    return t(spark, d, "part").select("p_partkey", C.roman(text).alias("value"))
+    return t(spark, d, "part").select("p_partkey", lifted(normal.roman, "int")(text).alias("value"))
 
 
-@query("SELECT n_nationkey, [n_name, r_name, reverse(n_name), reverse(r_name)] AS titles FROM nation JOIN region ON n_regionkey = r_regionkey")
-def reversed_titles(spark, d):
-    both = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows by the table's definition
-    return both.select("n_nationkey", C.with_reversed(F.array("n_name", "r_name")).alias("titles"))
+_REVERSED = reading.lines("'TY  - JOUR'", "'TI  - ' || n_name", "CASE WHEN n_nationkey % 2 = 0 THEN 'SP  - 10-19' ELSE 'SP  - 10' END", "'ID  - ' || CAST(n_nationkey AS STRING)")
 
 
-@query("SELECT doc_id, regexp_matches(lower(l), '^(?:(^C(omment|OMMENT)|^R[Ee]: .+|.*\\breply\\b.*|.*author(.+)respon.*|^response$))$') OR regexp_matches(l, '^(?:(e)?(Comment|COMMENT)(|s|S|ary)\\b.*|.+[cC]omment(|s|ary)( from| on| to)?:? ([A-Z''\"]|the).+|.+[Cc]omment(|s|ary)|.+COMMENT|.*[Ii]nvited [Cc]ommen.+)$') AS is_reply, regexp_matches(lower(l), '^(?:.*phase\\s[0-9i].*)$') AS is_phase, regexp_matches(l, '\\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)') AS has_month FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Reply to ' ELSE '' END || split_part(text, chr(10), 1) || CASE doc_id % 6 WHEN 1 THEN ' comment' WHEN 2 THEN ' phase 2 x' WHEN 3 THEN ' 01 June' ELSE '' END AS l FROM documents)")
-def title_flags(spark, d):
-    k = F.col("doc_id") % 6
-    line = F.concat(F.when(k == 0, "Reply to ").otherwise(""), first_line(), F.when(k == 1, " comment").when(k == 2, " phase 2 x").when(k == 3, " 01 June").otherwise(""))
-    return t(spark, d, "documents").select("doc_id", C.is_reply(line).alias("is_reply"), C.is_phase(line).alias("is_phase"), C.names_month(line).alias("has_month"))
+@query(f"SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN {reading.title_sql('n_name')} || '|' || reverse({reading.title_sql('n_name')}) ELSE {reading.title_sql('n_name')} END AS titles FROM nation")
+def reversed_titles(spark, d):
+    """Works of several pages are compared by their titles read backwards too."""
+    return ris.items(reading.through_ris(spark, d, "nation", "n_nationkey", _REVERSED)).select("id", F.array_join("titles", "|").alias("titles"))
 
 
-# comparison
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'cd' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END AS page FROM orders")
+def cochrane_page(spark, d):
+    """The number of a review within its DOI."""
+    doi = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("10.1002/14651858.cd"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit(".pub2"))).otherwise(F.lit("10.1234/x"))
+    return t(spark, d, "orders").select("o_orderkey", lifted(normal.cochrane_page, "string")(F.array(doi)).alias("page"))
 
 
-@query("SELECT a.p_partkey, regexp_matches(b.p_name, '(?i)\\b' || array_to_string(list_transform(string_split(a.p_name, ' '), lambda w: substr(w, 1, 3)), '.*\\b') || '.*') AS alike FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 2")
-def journal_abbreviation(spark, d):
-    a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
-    short = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 3)), " ")
-    return a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 2).join(b, "k").select("p_partkey", C.abbreviates(short, F.col("other")).alias("alike"))
+@query("SELECT doc_id, md5(replace(replace(replace(text, '&lt;', '<'), '&eacute;', 'é'), '&#65;', 'A')) AS text FROM (SELECT doc_id, '&lt;b' || replace(text, '&', ' ') || '&eacute;&#65;&nosuch;' AS text FROM documents)")
+def html_unescape(spark, d):
+    raw = F.concat(F.lit("&lt;b"), F.replace("text", F.lit("&"), F.lit(" ")), F.lit("&eacute;&#65;&nosuch;"))
+    return t(spark, d, "documents").select("doc_id", F.md5(F.encode(lifted(normal.unescape, "string")(raw), "UTF-8")).alias("text"))
 
 
-@query("SELECT a.p_partkey, regexp_matches(b.p_type, '(?i)\\b' || array_to_string(list_transform(string_split(upper(a.p_type), ' '), lambda w: substr(w, 1, 1)), '.*\\b') || '.*') AS alike FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 3")
-def journal_initialism(spark, d):
-    a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("other"))
-    short = F.array_join(F.transform(F.split(F.upper("p_type"), " "), lambda w: F.substring(w, 1, 1)), "")
-    return a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 3).join(b, "k").select("p_partkey", C.initials_of(short, F.col("other")).alias("alike"))
+# comparison
 
 
-@query("SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 5")
-def jaro_winkler_names(spark, d):
-    """With half transpositions rounded down, which is how the SQL function counts them."""
+# matches as places in the longer name: the first free one within reach; half transpositions are not rounded
+_JARO = """WITH p AS (SELECT a.p_partkey, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 5),
+o AS (SELECT *, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l FROM p),
+r AS (SELECT *, greatest(length(l) // 2 - 1, 0) AS reach FROM o),
+m AS (SELECT *, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, length(s) + 1), lambda i: [i])), lambda u, i: list_append(u, coalesce(list_filter(range(greatest(1, i[1] - reach), least(length(l), i[1] + reach) + 1), lambda q: l[q] = s[i[1]] AND NOT list_contains(u, q))[1], 0))) AS hits FROM r),
+k AS (SELECT *, list_filter(range(1, length(s) + 1), lambda i: hits[i] > 0) AS own, list_sort(list_filter(hits, lambda q: q > 0)) AS other FROM m),
+j AS (SELECT *, len(own) AS n, len(list_filter(range(1, len(own) + 1), lambda i: s[own[i]] <> l[other[i]])) / 2 AS moved, CASE WHEN x[1] <> y[1] THEN 0 WHEN x[2] <> y[2] THEN 1 WHEN x[3] <> y[3] THEN 2 WHEN x[4] <> y[4] THEN 3 ELSE 4 END AS same FROM k),
+v AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (n / length(x) + n / length(y) + (n - moved) / n) / 3 END AS jaro FROM j),
+w AS (SELECT p_partkey, x, y, CASE WHEN x = y THEN 1 WHEN jaro < 0.7 THEN jaro ELSE jaro + 0.1 * same * (1 - jaro) END AS similarity FROM v)"""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["p_partkey"], pa.array(jaro_winkler_many(b["p_name"].to_pylist(), b["other"].to_pylist(), floor=True))], names=["p_partkey", "similarity"])
 
+@query(_JARO + " SELECT p_partkey, round(similarity, 6) AS similarity FROM w")
+def jaro_winkler_names(spark, d):
     a, b = t(spark, d, "part"), t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("other"))
-    pairs = a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 5).join(b, "k").select("p_partkey", "p_name", "other")
-    return pairs.mapInArrow(run, "p_partkey long, similarity double").select("p_partkey", F.round("similarity", 6).alias("similarity"))
-
+    alike = lifted(jaro_winkler, "double")(F.col("p_name"), F.col("other"))
+    return a.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 5).join(b, "k").select("p_partkey", F.round(alike, 6).alias("similarity"))
 
-@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(year(a.o_orderdate) - year(b.o_orderdate)) <= 1")
-def year_band_join(spark, d):
-    """Pairs of near years by equal keys: a year meets itself and the one before."""
-    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
-    left = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("y").alias("band"), F.col("y").alias("ya"))
-    right = o.select("o_custkey", F.col("o_orderkey").alias("b"), F.explode(F.array("y", F.col("y") + 1)).alias("band"), F.col("y").alias("yb"))
-    met = left.join(right, ["o_custkey", "band"]).where((F.col("ya") > F.col("yb")) | (F.col("a") < F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
+@query(_JARO + " SELECT p_partkey // 5 AS k, round(max(similarity), 6) AS similarity FROM w GROUP BY 1")
+def highest_similarity(spark, d):
+    """The most alike of all pairs of strings of two lists, as authors and titles are compared."""
+    part = t(spark, d, "part").select("p_partkey", "p_name", F.floor(F.col("p_partkey") / 5).alias("k"))
+    heads = part.where("p_partkey % 5 = 0").select("k", F.array("p_name").alias("head"))
+    lists = part.groupBy("k").agg(F.collect_list("p_name").alias("names")).join(heads, "k")
+    best = lifted(lambda p, q: float(predicates.best([p], [q])[0]), "double")
+    return lists.select("k", F.round(best(F.col("head"), F.col("names")), 6).alias("similarity"))
 
-@query("SELECT a.doc_id, list_has_any(string_split(split_part(a.text, chr(10), 1), ' '), string_split(split_part(b.text, chr(10), 1), ' ')) AS overlap FROM documents a JOIN documents b ON b.doc_id = a.doc_id - a.doc_id % 4")
-def set_overlap(spark, d):
-    words = F.split(first_line(), " ")
-    a = t(spark, d, "documents").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("k"), words.alias("own"))
-    b = t(spark, d, "documents").select(F.col("doc_id").alias("k"), words.alias("other"))
-    return a.join(b, "k").select("doc_id", C.overlap(F.col("own"), F.col("other")).alias("overlap"))
 
-
-# whole linkage
-
-
-def document_items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items: the first line as title, the length as start page, the hash of the text as DOI."""
-    none = {f.name: F.lit(None).cast(f.dataType) if f.nullable else F.array().cast(f.dataType) if f.dataType == schema.STRINGS else F.lit(False) for f in schema.ITEM.fields}
-    title = C.title(first_line())
-    found = {
-        "pos": F.col("doc_id") + 1, "id": F.col("doc_id") + 1, "reference_type": F.lit("JOUR"), "year": (F.lit(2000) + F.col("doc_id") % 2).cast("int"), "titles": F.filter(F.array(title), lambda x: x != ""),
-        "journals": F.array("lang"), "dois": F.array(F.concat(F.lit("10.1234/"), F.md5(F.col("text").cast("binary")))), "page_start": F.col("n_chars").cast("string"), "pages_output": F.col("n_chars").cast("string"),
-    }
-    return t(spark, d, "documents").select(*[found.get(c, none[c]).alias(c) for c in none])
+_SPELLED = "SELECT a.p_partkey, a.p_name AS x, b.p_name AS y, a.p_type AS u, b.p_type AS v FROM part a JOIN part b ON b.p_partkey = a.p_partkey - a.p_partkey % 3"
+_WORD = "(?i)\\b"
 
 
-@query()
-def linkage_documents(spark, d):
-    """All steps of a run; labels depend on the order of records, which SQL cannot state: see tests/test_linkage.py."""
-    return linkage.link(document_items(spark, d)).select("id", "label", "is_reply")
+@query(
+    f"""WITH j AS ({_SPELLED}), s AS (SELECT *, array_to_string(list_transform(string_split(x, ' '), lambda w: w[1:3]), ' ') AS short, array_to_string(list_transform(string_split(upper(u), ' '), lambda w: w[1]), '') AS ini FROM j)
+SELECT p_partkey, regexp_matches(y, '{_WORD}' || replace(short, ' ', '.*\\b') || '.*') AS abbreviated, regexp_matches(v, '{_WORD}' || array_to_string(string_split(ini, ''), '.*\\b') || '.*') AS initials, regexp_matches(v, '{_WORD}' || array_to_string(string_split(ini, ''), '.*\\b') || '.*') AND length(ini) > 2 OR (length(ini) < 6 AND regexp_matches(v, '{_WORD}' || array_to_string(string_split(ini, ''), '.*\\b') || '.*')) AS starts FROM s"""
+)
+def journal_spellings(spark, d):
+    """Journals by abbreviated words, by initials, and by initials at the start of the name."""
+    part = t(spark, d, "part")
+    other = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("y"), F.col("p_type").alias("v"))
+    short = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.substring(w, 1, 3)), " ")
+    initials = F.array_join(F.transform(F.split(F.upper("p_type"), " "), lambda w: F.substring(w, 1, 1)), "")
+    tests = {"abbreviated": (predicates.abbreviates, short, "y"), "initials": (predicates.initials_of, initials, "v"), "starts": (predicates.starts_as_initials, initials, "v")}
+    return part.withColumn("k", F.col("p_partkey") - F.col("p_partkey") % 3).join(other, "k").select("p_partkey", *[lifted(f, "boolean")(x, F.col(y)).alias(n) for n, (f, x, y) in tests.items()])
 
 
 @query("SELECT min(doc_id) AS first, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY md5(text) HAVING count(*) > 1")
@@ -230,7 +136,7 @@ def mark_all(spark, d):
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
     """Orders as items with their customer as label."""
-    none = {f.name: F.lit(None).cast(f.dataType) if f.nullable else F.array().cast(f.dataType) if f.dataType == schema.STRINGS else F.lit(False) for f in schema.ITEM.fields}
+    none = _NONE
     found = {
         "pos": F.col("o_orderkey"), "id": F.col("o_orderkey"), "label": F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")), "is_reply": F.col("o_orderkey") % 2 == 0, "is_trial": F.col("o_orderkey") % 11 == 0,
         "year": F.when(F.col("o_orderkey") % 4 == 0, F.lit(0)).otherwise(F.year("o_orderdate")), "title": F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"))), "dois": F.array("o_orderpriority"),
@@ -264,13 +170,6 @@ def enrich_pages_dois(spark, d):
     return enriched(_sets(spark, d)).select("id", "pages_output", F.array_join(F.array_sort("dois"), "|").alias("dois"))
 
 
-@query("SELECT doc_id FROM documents n WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = n.text)")
-def new_not_in_old(spark, d):
-    key = F.md5(F.col("text").cast("binary")).alias("k")
-    docs = t(spark, d, "documents").select("doc_id", key)
-    return docs.where("doc_id % 2 = 1").join(docs.where("doc_id % 2 = 0").select("k"), "k", "left_anti").select("doc_id")
-
-
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -328,22 +227,129 @@ def wrong_pairs(spark, d):
     return evaluate.wrong_pairs(_judged(spark, d))
 
 
-@query("WITH m AS (SELECT l_orderkey - min(l_orderkey) OVER () + 1 AS id, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1), s AS (SELECT k, list_sort(list_distinct(list(id))) AS s FROM m GROUP BY k) SELECT id, array_to_string(s, ',') AS set FROM m JOIN s USING (k)")
+@query(_JUDGED + " SELECT count(*) FILTER (outcome = 'TP' AND id <> v) AS tp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'TN' OR (outcome = 'TP' AND id = v)) AS tn, count(*) FILTER (outcome = 'FP') AS fp FROM o")
+def metrics_without_kept(spark, d):
+    return evaluate.without_kept(evaluate.metrics(_judged(spark, d)))
+
+
+_GOLD = "WITH m AS (SELECT l_orderkey * 8 + l_linenumber AS r, l_suppkey AS k FROM lineitem), b AS (SELECT r - min(r) OVER () + 1 AS id, k FROM m), s AS (SELECT k, list_sort(list_distinct(list(id))) AS s FROM b GROUP BY k)"
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Gold pairs as a file, read back."""
+    path = f"{shared_folder(spark)}/gold"
+    t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("r"), "l_suppkey").write.mode("overwrite").option("sep", "\t").csv(path)
+    pairs = cut(tables.read_gold(spark, path))
+    remove(spark, path)
+    return pairs
+
+
+@query(_GOLD + " SELECT id, len(s) AS n, md5(array_to_string(s, ',')) AS set FROM b JOIN s USING (k)")
 def gold_sets(spark, d):
-    pairs = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("record_id"), F.col("l_suppkey").alias("duplicate_id"))
-    return evaluate.gold_sets(pairs).select("id", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("set"))
+    found = evaluate.gold_sets(_gold(spark, d))
+    return found.select("id", F.size("set").cast("long").alias("n"), F.md5(F.array_join(F.transform("set", lambda x: x.cast("string")), ",").cast("binary")).alias("set"))
+
+
+@query(_GOLD + ", i AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS label FROM lineitem) SELECT i.id, label, CASE WHEN len(s) = 1 THEN CASE WHEN label IS NULL THEN 'TN' ELSE 'FP' END WHEN label IS NULL THEN 'FN' ELSE 'TP' END AS outcome FROM i JOIN b ON b.id = i.id JOIN s USING (k)")
+def gold_prefill(spark, d):
+    items = t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).alias("label"))
+    return evaluate.prefilled(items, evaluate.gold_sets(_gold(spark, d)))
+
+
+@query("SELECT DISTINCT a.o_orderpriority AS first, b.o_orderpriority AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority")
+def truth_pairs(spark, d):
+    return evaluate.differing_pairs(t(spark, d, "orders").select(F.col("o_custkey").alias("dedupid"), F.col("o_orderkey").alias("id"), "o_orderpriority"), "o_orderpriority")
+
+
+@query("SELECT DISTINCT c_mktsegment AS first, n_name AS second FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def pair_files(spark, d):
+    """Two columns of a file, each pair once; lines of another width are dropped."""
+    path = f"{shared_folder(spark)}/pairs"
+    both = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    both.select(F.concat_ws("\t", "c_mktsegment", "n_name").alias("value")).unionByName(both.select(F.col("c_mktsegment").alias("value"))).write.mode("overwrite").text(path)
+    pairs = cut(tables.read_pairs(spark, path))
+    remove(spark, path)
+    return pairs
 
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.98) AS p98, quantile_disc(l_extendedprice, 0.5) AS p50 FROM lineitem GROUP BY l_returnflag")
 def percentile_rank(spark, d):
-    """Nearest rank."""
-    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.98) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p98"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("p50"))
+    return evaluate.nearest_rank(t(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", (98, 50))
 
 
-@query(f"SELECT title, n FROM (SELECT {_title_sql(FIRST_LINE)} AS title, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, title LIMIT 500")
+@query(f"SELECT title, n FROM (SELECT {reading.title_sql('text')} AS title, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, title LIMIT 500")
 def top_titles(spark, d):
     """The 500 most frequent titles: a limit that is the feature."""
-    return t(spark, d, "documents").groupBy(C.title(first_line()).alias("title")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "title").limit(500)
+    return evaluate.most_frequent(t(spark, d, "documents").select(matching.title(F.coalesce("text", F.lit(""))).alias("title")), "title")
+
+
+# files that are written
+
+_RECORD = reading.lines("'TY  - JOUR'", "'AU  - ' || s_name", "'AU  - Doe, J'", "'TI  - Work ' || CAST(s_suppkey AS STRING)", "'PY  - ' || CAST(1900 + s_nationkey AS STRING)", "'SP  - 12-4'", "'C7  - e9'", "'LB  - old'", "'DO  - 10.1234/' || CAST(s_suppkey AS STRING)", "'ID  - ' || CAST(s_suppkey AS STRING)")
+_HEAD = "'TY  - JOUR' || chr(10) || 'AU  - ' || s_name || chr(10) || 'AU  - Doe, J' || chr(10)"
+_TAIL = "'ID  - ' || s_suppkey || chr(10) || 'ER  - ' || chr(10)"
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    records = reading.through_ris(spark, d, "supplier", "s_suppkey", _RECORD)
+    return records, cut(ris.items(records).withColumn("label", F.when(F.col("id") % 4 > 0, (F.col("id") - F.col("id") % 4).cast("string"))))
+
+
+@query(f"SELECT {_HEAD} || 'C7  - e9' || chr(10) || 'DO  - 10.1234/' || s_suppkey || chr(10) || CASE WHEN s_suppkey % 4 > 0 THEN 'LB  - ' || (s_suppkey - s_suppkey % 4) || chr(10) ELSE '' END || 'PY  - ' || (1900 + s_nationkey) || chr(10) || 'SP  - 12-4' || chr(10) || 'TI  - Work ' || s_suppkey || chr(10) || {_TAIL} AS value FROM supplier")
+def marked_file(spark, d):
+    """Every record with its label in place of the one that it had."""
+    return writers.ris_lines(*_labelled(spark, d), Mode.MARK).select("value")
+
+
+@query(
+    f"""WITH s AS (SELECT *, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey - s_suppkey % 4 END AS label FROM supplier),
+k AS (SELECT *, label IS NULL OR s_suppkey = min(s_suppkey) OVER (PARTITION BY label) AS kept, string_agg('https://doi.org/10.1234/' || s_suppkey, chr(10)) OVER (PARTITION BY label ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dois FROM s)
+SELECT {_HEAD} || 'DO  - ' || CASE WHEN label IS NULL THEN 'https://doi.org/10.1234/' || s_suppkey ELSE dois END || chr(10) || 'LB  - old' || chr(10) || 'PY  - ' || (1900 + s_nationkey) || chr(10) || 'SP  - 12-4' || chr(10) || 'TI  - Work ' || s_suppkey || chr(10) || {_TAIL} AS value FROM k WHERE kept"""
+)
+def deduplicated_file(spark, d):
+    """One record for each set, with the DOIs of all; a range of pages goes before an article number."""
+    records, items = _labelled(spark, d)
+    return writers.ris_lines(records, enriched(items), Mode.REMOVE).select("value")
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS id, CAST(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey - s_suppkey % 4 END AS INTEGER) AS dedupid, s_name || '; Doe, J' AS authors, CAST(CASE WHEN 1900 + s_nationkey < 1850 THEN 0 ELSE 1900 + s_nationkey END AS INTEGER) AS publ_year, 'Work ' || s_suppkey AS title, '12-4' AS pages, 'e9' AS article_number, '10.1234/' || s_suppkey AS dois, 2 AS number_authors, false AS validated FROM supplier")
+def truth_table_file(spark, d):
+    """A truth table of labelled records, written and read back."""
+    path = f"{shared_folder(spark)}/truth"
+    writers.write_table(writers.truth_rows(*_labelled(spark, d)), path)
+    rows = cut(tables.read_truth(spark, path))
+    remove(spark, path)
+    return rows.select("id", "dedupid", "authors", "publ_year", "title", "pages", "article_number", "dois", "number_authors", "validated")
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "supplier").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").cast("int").alias("id"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") - F.col("s_suppkey") % 4).cast("int").alias("dedupid"), (F.col("s_suppkey") % 3 > 0).alias("validated"))
+
+
+_TRUTH_LINES = f"SELECT {_HEAD} || 'C7  - e9' || chr(10) || 'CA  - ' || {{0}} || chr(10) || 'DO  - 10.1234/' || s_suppkey || chr(10) || CASE WHEN s_suppkey % 5 > 0 AND s_suppkey % 4 > 0 THEN 'LB  - ' || (s_suppkey - s_suppkey % 4) || chr(10) ELSE '' END || 'PY  - ' || (1900 + s_nationkey) || chr(10) || 'SP  - 12-4' || chr(10) || 'TI  - Work ' || s_suppkey || chr(10) || {_TAIL} AS value FROM supplier"
+
+
+@query(_TRUTH_LINES.format("CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 3 = 0 THEN 'Unknown' WHEN s_suppkey % 4 > 0 THEN 'Duplicate' ELSE '-' END"))
+def truth_file(spark, d):
+    return writers.truth_lines(_labelled(spark, d)[0], _truth(spark, d)).select("value")
+
+
+@query(_TRUTH_LINES.format("CASE WHEN s_suppkey % 5 > 0 AND s_suppkey % 3 > 0 THEN CASE WHEN s_suppkey % 4 > 0 THEN 'DUPLICATE' ELSE '-' END WHEN s_suppkey % 5 > 0 AND s_suppkey % 4 > 0 THEN 'duplicate' ELSE 'unknown' END"))
+def truth_file_by_validation(spark, d):
+    return writers.truth_lines(_labelled(spark, d)[0], _truth(spark, d), by_validation=True).select("value")
+
+
+@query(
+    _JUDGED
+    + f""", w AS (SELECT outcome, least(id, x) AS first, greatest(id, x) AS second FROM (SELECT *, CASE outcome WHEN 'FN' THEN t ELSE v END AS x FROM o WHERE outcome IN ('FN', 'FP')) WHERE x IS NOT NULL AND x <> id),
+{matching._ITEMS}
+SELECT outcome, first, second, CASE WHEN a.page_start IS NULL OR b.page_start IS NULL THEN coalesce(a.doi IS NULL OR b.doi IS NULL OR a.doi = b.doi, true) ELSE a.page_start = b.page_start END AS pages_or_dois,
+CASE WHEN a.doi = b.doi THEN true WHEN a.isbn IS NOT NULL AND b.isbn IS NOT NULL THEN a.isbn = b.isbn WHEN a.issn = b.issn OR a.journal = b.journal THEN true WHEN a.journal IS NULL OR b.journal IS NULL THEN false END AS same_work FROM w JOIN i a ON a.id = first + 1 JOIN i b ON b.id = second + 1"""
+)
+def wrong_pairs_explained(spark, d):
+    """Each pair that was missed or joined wrongly, with what the tests say of it."""
+    items = cut(matching.document_items(spark, d).withColumn("id", F.col("id") - 1))
+    return evaluate.analysis(_judged(spark, d), items).select("outcome", "first", "second", "pages_or_dois", "same_work")
 
 
 @query("SELECT o_custkey, arg_max(o_orderpriority, (length(o_orderpriority), -o_orderkey)) AS longest, arg_min(o_orderpriority, (length(o_orderpriority), o_orderkey)) AS shortest FROM orders GROUP BY o_custkey")

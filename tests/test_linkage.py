@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citeweld.config import MatchConfig, Mode
-from citeweld.functions.similarity import _block, jaro_winkler, jaro_winkler_many
+from citeweld.functions.similarity import _block, _long, jaro_winkler, jaro_winkler_many
 from citeweld.operators import evaluate, labels, predicates
 from citeweld.operators.candidates import candidates
 from citeweld.plans import linkage
@@ -188,6 +189,7 @@ def test_similarity():
     a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
     long = [(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(n)), " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(m))) for n, m in ((9, 9), (30, 28), (200, 190), (10, 200))]
     assert all(abs(jaro_winkler(x, y) - float(_block([x], [y], False)[0])) < 1e-12 for x, y in long)
+    assert all(abs(jaro_winkler(x, y) - _long(x, y, False)) < 1e-12 for x, y in [*long, *zip(a, b, strict=True)] if x and y and x != y)
     a, b = a + [x for x, _ in long], b + [y for _, y in long]
     many = jaro_winkler_many(a, b)
     assert all(abs(jaro_winkler(x, y) - z) < 1e-12 for x, y, z in zip(a, b, many, strict=True))
@@ -242,6 +244,10 @@ def test_pairs_can_be_explained_and_tests_replaced(spark, save):
     assert predicates.compared(items, pairs).count() == 0
     assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True)).first().plain
     assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True), journals_test=lambda *_: False).count() == 0
+    never, always = (lambda p, q: np.zeros(len(p))), (lambda p, q: np.ones(len(p)))
+    assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True), authors_test=never).count() == 0
+    assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True), titles_test=never).where("plain").count() == 0
+    assert predicates.compared(items, pairs, pages_test=lambda: F.lit(True), authors_test=always, titles_test=always).first().plain
     assert predicates.compared(items, pairs, MatchConfig(authors=1.0), pages_test=lambda: F.lit(True)).where("plain").count() == 0
 
 

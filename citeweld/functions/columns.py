@@ -12,19 +12,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 
 def lifted(rule: Callable, kind: str) -> Callable[..., Column]:
-    """rule, a function of one or more values, as a function of as many columns; nulls are passed on as None."""
-    out = T._parse_datatype_string(kind)
-
-    def run(first: pa.Array, *more: pa.Array) -> pa.Array:
-        return pa.array(map(rule, first.to_pylist(), *(x.to_pylist() for x in more)), to_arrow_type(out))
+    """rule, a function of one or two values, as a function of as many columns; nulls are passed on as None."""
+    def column(*columns: Column) -> Column:
+        out = T._parse_datatype_string(kind)  # needs a session
 
-    one = lambda a: run(a)
-    two = lambda a, b: run(a, b)
-    three = lambda a, b, c: run(a, b, c)
+        def run(first: pa.Array, *more: pa.Array) -> pa.Array:
+            return pa.array(map(rule, first.to_pylist(), *(x.to_pylist() for x in more)), to_arrow_type(out))
 
-    def column(*columns: Column) -> Column:
-        f = (one, two, three)[len(columns) - 1]
-        f.__annotations__ = dict.fromkeys([*"abc"[: len(columns)], "return"], pa.Array)
+        one = lambda a: run(a)
+        two = lambda a, b: run(a, b)
+        f = (one, two)[len(columns) - 1]
+        f.__annotations__ = dict.fromkeys([*"ab"[: len(columns)], "return"], pa.Array)
         return F.arrow_udf(f, returnType=out)(*columns)
 
     return column

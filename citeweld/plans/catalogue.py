@@ -17,7 +17,6 @@ from ..operators.enrich import cumulative_percent, enriched
 from ..sources import ris, tables, writers
 from ..spark import cut, remove, shared_folder
 from . import matching, reading
-from .matching import _NONE
 from .registry import ORACLES, QUERIES, query, t
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
@@ -136,7 +135,7 @@ def mark_all(spark, d):
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
     """Orders as items with their customer as label."""
-    none = _NONE
+    none = matching.blank()
     found = {
         "pos": F.col("o_orderkey"), "id": F.col("o_orderkey"), "label": F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")), "is_reply": F.col("o_orderkey") % 2 == 0, "is_trial": F.col("o_orderkey") % 11 == 0,
         "year": F.when(F.col("o_orderkey") % 4 == 0, F.lit(0)).otherwise(F.year("o_orderdate")), "title": F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string"))), "dois": F.array("o_orderpriority"),

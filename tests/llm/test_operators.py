@@ -13,6 +13,8 @@ import pyarrow as pa
 import pytest
 
 from citeweld.llm import feistel, fingerprint, maxent, minhash, mixing, packing, quality, shards, substring, topk, warc
+from citeweld.llm._arrow import whole_groups
+from citeweld.llm._spark import n_words
 from citeweld.llm._words import chunks
 from citeweld.spark import components, in_order
 
@@ -81,6 +83,55 @@ def test_words_are_those_of_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_words_are_told_apart_by_all_their_bytes():
+    a, b = "ab" * 600_000, "ba" + "ab" * 599_999
+    hashes = [int(c.hash[0]) for x in (a, b, "ab" * 600_000) for c in chunks(pa.array([x]))]
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_groups_of_many_batches_are_whole():
+    keys = [1] * 40 + [2] * 3 + [5] * 100 + [6]
+    batches = [pa.record_batch({"k": pa.array(keys[i : i + 7])}) for i in range(0, len(keys), 7)]
+    got = [t["k"].to_pylist() for t in whole_groups(iter(batches), "k", 10)]
+    assert [x for t in got for x in t] == keys and all(not set(a) & set(b) for a, b in zip(got, got[1:], strict=False))
+
+
+def test_windows_longer_than_a_number_has_bits(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(1000)}" for _ in range(130))
+    rows = [(1, "a b " + passage + " c"), (2, "d " + passage + " e f")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(table(spark, rows), window=100, seed=8).collect()}
+    assert got == {1: (133, 0), 2: (133, 130)}
+
+
+def test_many_texts_under_no_id_cost_what_others_do(spark):
+    rows = [(None, " ".join(f"w{i}-{k}" for k in range(25)) + " the same end of twenty words that all of these texts share so it goes from all of them but the first one") for i in range(300)]
+    got = substring.remove_repeats(table(spark, rows)).collect()
+    assert sorted(r.n_removed for r in got)[:2] == [0, 23] and len(got) == 300
+
+
+def test_private_names_do_not_clash(spark):
+    names = ["_left", "_right", "_t", "_next", "_at", "_sum", "_range", "before", "place", "all", "by0", "left"]
+    df = spark.createDataFrame([tuple([i, *range(i, i + len(names))]) for i in range(50)], ", ".join(f"{n} long" for n in ["doc_id", *names]))
+    got = shards.assign_shards(df, ["doc_id"], shards=7)
+    assert got.columns == ["doc_id", *names, "row_no", "shard", "slot"]
+    assert all([r[n] for n in names] == list(range(r.doc_id, r.doc_id + len(names))) for r in got.collect())
+
+
+def test_a_repeated_label_counts_once(spark):
+    docs = spark.createDataFrame([(i, f"good text {i} " * 5) for i in range(20)] + [(3, "good text 3 " * 5)] * 20_000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    one = quality.train(docs.dropDuplicates(), labels)
+    assert np.allclose(quality.train(docs, labels).weight, one.weight)
+    assert quality.train(docs, labels, max_features=0).weight.any() == False  # noqa: E712
+
+
+def test_long_runs_of_blanks_take_no_longer(spark):
+    df = spark.createDataFrame([("a" + " " * 1_000_000 + "b",), ("  c d ",), (None,)], "t string")
+    assert [r[0] for r in df.select(n_words(df.t)).collect()] == [2, 2, 0]
+    assert fingerprint.with_fingerprint(df, "t", "f").where("f IS NOT NULL").count() == 3
+
+
 def test_order_and_components(spark):
     df = spark.createDataFrame([(i % 7, i, i) for i in range(500)], "g int, i long, size long")
     rows = in_order(df, ["g", "i"], group="g", size="size").collect()

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import schema
 from ..config import MatchConfig
 from ..operators.enrich import enriched
 from ..plans.linkage import link
 from ..sources import ris
-from ..spark import cut
+from ..spark import cut, in_order, path_of
 
 
 def absorb(batch: DataFrame, kept: DataFrame, config: MatchConfig | None = None) -> DataFrame:
@@ -33,10 +34,11 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, config:
         if not paths:
             return
         items = None
-        for p in sorted(paths):
-            own = ris.read_items(df.sparkSession, p)
+        for k, p in enumerate(sorted(paths)):
+            own = ris.read_items(df.sparkSession, p).withColumn("_file", F.lit(k)).withColumnRenamed("pos", "_p")
             items = own if items is None else items.unionByName(own)
-        items = ris.numbered(items.withColumn("_file", F.lit(0)).withColumnRenamed("pos", "_p"), ["_file", "_p", "id"]).drop("_file", "_p").withColumn("pos", F.col("pos") + F.lit(number * (1 << 32)))
+        numbered = in_order(items, ["_file", "_p"]).withColumn("pos", F.col("row_no") + 1 + F.lit(number * (1 << 32)))
+        items = numbered.select(*schema.ITEM.names)
         items = items.withColumn("id", F.col("pos"))
         earlier = [f"{store}/batch={n}" for n in range(number)]
         have = [p for p in earlier if _exists(df.sparkSession, p)]
@@ -47,5 +49,5 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, config:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = path_of(spark, path)
+    return fs.exists(p)

@@ -1,13 +1,15 @@
 """Scores of a hashed maximum-entropy language model.
 
-The model gives the next token's class by a softmax over 32 classes, and the token within its class by smoothed counts:
-P(token | history) = P(class | history) * P(token | class). A class is a hash of a word's last letters; the end of a
-text is a class of its own. The softmax has a bias and hashed features of the history: the word before (a bigram) and the
-word before that (a skip). Words are unbounded, features are hashed to 2**15 rows of 32 weights. A third feature of both
-words together made held-out texts less likely on all the tables here, so there is none.
+The model gives the next token by two softmaxes: its class, and within the class its slot, to which words are hashed:
+P(token | history) = P(class | history) * P(slot | class, history) * P(token | class, slot). The last factor parts the words
+that share a slot by smoothed counts, so words are unbounded and the probabilities of all words still add up to one. A class
+is a hash of a word's last letters; the end of a text is a class of its own and needs no slot. Both softmaxes have a
+bias and hashed features of the history: the word before (a bigram), the word before that (a skip) and both together (a
+trigram); those of a slot go with its class. All share 2**16 rows of 16 weights.
 
 Training: each round sends the weights to all tasks; a task goes over its training texts in batches of sparse
-gradients (AdaGrad) and returns how far its weights moved; moves are averaged by tokens, block of weights by block.
+gradients (AdaGrad), which touch the rows of their features only, and returns how far its weights moved; moves are
+averaged by tokens, block of weights by block.
 
 Counting: texts are dealt into chunks once. A chunk's distinct words go to the words' totals, which send back what the
 chunk cannot know; then the chunk scores its texts against that table. So neither a vocabulary is broadcast nor is
@@ -23,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..spark import cut
 from ._arrow import ints, runs, whole_groups
 from ._spark import from_key, id_key, read, text_of
 from ._words import U, Chunk, chunks, mix
 from .quality import fold
 
-CLASSES = 32  # class 0 is the end of a text
-ROWS = 1 << 15  # rows of weights; row 0 is the bias
-BLOCK = 128  # rows of weights that travel together
+CLASSES = 16  # class 0 is the end of a text
+SLOTS = 16  # of a class
+WIDTH = max(CLASSES, SLOTS)  # weights of a row
+KINDS = CLASSES * SLOTS  # a token's kind is its class and slot
+ROWS = 1 << 16  # rows of weights; row 0 is the classes' bias, row 1 + k that of the slots of class k
+BLOCK = 256  # rows of weights that travel together
 ROUNDS = 2
 RATE = 0.4
 BATCH = 32_768  # tokens of a gradient
@@ -41,7 +47,7 @@ END = U(0x5851F42D4C957F2D)  # stands for the end of a text
 
 
 def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a chunk and an end after each text: hashes, classes and the text of each token."""
+    """Words of a chunk and an end after each text: hashes, kinds (class * SLOTS + slot) and the text of each token."""
     n = c.texts
     per = np.diff(c.off)
     at = np.arange(len(c.hash)) + c.owner()
@@ -52,33 +58,52 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = c.data[c.end - 1].astype(U)
         before = np.where(c.end - c.start > 1, c.data[np.maximum(c.end - 2, 0)], 0).astype(U)
         lower = lambda b: np.where((b >= U(65)) & (b <= U(90)), b + U(32), b)
-        kind[at] = 1 + (mix(lower(last) * U(256) + lower(before)) % U(CLASSES - 1)).astype(np.int64)
+        group = 1 + mix(lower(last) * U(256) + lower(before)) % U(CLASSES - 1)
+        kind[at] = (group * U(SLOTS) + mix(c.hash + U(77)) % U(SLOTS)).astype(np.int64)
     return h, kind, text
 
 
-def rows_of(h: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Rows of weights that are active before each token: for the word before, and for the one before that."""
-    one, two = np.zeros_like(h), np.zeros_like(h)
+def history(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of what is known before each token: the word before, the one before that, and both."""
+    one, two = np.full_like(h, U(1)), np.full_like(h, U(2))
     one[1:] = np.where(text[1:] == text[:-1], h[:-1], U(1))
     two[2:] = np.where(text[2:] == text[:-2], h[:-2], U(2))
-    one[:1], two[:2] = U(1), U(2)
-    slot = lambda x: 1 + (x % U(ROWS - 1)).astype(np.int64)
-    return np.stack([slot(mix(one + U(11))), slot(mix(two + U(22)))])
+    one, two = mix(one + U(11)), mix(two + U(22))
+    return np.stack([one, two, mix(one + two * U(3))])
 
 
-def class_odds(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of the classes, their exponentials and the sums of those; weights stay within LIMIT, so none overflows."""
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[0]
+def rows_of(past: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights that are active before each token, of its class or (with ``group``, its class) of its slot: bias and features."""
+    if group is None:
+        bias = np.zeros(past.shape[1], np.int64)
+    else:
+        bias = 1 + group
+        past = mix(past + mix(group.astype(U) + U(33)))
+    return bias, CLASSES + 1 + (past % U(ROWS - CLASSES - 1)).astype(np.int64)
+
+
+def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of those; weights stay within LIMIT, so none overflows."""
+    z = weights[bias]
+    for r in rows:
+        z += weights[r]
     e = np.exp(z)
-    return z, e, e @ np.ones(CLASSES, np.float32)
+    return z, e, e @ np.ones(WIDTH, np.float32)
+
+
+def log_choice(weights: np.ndarray, active: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of what was chosen before each token."""
+    z, _, total = odds(weights, *active)
+    return z[np.arange(len(chosen)), chosen].astype(float) - np.log(total)
 
 
-def log_class(weights: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each token's class."""
-    z, _, total = class_odds(weights, rows)
-    return z[np.arange(len(kind)), kind].astype(float) - np.log(total)
+def log_kind(weights: np.ndarray, past: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's class and slot."""
+    group, slot = kind // SLOTS, kind % SLOTS
+    out = log_choice(weights, rows_of(past), group)
+    word = np.flatnonzero(group)
+    out[word] += log_choice(weights, rows_of(past[:, word], group[word]), slot[word])
+    return out
 
 
 class Trainer:
@@ -89,23 +114,33 @@ class Trainer:
         self.seen = np.full(weights.shape, 1.0, np.float32)
         self.count = 0
 
-    def step(self, rows: np.ndarray, kind: np.ndarray) -> None:
-        _, g, total = class_odds(self.w, rows)
-        g /= total[:, None]
-        g[np.arange(len(kind)), kind] -= 1
+    def step(self, past: np.ndarray, kind: np.ndarray) -> None:
         self.count += len(kind)
-        moved = np.zeros(self.w.shape, np.float32)
-        flat = g.ravel()
-        for r in rows:  # sums by row and class
-            at = (r.astype(np.int64) * CLASSES)[:, None] + np.arange(CLASSES)
-            moved += np.bincount(at.ravel(), flat, moved.size).reshape(moved.shape)
-        moved[0] = g.sum(0)
-        often = np.bincount(rows.ravel(), minlength=len(moved)).astype(np.float32)
-        often[0] = len(kind)
-        moved /= np.sqrt(np.maximum(often, 1))[:, None]
-        self.seen += moved * moved
-        self.w -= np.float32(RATE) * moved / np.sqrt(self.seen)
-        np.clip(self.w, -LIMIT, LIMIT, out=self.w)
+        group, slot = kind // SLOTS, kind % SLOTS
+        self._learn(*rows_of(past), group)
+        word = np.flatnonzero(group)
+        if len(word):
+            self._learn(*rows_of(past[:, word], group[word]), slot[word])
+
+    def _learn(self, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
+        _, g, total = odds(self.w, bias, rows)
+        g /= total[:, None]
+        n = len(chosen)
+        g[np.arange(n), chosen] -= 1
+        flat = rows.ravel()
+        order = np.argsort(flat.astype(np.uint16 if ROWS <= 1 << 16 else np.uint32), kind="stable")
+        start, often = runs(flat[order])
+        self._move(flat[order[start]], np.add.reduceat(g[order % n], start, 0), often)
+        own = (bias[:, None] == np.arange(CLASSES + 1)).astype(np.float32)
+        often = own.sum(0)
+        self._move(np.flatnonzero(often), (own.T @ g)[often > 0], often[often > 0])
+
+    def _move(self, at: np.ndarray, by: np.ndarray, often: np.ndarray) -> None:
+        """One step of the rows ``at``, whose gradients sum to ``by`` over ``often`` tokens."""
+        by = by / np.sqrt(often).astype(np.float32)[:, None]
+        seen = self.seen[at] + by * by
+        self.seen[at] = seen
+        self.w[at] = np.clip(self.w[at] - np.float32(RATE) * by / np.sqrt(seen), -LIMIT, LIMIT)
 
 
 def _gradients(shared: object):
@@ -115,9 +150,9 @@ def _gradients(shared: object):
         for b in batches:
             for c in chunks(b["text"], lower=True, limit=1 << 20):
                 h, kind, text = tokens(c)
-                rows = rows_of(h, text)
+                past = history(h, text)
                 for at in range(0, len(h), BATCH):
-                    t.step(rows[:, at : at + BATCH], kind[at : at + BATCH])
+                    t.step(past[:, at : at + BATCH], kind[at : at + BATCH])
         if t.count:
             moved = ((t.w - start) * np.float32(t.count)).reshape(ROWS // BLOCK, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved))), pa.array([m.tobytes() for m in moved], pa.binary()), pa.array(np.full(len(moved), t.count))], names=["block", "moved", "n"])
@@ -134,7 +169,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k != block:
                 if block is not None:
                     yield done()
-                block, total, n = k, np.zeros(BLOCK * CLASSES), 0
+                block, total, n = k, np.zeros(BLOCK * WIDTH), 0
             total += np.frombuffer(moved.as_buffer(), np.float32)
             n += m
     if block is not None:
@@ -142,8 +177,8 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (ROWS x CLASSES) fitted on all rows of texts, which has a column ``text``."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    """Weights (ROWS x WIDTH) fitted on all rows of texts, which has a column ``text``."""
+    weights = np.zeros((ROWS, WIDTH), np.float32)
     sc = texts.sparkSession.sparkContext
     for _ in range(rounds):
         shared = sc.broadcast(weights)
@@ -151,12 +186,12 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
         got = moves.toArrow()  # the weights: a fixed size
         weights = weights.copy()
         for k, moved in zip(got["block"].to_pylist(), got["moved"].to_pylist(), strict=True):
-            weights[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(moved, np.float32).reshape(BLOCK, CLASSES)
+            weights[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(moved, np.float32).reshape(BLOCK, WIDTH)
     return weights
 
 
 def _words(chunk: pa.Table) -> pa.Table:
-    """Distinct tokens of a chunk, their classes and their counts in its training texts."""
+    """Distinct tokens of a chunk, their kinds and their counts in its training texts."""
     chunk = chunk.combine_chunks()
     learn = chunk["learn"].combine_chunks().to_numpy(zero_copy_only=False)
     parts = []
@@ -170,44 +205,45 @@ def _words(chunk: pa.Table) -> pa.Table:
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by word. For chunks: the totals that differ from their own count. With chunk -1: sums by class."""
-    count, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    """Rows come sorted by word. For chunks: the totals that differ from their own count. With chunk -1: sums by kind."""
+    count, distinct = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64)
     for t in whole_groups(batches, "word"):
         word, kind, n, chunk = (ints(t[c]) for c in ("word", "kind", "n", "chunk"))
         start, size = runs(word)
         total = np.add.reduceat(n, start)
-        count += np.bincount(kind[start], total, CLASSES).astype(np.int64)
-        distinct += np.bincount(kind[start], total > 0, CLASSES).astype(np.int64)
+        count += np.bincount(kind[start], total, KINDS).astype(np.int64)
+        distinct += np.bincount(kind[start], total > 0, KINDS).astype(np.int64)
         c = np.repeat(total, size)
         tell = c != n
         yield pa.RecordBatch.from_arrays([pa.array(chunk[tell]), pa.array(word[tell]), pa.array(c[tell]), pa.array(np.zeros(tell.sum(), np.int64))], names=["chunk", "word", "c", "v"])
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(CLASSES, -1)), pa.array(np.arange(CLASSES)), pa.array(count), pa.array(distinct)], names=["chunk", "word", "c", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(KINDS, -1)), pa.array(np.arange(KINDS)), pa.array(count), pa.array(distinct)], names=["chunk", "word", "c", "v"])
+
+
+SCORED = "did long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(shared: object):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        names = ["did", "held_out", "n_tokens", "n_known", "log_counts", "model", "kinds"]
+        names = ["did", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not texts.num_rows:
-            return pa.table({"did": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "log_counts": pa.array([], pa.float64()), "model": pa.array([], pa.float64()), "kinds": pa.array([], pa.list_(pa.int64()))})
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         own = _words(texts.append_column("learn", pa.array(~ints(texts["held_out"], bool))).select(["chunk", "text", "learn"]))
         word, count = ints(own["word"]).view(U), ints(own["n"]).copy()  # sorted as unsigned numbers
         if told.num_rows:
             count[np.searchsorted(word, ints(told["word"]).view(U))] = ints(told["c"])
-        weights = shared.value
-        out = [[] for _ in names[2:]]
+        weights, by_kind, every = shared.value
+        out: list[list[np.ndarray]] = [[] for _ in names[2:]]
         texts = texts.combine_chunks()
         for c in chunks(texts["text"], lower=True, limit=1 << 20):
             h, kind, text = tokens(c)
             n = count[np.searchsorted(word, h)]
-            rows = rows_of(h, text)
-            likely = np.concatenate([log_class(weights, rows[:, at : at + BATCH], kind[at : at + BATCH]) for at in range(0, len(h), BATCH)])
+            past = history(h, text)
+            likely = np.concatenate([log_kind(weights, past[:, at : at + BATCH], kind[at : at + BATCH]) for at in range(0, len(h), BATCH)])
             logs = np.log10(n + ADD)
             m = c.texts
-            for x, v in zip(out, [np.bincount(text, minlength=m), np.bincount(text, n > 0, m).astype(np.int64), np.bincount(text, logs, m), np.bincount(text, likely, m) / np.log(10), np.bincount(text * CLASSES + kind, minlength=m * CLASSES).reshape(m, CLASSES)], strict=True):
+            for x, v in zip(out, [np.bincount(text, minlength=m), np.bincount(text, n > 0, m).astype(np.int64), np.bincount(text, logs - every, m), np.bincount(text, likely / np.log(10) + logs - by_kind[kind], m)], strict=True):
                 x.append(v)
-        cols = [np.concatenate(x) for x in out]
-        kinds = pa.ListArray.from_arrays(pa.array(np.arange(0, cols[4].size + 1, CLASSES, dtype=np.int32)), pa.array(cols[4].reshape(-1)))
-        return pa.table({"did": texts["did"], "held_out": texts["held_out"], "n_tokens": cols[0], "n_known": cols[1], "log_counts": cols[2], "model": cols[3], "kinds": kinds})
+        return pa.Table.from_arrays([texts["did"], texts["held_out"], *(pa.chunked_array([np.concatenate(x)]) for x in out)], names=names)
 
     return run
 
@@ -223,19 +259,21 @@ def language_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(id_key(id_col).alias("did"), text.alias("text"), F.coalesce(fold(id_col, folds) == 0, F.lit(False)).alias("held_out"))
-    shared = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")), rounds))
+    weights = train(texts.where(~F.col("held_out")), rounds)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // chunk_bytes))
     dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("did", "text"), F.lit(n)).cast("long"))
     learn = lambda t: _words(t.append_column("learn", pa.array(~ints(t["held_out"], bool))))
     words = dealt.groupBy("chunk").applyInArrow(learn, "word long, kind int, n long, chunk long")
-    totals = words.repartition("word").sortWithinPartitions("word").mapInArrow(_totals, "chunk long, word long, c long, v long")
-    scored = dealt.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(_score(shared), "did long, held_out boolean, n_tokens long, n_known long, log_counts double, model double, kinds array<long>")
-    by_class = totals.where("chunk < 0").groupBy("word").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
-    sums = by_class.agg(F.sum("c").alias("N"), F.sum("v").alias("V"), F.array_sort(F.collect_list(F.struct("word", "c", "v"))).alias("_by"))  # one row of 32 classes
-    every = scored.crossJoin(F.broadcast(sums))
-    share = F.aggregate(F.zip_with("kinds", "_by", lambda k, s: k * F.log10(s["c"] + ADD * (s["v"] + 1))), F.lit(0.0), lambda a, x: a + x)
-    return every.select(from_key("did").alias(id_col), "held_out", "n_tokens", "n_known", F.coalesce("N", F.lit(0)).cast("long").alias("train_tokens"), (F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("N") + ADD * (F.col("V") + 1))).alias("base_score"), (F.col("model") + F.col("log_counts") - share).alias("score"))
+    totals = cut(words.repartition("word").sortWithinPartitions("word").mapInArrow(_totals, "chunk long, word long, c long, v long"))
+    count, distinct = np.zeros(KINDS), np.zeros(KINDS)
+    for r in totals.where("chunk < 0").groupBy("word").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # a row for each kind
+        count[r.word], distinct[r.word] = r.c, r.v
+    n_train, n_distinct = int(count.sum()), int(distinct.sum())
+    log_size = lambda c, v: np.log10(c + ADD * (v + 1))
+    shared = spark.sparkContext.broadcast((weights, log_size(count, distinct), float(log_size(n_train, n_distinct))))
+    scored = dealt.groupBy("chunk").cogroup(totals.where("chunk >= 0").groupBy("chunk")).applyInArrow(_score(shared), SCORED)
+    return scored.select(from_key("did").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_maximum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

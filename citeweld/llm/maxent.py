@@ -5,7 +5,7 @@ P(token | history) = P(class | history) * P(slot | class, history) * P(token | c
 that share a slot by smoothed counts, so words are unbounded and the probabilities of all words still add up to one. A class
 is a hash of a word's last letters; the end of a text is a class of its own and needs no slot. Both softmaxes have a
 bias and hashed features of the history: the word before (a bigram), the word before that (a skip) and both together (a
-trigram); those of a slot go with its class. All share 2**16 rows of 16 weights.
+trigram); those of a slot go with its class. All features share 2**16 rows of 16 weights.
 
 Training: each round sends the weights to all tasks; a task goes over its training texts in batches of sparse
 gradients (AdaGrad), which touch the rows of their features only, and returns how far its weights moved; moves are
@@ -35,11 +35,15 @@ CLASSES = 16  # class 0 is the end of a text
 SLOTS = 16  # of a class
 WIDTH = max(CLASSES, SLOTS)  # weights of a row
 KINDS = CLASSES * SLOTS  # a token's kind is its class and slot
-ROWS = 1 << 16  # rows of weights; row 0 is the classes' bias, row 1 + k that of the slots of class k
+HASH_BITS = 16  # features have so many bits
+BIAS = 1 << HASH_BITS  # the row of the classes' bias; row BIAS + 1 + k is that of the slots of class k
 BLOCK = 256  # rows of weights that travel together
+ROWS = BIAS + BLOCK  # rows of weights
+LAYERS = 4  # gradients of a row that are added one by one
 ROUNDS = 2
 RATE = 0.4
-BATCH = 32_768  # tokens of a gradient
+BATCH = 16_384  # tokens of a gradient
+SPREAD = 0.25  # share of a gradient's square that slows its row down
 LIMIT = 15.0  # of a weight
 CHUNK_BYTES = 8 << 20
 ADD = 0.1  # smoothing of counts
@@ -75,18 +79,18 @@ def history(h: np.ndarray, text: np.ndarray) -> np.ndarray:
 def rows_of(past: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of weights that are active before each token, of its class or (with ``group``, its class) of its slot: bias and features."""
     if group is None:
-        bias = np.zeros(past.shape[1], np.int64)
+        bias = np.full(past.shape[1], BIAS)
     else:
-        bias = 1 + group
+        bias = BIAS + 1 + group
         past = mix(past + mix(group.astype(U) + U(33)))
-    return bias, CLASSES + 1 + (past % U(ROWS - CLASSES - 1)).astype(np.int64)
+    return bias, (past >> U(64 - HASH_BITS)).astype(np.int64)
 
 
 def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logits, their exponentials and the sums of those; weights stay within LIMIT, so none overflows."""
-    z = weights[bias]
+    z = weights.take(bias, 0)
     for r in rows:
-        z += weights[r]
+        z += weights.take(r, 0)
     e = np.exp(z)
     return z, e, e @ np.ones(WIDTH, np.float32)
 
@@ -106,12 +110,35 @@ def log_kind(weights: np.ndarray, past: np.ndarray, kind: np.ndarray) -> np.ndar
     return out
 
 
+def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their gradients and how many those are; gradient i is g[i % len(g)].
+
+    Most rows have few gradients: the first ones are added layer by layer, all rows at once, and what a row has more of them in one sum.
+    """
+    order = np.argsort(rows.astype(np.uint16 if HASH_BITS <= 16 else np.uint32), kind="stable")
+    start, often = runs(rows.take(order))
+    at = rows.take(order.take(start))
+    order %= len(g)
+    sums = g.take(order.take(start), 0)
+    more = np.arange(len(start))
+    for layer in range(1, LAYERS):
+        more = more[often.take(more) > layer]
+        sums[more] += g.take(order.take(start.take(more) + layer), 0)
+    more = more[often.take(more) > LAYERS]
+    if len(more):
+        size = often.take(more) - LAYERS
+        first = np.cumsum(size) - size
+        rest = np.repeat(start.take(more) + LAYERS - first, size) + np.arange(size.sum())
+        sums[more] += np.add.reduceat(g.take(order.take(rest), 0), first, 0)
+    return at, sums, often
+
+
 class Trainer:
     """Weights that move along the gradients of one task."""
 
     def __init__(self, weights: np.ndarray) -> None:
         self.w = weights.copy()
-        self.seen = np.full(weights.shape, 1.0, np.float32)
+        self.seen = np.ones(len(weights), np.float32)
         self.count = 0
 
     def step(self, past: np.ndarray, kind: np.ndarray) -> None:
@@ -127,20 +154,22 @@ class Trainer:
         g /= total[:, None]
         n = len(chosen)
         g[np.arange(n), chosen] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16 if ROWS <= 1 << 16 else np.uint32), kind="stable")
-        start, often = runs(flat[order])
-        self._move(flat[order[start]], np.add.reduceat(g[order % n], start, 0), often)
-        own = (bias[:, None] == np.arange(CLASSES + 1)).astype(np.float32)
+        self._move(*row_sums(g, rows.ravel()))
+        own = (bias[:, None] == np.arange(BIAS, BIAS + CLASSES + 1)).astype(np.float32)
         often = own.sum(0)
-        self._move(np.flatnonzero(often), (own.T @ g)[often > 0], often[often > 0])
+        some = np.flatnonzero(often)
+        self._move(BIAS + some, (own.T @ g)[some], often[some])
 
     def _move(self, at: np.ndarray, by: np.ndarray, often: np.ndarray) -> None:
-        """One step of the rows ``at``, whose gradients sum to ``by`` over ``often`` tokens."""
-        by = by / np.sqrt(often).astype(np.float32)[:, None]
-        seen = self.seen[at] + by * by
+        """One step of the rows ``at``, whose gradients sum to ``by`` over ``often`` tokens; a row's weights share a rate."""
+        by /= np.sqrt(often).astype(np.float32)[:, None]
+        seen = self.seen.take(at)
+        seen += np.einsum("ij,ij->i", by, by) * np.float32(SPREAD)
         self.seen[at] = seen
-        self.w[at] = np.clip(self.w[at] - np.float32(RATE) * by / np.sqrt(seen), -LIMIT, LIMIT)
+        by *= (np.float32(RATE) / np.sqrt(seen))[:, None]
+        w = self.w.take(at, 0)
+        w -= by
+        self.w[at] = np.clip(w, -LIMIT, LIMIT, out=w)
 
 
 def _gradients(shared: object):
@@ -190,18 +219,23 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
+class Found:
+    """The tokens of a chunk's texts, found once; ``at`` gives each its place among the distinct ones."""
+
+    def __init__(self, chunk: pa.Table, learn: np.ndarray) -> None:
+        parts = [(c.first, *tokens(c)) for c in chunks(chunk["text"], lower=True, limit=1 << 20)]
+        self.hash, self.kind = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        self.text = np.concatenate([first + text for first, _, _, text in parts])
+        self.word, first, self.at = np.unique(self.hash, return_index=True, return_inverse=True)  # sorted as unsigned numbers
+        self.kind_of = self.kind[first]
+        self.count = np.bincount(self.at, learn[self.text], len(self.word)).astype(np.int64)
+
+
 def _words(chunk: pa.Table) -> pa.Table:
     """Distinct tokens of a chunk, their kinds and their counts in its training texts."""
     chunk = chunk.combine_chunks()
-    learn = chunk["learn"].combine_chunks().to_numpy(zero_copy_only=False)
-    parts = []
-    for c in chunks(chunk["text"], lower=True):
-        h, kind, text = tokens(c)
-        word, first, back = np.unique(h, return_index=True, return_inverse=True)
-        parts.append((word, kind[first], np.bincount(back, learn[c.first + text], len(word)).astype(np.int64)))
-    word, kind, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    own, first, back = np.unique(word, return_index=True, return_inverse=True)
-    return pa.table({"word": own.view(np.int64), "kind": kind[first].astype(np.int32), "n": np.bincount(back, n, len(own)).astype(np.int64), "chunk": np.full(len(own), chunk["chunk"][0].as_py(), np.int64)})
+    f = Found(chunk, ~ints(chunk["held_out"], bool))
+    return pa.table({"word": f.word.view(np.int64), "kind": f.kind_of.astype(np.int32), "n": f.count, "chunk": np.full(len(f.word), chunk["chunk"][0].as_py(), np.int64)})
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,23 +261,17 @@ def _score(shared: object):
         names = ["did", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not texts.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        own = _words(texts.append_column("learn", pa.array(~ints(texts["held_out"], bool))).select(["chunk", "text", "learn"]))
-        word, count = ints(own["word"]).view(U), ints(own["n"]).copy()  # sorted as unsigned numbers
+        texts = texts.combine_chunks()
+        f = Found(texts, ~ints(texts["held_out"], bool))
+        count = f.count
         if told.num_rows:
-            count[np.searchsorted(word, ints(told["word"]).view(U))] = ints(told["c"])
+            count[np.searchsorted(f.word, ints(told["word"]).view(U))] = ints(told["c"])
         weights, by_kind, every = shared.value
-        out: list[list[np.ndarray]] = [[] for _ in names[2:]]
-        texts = texts.combine_chunks()
-        for c in chunks(texts["text"], lower=True, limit=1 << 20):
-            h, kind, text = tokens(c)
-            n = count[np.searchsorted(word, h)]
-            past = history(h, text)
-            likely = np.concatenate([log_kind(weights, past[:, at : at + BATCH], kind[at : at + BATCH]) for at in range(0, len(h), BATCH)])
-            logs = np.log10(n + ADD)
-            m = c.texts
-            for x, v in zip(out, [np.bincount(text, minlength=m), np.bincount(text, n > 0, m).astype(np.int64), np.bincount(text, logs - every, m), np.bincount(text, likely / np.log(10) + logs - by_kind[kind], m)], strict=True):
-                x.append(v)
-        return pa.Table.from_arrays([texts["did"], texts["held_out"], *(pa.chunked_array([np.concatenate(x)]) for x in out)], names=names)
+        logs = np.log10(count + ADD)[f.at]
+        past = history(f.hash, f.text)
+        likely = np.concatenate([log_kind(weights, past[:, at : at + BATCH], f.kind[at : at + BATCH]) for at in range(0, len(f.hash), BATCH)])
+        per = lambda values=None: np.bincount(f.text, values, texts.num_rows)
+        return pa.Table.from_arrays([texts["did"], texts["held_out"], *map(lambda x: pa.chunked_array([x]), (per(), per((count > 0)[f.at]).astype(np.int64), per(logs - every), per(likely / np.log(10) + logs - by_kind[f.kind])))], names=names)
 
     return run
 
@@ -263,8 +291,7 @@ def language_scores(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // chunk_bytes))
     dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("did", "text"), F.lit(n)).cast("long"))
-    learn = lambda t: _words(t.append_column("learn", pa.array(~ints(t["held_out"], bool))))
-    words = dealt.groupBy("chunk").applyInArrow(learn, "word long, kind int, n long, chunk long")
+    words = dealt.groupBy("chunk").applyInArrow(_words, "word long, kind int, n long, chunk long")
     totals = cut(words.repartition("word").sortWithinPartitions("word").mapInArrow(_totals, "chunk long, word long, c long, v long"))
     count, distinct = np.zeros(KINDS), np.zeros(KINDS)
     for r in totals.where("chunk < 0").groupBy("word").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():  # a row for each kind

@@ -377,6 +377,15 @@ def test_model_is_a_distribution(spark):
     assert np.exp(maxent.log_kind(t.w, past[:, :1], kind[:1]))[0] > 0.8
 
 
+def test_gradients_sum_by_row():
+    rng = np.random.default_rng(3)
+    g, rows = rng.normal(size=(500, maxent.WIDTH)).astype(np.float32), rng.geometric(0.1, 1500) - 1
+    at, sums, often = maxent.row_sums(g, rows)
+    want = np.zeros((rows.max() + 1, maxent.WIDTH))
+    np.add.at(want, rows, np.concatenate([g, g, g]))
+    assert at.tolist() == np.unique(rows).tolist() and often.tolist() == np.bincount(rows)[at].tolist() and np.allclose(sums, want[at], atol=1e-4)
+
+
 def test_scores_by_plain_loops(spark, docs):
     """score is the sum over tokens of class, slot and word, each worked out alone from the weights and plain counts."""
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
@@ -404,9 +413,9 @@ def test_scores_by_plain_loops(spark, docs):
                 for j, (x, k) in enumerate(zip(h, kind, strict=True)):
                     group, slot = divmod(k, maxent.SLOTS)
                     p = past[:, j : j + 1]
-                    want += soft(0, maxent.rows_of(p)[1].ravel(), group) / math.log(10)
+                    want += soft(maxent.BIAS, maxent.rows_of(p)[1].ravel(), group) / math.log(10)
                     if group:
-                        want += soft(1 + group, maxent.rows_of(p, np.array([group]))[1].ravel(), slot) / math.log(10)
+                        want += soft(maxent.BIAS + 1 + group, maxent.rows_of(p, np.array([group]))[1].ravel(), slot) / math.log(10)
                     want += math.log10((count[x, k] + 0.1) / (size[k] + 0.1 * (distinct[k] + 1)))
                 fits.append(abs(want - r.score) < 0.02 * len(h))
         assert any(fits)

@@ -42,7 +42,7 @@ ROWS = BIAS + BLOCK  # rows of weights
 LAYERS = 4  # gradients of a row that are added one by one
 ROUNDS = 2
 RATE = 0.4
-BATCH = 16_384  # tokens of a gradient
+BATCH = 8_192  # tokens of a gradient
 SPREAD = 0.25  # share of a gradient's square that slows its row down
 LIMIT = 15.0  # of a weight
 CHUNK_BYTES = 8 << 20
@@ -155,10 +155,13 @@ class Trainer:
         n = len(chosen)
         g[np.arange(n), chosen] -= 1
         self._move(*row_sums(g, rows.ravel()))
-        own = (bias[:, None] == np.arange(BIAS, BIAS + CLASSES + 1)).astype(np.float32)
-        often = own.sum(0)
-        some = np.flatnonzero(often)
-        self._move(BIAS + some, (own.T @ g)[some], often[some])
+        if (bias == bias[0]).all():
+            self._move(bias[:1], g.sum(0, keepdims=True), np.array([n]))
+        else:
+            own = np.eye(CLASSES + 1, dtype=np.float32).take(bias - BIAS, 0)
+            often = own.sum(0)
+            some = np.flatnonzero(often)
+            self._move(BIAS + some, (own.T @ g)[some], often[some])
 
     def _move(self, at: np.ndarray, by: np.ndarray, often: np.ndarray) -> None:
         """One step of the rows ``at``, whose gradients sum to ``by`` over ``often`` tokens; a row's weights share a rate."""
@@ -226,8 +229,9 @@ class Found:
         parts = [(c.first, *tokens(c)) for c in chunks(chunk["text"], lower=True, limit=1 << 20)]
         self.hash, self.kind = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         self.text = np.concatenate([first + text for first, _, _, text in parts])
-        self.word, first, self.at = np.unique(self.hash, return_index=True, return_inverse=True)  # sorted as unsigned numbers
-        self.kind_of = self.kind[first]
+        self.word, self.at = np.unique(self.hash, return_inverse=True)  # sorted as unsigned numbers
+        self.kind_of = np.zeros(len(self.word), np.int64)
+        self.kind_of[self.at] = self.kind
         self.count = np.bincount(self.at, learn[self.text], len(self.word)).astype(np.int64)
 
 

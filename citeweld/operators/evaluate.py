@@ -36,17 +36,29 @@ def without_kept(counted: DataFrame) -> DataFrame:
     return counted.select((F.col("tp") - u).alias("tp"), "fn", (F.col("tn") + u).alias("tn"), "fp")
 
 
+def _moved(pairs: DataFrame) -> DataFrame:
+    """(id, duplicate_id): ids are moved to start at 1."""
+    low = pairs.agg(F.min("record_id").alias("_low"))
+    return pairs.crossJoin(F.broadcast(low)).select((F.col("record_id") - F.col("_low") + 1).alias("id"), "duplicate_id")  # one row
+
+
 def gold_sets(pairs: DataFrame) -> DataFrame:
     """(id, set) from (record_id, duplicate_id): ids are moved to start at 1, sets are the ids under one duplicate id."""
-    low = pairs.agg(F.min("record_id").alias("_low"))
-    moved = pairs.crossJoin(F.broadcast(low)).select((F.col("record_id") - F.col("_low") + 1).alias("id"), "duplicate_id")  # one row
+    moved = _moved(pairs)
     sets = moved.groupBy("duplicate_id").agg(F.array_sort(F.collect_set("id")).alias("set"))
     return moved.join(sets, "duplicate_id").select("id", "set")
 
 
+def gold_alone(pairs: DataFrame) -> DataFrame:
+    """(id, alone) from the same pairs: whether the id's set has no other id. Sets are never gathered: their ends tell it."""
+    moved = _moved(pairs)
+    ends = moved.groupBy("duplicate_id").agg((F.min("id") == F.max("id")).alias("alone"))
+    return moved.join(ends, "duplicate_id").select("id", "alone")
+
+
 def prefilled(items: DataFrame, gold: DataFrame) -> DataFrame:
-    """First guesses of a truth table from gold sets: alone TN or FP, else FN or TP, by whether the run gave a label."""
-    return items.join(gold, "id").select("id", "label", F.when(F.size("set") == 1, F.when(F.col("label").isNull(), "TN").otherwise("FP")).otherwise(F.when(F.col("label").isNull(), "FN").otherwise("TP")).alias("outcome"))
+    """First guesses of a truth table from gold (id, alone): alone TN or FP, else FN or TP, by whether the run gave a label."""
+    return items.join(gold, "id").select("id", "label", F.when(F.col("alone"), F.when(F.col("label").isNull(), "TN").otherwise("FP")).otherwise(F.when(F.col("label").isNull(), "FN").otherwise("TP")).alias("outcome"))
 
 
 def wrong_pairs(outcomes: DataFrame) -> DataFrame:

@@ -252,7 +252,7 @@ def gold_sets(spark, d):
 @query(_GOLD + ", i AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) END AS label FROM lineitem) SELECT i.id, label, CASE WHEN len(s) = 1 THEN CASE WHEN label IS NULL THEN 'TN' ELSE 'FP' END WHEN label IS NULL THEN 'FN' ELSE 'TP' END AS outcome FROM i JOIN b ON b.id = i.id JOIN s USING (k)")
 def gold_prefill(spark, d):
     items = t(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).alias("label"))
-    return evaluate.prefilled(items, evaluate.gold_sets(_gold(spark, d)))
+    return evaluate.prefilled(items, evaluate.gold_alone(_gold(spark, d)))
 
 
 @query("SELECT DISTINCT a.o_orderpriority AS first, b.o_orderpriority AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority")

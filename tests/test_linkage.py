@@ -261,3 +261,14 @@ def test_truth_output(spark, save, tmp_path):
     writers.write_table(writers.truth_rows(records, items), str(tmp_path / "truth"))
     back = tables.read_truth(spark, str(tmp_path / "truth")).orderBy("id").collect()
     assert [r.id for r in back] == [1, 2, 3] and back[0].dedupid == 1 and back[0].pages == "12" and back[0].number_authors == 2 and back[0].authors == "Smith, Arthur; Doe, Jane"
+
+
+def test_first_guesses_gather_no_sets(spark):
+    from citeweld.plans import catalogue
+
+    pairs = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, 3), (13, 3)], "record_id int, duplicate_id int")
+    items = spark.createDataFrame([(1, None), (2, "x"), (3, None), (4, "x"), (5, "x")], "id long, label string")
+    found = evaluate.prefilled(items, evaluate.gold_alone(pairs))
+    assert sorted((r.id, r.outcome) for r in found.collect()) == [(1, "FN"), (2, "TP"), (3, "TN"), (4, "FP"), (4, "FP")]
+    plan = catalogue.QUERIES["gold_prefill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan

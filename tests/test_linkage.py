@@ -272,3 +272,22 @@ def test_first_guesses_gather_no_sets(spark):
     assert sorted((r.id, r.outcome) for r in found.collect()) == [(1, "FN"), (2, "TP"), (3, "TN"), (4, "FP"), (4, "FP")]
     plan = catalogue.QUERIES["gold_prefill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_forms_of_long_titles_go_back_in_small_batches(spark):
+    class Records:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    import pyarrow as pa
+
+    text = "A sentence of so many words, which is followed by others. " * 300
+    record = {"pos": 1, "fields": [{"tag": "TI", "value": text, "more": None}]}
+    kind = pa.struct([("tag", pa.string()), ("value", pa.string()), ("more", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_pylist([record] * 40, schema=pa.schema([("pos", pa.int64()), ("fields", pa.list_(kind))]))
+    back = list(ris.items(Records())(iter([batch])))
+    assert sum(b.num_rows for b in back) == 40
+    assert max(b.nbytes for b in back) < 10_000_000 < sum(b.nbytes for b in back)

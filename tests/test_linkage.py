@@ -291,3 +291,26 @@ def test_forms_of_long_titles_go_back_in_small_batches(spark):
     back = list(ris.items(Records())(iter([batch])))
     assert sum(b.num_rows for b in back) == 40
     assert max(b.nbytes for b in back) < 10_000_000 < sum(b.nbytes for b in back)
+
+
+def test_titles_are_compared_by_places_as_one_by_one(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    base = ["".join(rng.choices("aabcdeeefghi jk lmnopqrstuvwxyz0", k=n)) for n in (170, 400, 700, 701, 1500)]
+    noisy = ["".join(c if rng.random() > 0.06 else rng.choice(["", "x", c + c]) for c in rng.choice(base)) for _ in range(40)]
+    strings = [*base, *noisy, "a", "ab", "z" * 200, "z" * 300, "é" * 200, "ab" * 400, "ba" * 400, "b" * 300 + "a" * 300, "a" * 300 + "b" * 300]
+    forms = pa.array([[x] for x in strings] + [[], [base[0], noisy[0]]], pa.list_(pa.string()))
+    first, second = (np.array(v) for v in zip(*[(i, j) for i in range(len(forms)) for j in range(len(forms))], strict=True))
+    lists = forms.to_pylist()
+    exact = predicates.best([lists[i] for i in first], [lists[j] for j in second], cut_ends=True)
+    for need in (0.5, 0.89, 0.94, 1.0):
+        wanted = np.full(len(first), need)
+        assert (predicates._exceed(forms, first, second, wanted) == (exact > wanted)).all()
+        assert not (exact > wanted)[~predicates.may_exceed(forms, first, second, wanted)].any()
+    # pairs far beyond the number of titles: each title reaches a group once
+    groups = []
+    run = predicates._titles(lambda p, q: groups.append(len(p)) or np.ones(len(p)))
+    pairs = pa.table({"g": [0] * 600, "a": [1] * 600, "b": list(range(2, 602)), "as_reply": [False] * 600, "need": [0.5] * 600})
+    own = pa.table({"h": [0] * 601, "side": [0] + [1] * 600, "pos": list(range(1, 602)), "titles": pa.array([["t"]] * 601, pa.list_(pa.string()))})
+    assert run(pairs, own).num_rows == 600 and sum(groups) == 600

@@ -293,6 +293,23 @@ def test_forms_of_long_titles_go_back_in_small_batches(spark):
     assert max(b.nbytes for b in back) < 10_000_000 < sum(b.nbytes for b in back)
 
 
+def test_matches_of_replies_alone_do_not_join_groups(spark, monkeypatch):
+    from citeweld.plans import matching
+
+    none = matching.blank()
+    own = {"pos": F.col("pos"), "id": F.col("pos"), "year": F.lit(2000), "is_reply": F.col("pos") == 20}
+    items = spark.range(1, 25).withColumnRenamed("id", "pos").select(*[own.get(c, none[c]).alias(c) for c in none])
+    edges = [(1, 2, True, True), (2, 3, False, True), (3, 4, False, True), (20, 21, False, True), (21, 22, False, True), (22, 23, True, False)]
+    matches = spark.createDataFrame(edges, "a long, b long, plain boolean, as_reply boolean")
+    used = {(r.a, r.b) for r in labels._usable(items, matches).collect()}
+    assert used == {(1, 2), (20, 21), (21, 22), (22, 23)}
+    found = {r.pos: r.label for r in labels.labelled(items, matches).where("label IS NOT NULL").collect()}
+    rows = [r.asDict() for r in items.collect()]
+    whole = labels.replay(rows, {(a, b): (p, r) for a, b, p, r in edges}, [2000], False)
+    assert found == {k: s["label"] for k, s in whole.items() if s["label"] is not None} and found[2] == "1" and 3 not in found
+    assert labels._usable(items.withColumn("is_reply", F.lit(False)), matches).count() == 2
+
+
 def test_titles_are_compared_by_places_as_one_by_one(spark):
     import pyarrow as pa
 

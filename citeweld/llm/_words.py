@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 20  # bytes hashed at once
+BLOCK = 1 << 20  # bytes hashed at once, at most
+STEP = 1 << 17  # bytes looked at together: what is made of them stays near the processor
 CHUNK = 4 << 20  # bytes of whole texts handed out together
 #: splitmix64's constants and odd multipliers of the hashes.
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -50,7 +51,8 @@ def _setup() -> tuple[np.ndarray, ...]:
         gap[[32, 9, 10, 11, 12, 13]] = True
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
-        _tables.extend([gap, lower, mix(np.arange(1, 257, dtype=U) * U(BYTE_BASE)), _powers(BYTE_BASE, BLOCK + 1), _powers(pow(BYTE_BASE, -1, 1 << 64), BLOCK + 1)])
+        table = mix(np.arange(1, 257, dtype=U) * U(BYTE_BASE))
+        _tables.extend([gap, table[lower], table, _powers(BYTE_BASE, BLOCK + 1), _powers(pow(BYTE_BASE, -1, 1 << 64), BLOCK + 1)])
     return tuple(_tables)
 
 
@@ -75,6 +77,11 @@ class Chunk:
         return np.repeat(np.arange(self.texts), np.diff(self.off))
 
 
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes end a word."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
 def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in data; a word never crosses a bound."""
     gap, low, table, power, inverse = _setup()
@@ -82,17 +89,20 @@ def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
     at, n = 0, len(data)
     inner = bounds[1:-1]
     while at < n:
-        stop = min(n, at + BLOCK)
+        stop = min(n, at + STEP)
         if stop < n:  # cut where a word ends
-            back = np.flatnonzero(gap[data[at:stop]])
+            back = int(blanks(data[at:stop])[::-1].argmax())  # characters behind the last blank; 0 also if there is none
             k = int(np.searchsorted(inner, stop, "right"))
-            cut = max(at + int(back[-1]) + 1 if len(back) else 0, int(inner[k - 1]) if k else 0)
-            if cut <= at:  # one word fills the block: find its end
-                more = np.flatnonzero(gap[data[stop:]])
-                cut = min(stop + int(more[0]) if len(more) else n, int(inner[k]) if k < len(inner) else n)
+            cut = max(stop - back if gap[data[stop - back - 1]] else 0, int(inner[k - 1]) if k else 0)
+            if cut <= at:  # one word fills the step: find its end
+                far = int(inner[k]) if k < len(inner) else n
+                cut = stop
+                while cut < far and not (here := blanks(data[cut : min(cut + BLOCK, far)])).any():
+                    cut = min(cut + BLOCK, far)
+                cut += int(here.argmax()) if cut < far else 0
             stop = cut
         part = data[at:stop]
-        space = gap[part]
+        space = blanks(part)
         edge = np.zeros(len(part) + 1, bool)
         edge[0] = True
         edge[1:-1] = space[1:] != space[:-1]
@@ -104,7 +114,7 @@ def split_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tu
         word = ~space[s] if len(s) else np.zeros(0, bool)
         s, e = s[word], e[word]
         if len(s):
-            value = table[low[part] if lower else part]
+            value = (low if lower else table).take(part, mode="clip")
             if len(part) <= BLOCK:
                 value *= power[: len(part)]
                 total = np.zeros(len(part) + 1, U)
@@ -147,6 +157,23 @@ def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         i = j
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans come in order, one after another, in at most BLOCK bytes."""
+    _, _, table, power, inverse = _setup()
+    out = np.empty(len(start), U)
+    a = 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(start, start[a] + STEP, "left")))
+        s, e = start[a:z] - start[a], end[a:z] - start[a]
+        value = table.take(data[start[a] : end[z - 1]], mode="clip")
+        value *= power[: len(value)]
+        total = np.zeros(len(value) + 1, U)
+        np.cumsum(value, out=total[1:])
+        out[a:z] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
+        a = z
+    return out
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; len(h) - k + 1 of them, whatever text they belong to."""
     n = len(h) - k + 1
@@ -159,15 +186,6 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def gram_of(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the symbols of each span, for short spans of at most BLOCK symbols."""
-    _, _, _, power, inverse = _setup()
-    value = (symbols + np.uint32(1)) * power[: len(symbols)]
-    total = np.zeros(len(value) + 1, U)
-    np.cumsum(value, out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... lengths[0] numbers, then those of the next range."""
     total = int(lengths.sum())

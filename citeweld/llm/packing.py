@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from ..spark import cut
 from ._arrow import ints, runs
 from ._spark import from_key, id_key, read, text_of
-from ._words import BLOCK, U, chunks, gram_of, mix, ranges
+from ._words import BLOCK, Chunk, U, chunks, hashes, mix, ranges
 
 WINDOW = 1024
 END_ID = 0  # follows each document
@@ -33,9 +32,11 @@ SHARD_BYTES = 4 << 20  # texts of a shard
 TERMS = 1 << 18  # hashed terms of the index
 K1, B = 1.2, 0.75
 
-SLOTS = 20  # bits of the number of pieces whose ids a worker remembers
-MOST_IDS = 1 << 24  # ids of those pieces
-LONG = 256  # characters of a piece from which on the file's own library merges it
+SLOTS = 20  # bits of the number of spans whose ids a worker remembers
+MOST_IDS = 1 << 24  # ids of those spans
+LONG = 256  # characters of a piece from which on the file's own library merges it, bytes of a span that is not remembered
+DENSE = 4096  # documents of a shard up to which the frequent terms of all pairs are multiplied out
+SHARE = 16  # a term is frequent that one of so many documents has
 
 #: The ends of words that a byte-level BPE cuts off at an apostrophe.
 _ONE, _TWO = "sdmt", ("ll", "ve", "re")
@@ -46,9 +47,10 @@ class Coder:
     """Ids of a tokenizer file.
 
     A plain byte-level BPE, whose merges are in the order of its ids, cuts a text into pieces that are merged for themselves.
-    Such texts are cut here for many at once, and each distinct piece is merged once, by a faster library with the same
-    ranks, long ones by the file's own library. What kind a character is comes from the file's own library too. Other files,
-    and texts that hold a special token, go to that library as a whole.
+    No piece crosses a blank but the space ahead of a word, so the ids of a word with that space are found once and remembered.
+    Words not met before are cut into their pieces for many at once, and those are merged by a faster library with the same
+    ranks, long ones by the file's own library. What kind a character is comes from the file's own library too; texts with blanks
+    that do not end a word here are cut as a whole. Other files, and texts that hold a special token, go to that library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,10 +60,11 @@ class Coder:
         self.own = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.special = [t["content"] for t in file.get("added_tokens", ())]
+        self.special = [t["content"].encode() for t in file.get("added_tokens", ())]
+        self.between = 0  # the id of byte 0, which parts pieces on their way to the faster library
         self.ranked = self._ranked(file)
-        # ids of pieces met before: a place for each hash, the latest piece stays
-        self.key, self.begin, self.size = np.zeros(1 << SLOTS, U), np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
+        # ids of spans met before: hash, place and number of ids at a slot for each hash, the latest span stays
+        self.known = np.zeros((1 << SLOTS, 2), U)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
 
@@ -78,8 +81,11 @@ class Coder:
 
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
         byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
-        return tiktoken.Encoding("ranked", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t.encode() not in self.special}
+        if b"\0" not in ranks:
+            return None
+        self.between = ranks[b"\0"]
+        return tiktoken.Encoding("ranked", pat_str=r"\x00|[^\x00]+", mergeable_ranks=ranks, special_tokens={})
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         """LETTER, DIGIT, BLANK or OTHER for each character: those that the file's own library leaves in one piece are alike."""
@@ -92,61 +98,109 @@ class Coder:
             out = self.kinds[points]
         return out
 
-    def _merged(self, piece: str) -> list[int]:
-        return self.own.encode(piece, add_special_tokens=False).ids if len(piece) > LONG else self.ranked.encode_ordinary(piece)
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        whole = "".join(texts)
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        bounds = np.r_[0, np.cumsum([len(t) for t in texts])]
-        start, end = pieces(points, self._kinds(points), bounds)
-        key = np.maximum(gram_of(points, start, end), U(1))
+    def _own(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of spans of data, each as a text of its own, their numbers, and which spans hold a blank that does not end a word."""
+        spans = data[ranges(begin, size)]
+        points = np.frombuffer(spans.tobytes().decode().encode("utf-32-le"), np.uint32)
+        first = np.r_[0, np.cumsum((spans & 0xC0) != 0x80)]  # characters before each byte
+        bounds = first[np.r_[0, np.cumsum(size)]]
+        kinds = self._kinds(points)
+        odd = np.zeros(len(size), bool)
+        odd[np.searchsorted(bounds, np.flatnonzero((kinds == BLANK) & (points != 32) & ((points < 9) | (points > 13))), "right") - 1] = True
+        start, end = pieces(points, kinds, bounds)
+        slow = end - start > LONG
+        zeros = np.flatnonzero(points == 0)
+        slow[np.searchsorted(start, zeros, "right") - 1] = True
+        joined = np.insert(points, start, 0)
+        if slow.any():
+            rest = np.ones(len(joined), bool)
+            number = np.flatnonzero(slow)
+            rest[ranges(start[number] + number + 1, (end - start)[number])] = False
+            joined = joined[rest]
+        ids = np.array(self.ranked.encode_ordinary(joined.tobytes().decode("utf-32-le")), np.uint32)
+        at = np.flatnonzero(ids == self.between)
+        n = np.diff(np.r_[at, len(ids)]) - 1
+        ids = ids[ids != self.between]
+        if slow.any():
+            late = [self._own(points[s:e].tobytes().decode("utf-32-le")) for s, e in zip(start[slow].tolist(), end[slow].tolist(), strict=True)]
+            more = np.array([len(x) for x in late])
+            ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[slow], more), np.concatenate(late))
+            n[slow] = more
+        before = np.r_[0, np.cumsum(n)]
+        return ids, np.diff(before[np.searchsorted(start, bounds, "left")]), odd
+
+    def _of_chunk(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk of at most BLOCK bytes, and their numbers."""
+        start, end = spans(c)
+        key = hashes(c.data, start, end)
         key[end - start > LONG] = 0  # never remembered
         slot = (key >> U(64 - SLOTS)).astype(np.int64)
-        begin, size = self.begin[slot], self.size[slot]
-        new = np.flatnonzero((self.key[slot] != key) | (key == 0))
+        found = self.known.take(slot, 0)
+        begin, size = (found[:, 1] >> U(16)).astype(np.int64), (found[:, 1] & U(0xFFFF)).astype(np.int64)
+        new = np.flatnonzero((found[:, 0] != key) | (key == 0))
+        whole = np.zeros(c.texts, bool)
         if len(new):
             own, first, back = np.unique(np.where(key[new] > 0, key[new], start[new].astype(U)), return_index=True, return_inverse=True)
             first = new[first]
-            ids = [self._merged(whole[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            n = np.array([len(x) for x in ids], np.int64)
+            ids, n, odd = self._merged(c.data, start[first], end[first] - start[first])
             at = self.used + np.cumsum(n) - n
-            self._keep(list(chain.from_iterable(ids)))
+            self._keep(ids)
             begin[new], size[new] = at[back], n[back]
-            kept = key[first] > 0
-            self.key[slot[first[kept]]], self.begin[slot[first[kept]]], self.size[slot[first[kept]]] = key[first[kept]], at[kept], n[kept]
-        out = self.flat[ranges(begin, size)].astype("<u4", copy=False).tobytes()
-        at = 4 * np.r_[0, np.cumsum(size)][np.searchsorted(start, bounds, "left")]
+            kept = (key[first] > 0) & ~odd
+            self.known[slot[first[kept]]] = np.stack([key[first[kept]], (at[kept] << 16 | n[kept]).astype(U)], 1)
+            whole[np.searchsorted(c.bounds, start[new[odd[back]]], "right") - 1] = True
+        if whole.any():  # their spans are replaced by one
+            text = np.flatnonzero(whole)
+            ids, n, _ = self._merged(c.data, c.bounds[text], c.bounds[text + 1] - c.bounds[text])
+            at = self.used + np.cumsum(n) - n
+            self._keep(ids)
+            first = np.searchsorted(start, c.bounds[text], "left")
+            size[whole[np.searchsorted(c.bounds, start, "right") - 1]] = 0
+            begin[first], size[first] = at, n
+        out = self.flat[ranges(begin, size)]
+        per = np.diff(np.r_[0, np.cumsum(size)][np.searchsorted(start, c.bounds, "left")])
         if self.used > MOST_IDS:
-            self.key[:], self.used = 0, 0
-        return [out[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            self.known[:], self.used = 0, 0
+        return out, per
 
-    def _keep(self, ids: list[int]) -> None:
+    def _keep(self, ids: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)]
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        held: list[int] = []
-        room = 0
-        for i, t in enumerate(texts):
-            if self.ranked is None or any(s in t for s in self.special) or len(t) > BLOCK // 2:
-                out[i] = np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            held.append(i)
-            room += len(t)
-            if room > BLOCK // 2:
-                self._fill(out, texts, held)
-                held, room = [], 0
-        self._fill(out, texts, held)
-        return out
-
-    def _fill(self, out: list[bytes | None], texts: list[str], which: list[int]) -> None:
-        if which:
-            for i, ids in zip(which, self._many([texts[i] for i in which]), strict=True):
-                out[i] = ids
+    def ids(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk, one after another, and their numbers."""
+        if self.ranked is not None and len(c.data) <= BLOCK:
+            data = c.data.tobytes()
+            if not any(s in data for s in self.special):
+                return self._of_chunk(c) if len(data) else (np.zeros(0, np.uint32), np.zeros(c.texts, np.int64))
+        each = [np.array(self._own(c.data[s:e].tobytes().decode()), np.uint32) for s, e in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True)]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+
+def spans(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the spans of a chunk whose ids don't depend on what is around them: words with the space ahead of
+    them, and what is left of the blanks, of which the last one is by itself if a word follows."""
+    before = np.r_[0, c.end[:-1]] if len(c.end) else c.end
+    some = np.flatnonzero(np.diff(c.off))  # texts with words
+    before[c.off[some]] = c.bounds[some]
+    joins = (c.start > before) & (c.data[c.start - 1] == 32)
+    start = c.start - joins
+    gap = np.flatnonzero(start > before)
+    alone = gap[~joins[gap] & (start[gap] - before[gap] > 1)]
+    last = c.bounds[:-1].copy()
+    last[some] = c.end[c.off[some + 1] - 1]
+    tail = last < c.bounds[1:]
+    if not len(gap) and not tail.any():
+        return start, c.end
+    first = np.concatenate([start, before[gap], start[alone] - 1, last[tail]])
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    return first, np.r_[first[1:], c.bounds[-1]]  # spans leave nothing out
 
 
 LETTER, DIGIT, OTHER, BLANK, UNKNOWN = range(5)
@@ -196,11 +250,20 @@ def pieces(points: np.ndarray, kinds: np.ndarray, bounds: np.ndarray) -> tuple[n
     return start[some], end[some]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers."""
+def coder(path: str) -> Coder:
     if path not in _tokenizers:
         _tokenizers[path] = Coder(path)
-    return _tokenizers[path].encode(texts)
+    return _tokenizers[path]
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian 32-bit numbers."""
+    out: list[bytes] = []
+    for c in chunks(pa.array(texts, pa.large_string()), limit=BLOCK):
+        ids, n = coder(path).ids(c)
+        ids, at = ids.astype("<u4", copy=False).tobytes(), 4 * np.r_[0, np.cumsum(n)]
+        out += [ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +271,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = words = 0
     for b in batches:
         for c in chunks(b["text"], lower=True, limit=1 << 20):
-            key = np.unique(c.owner().astype(U) * U(TERMS) + (c.hash & U(TERMS - 1)))
-            found += np.bincount((key & U(TERMS - 1)).astype(np.int64), minlength=TERMS)
+            key = c.owner().astype(U) * U(TERMS) + (c.hash & U(TERMS - 1))
+            key.sort()
+            found += np.bincount((key[runs(key)[0]] & U(TERMS - 1)).astype(np.int64), minlength=TERMS)
             docs += c.texts
             words += len(c.hash)
     term = np.flatnonzero(found)
@@ -273,17 +337,35 @@ class Index:
         self.docs = len(length)
         order = _by(term)
         self.posting_doc, self.posting_weight = doc[order], self.weight[order]
-        self.terms, self.first = np.unique(term[order], return_index=True)
-        self.size = np.diff(np.r_[self.first, len(order)])
-        by = _by(doc)
-        self.query_term = np.searchsorted(self.terms, term[by])  # all terms of each document
-        self.query_end = np.cumsum(np.bincount(doc, minlength=self.docs))
+        self.first, self.size = runs(term[order])
+        number = np.empty(len(term), np.int64)
+        number[order] = np.repeat(np.arange(len(self.first)), self.size)
+        self.frequent = self._frequent()
+        if self.frequent is not None:
+            number[self.frequent_term[number]] = -1
+        by = np.arange(len(doc)) if (doc[1:] >= doc[:-1]).all() else _by(doc)
+        by = by[number[by] >= 0]
+        self.query_term = number[by]  # terms of each document, but for those multiplied out
+        self.query_end = np.cumsum(np.bincount(doc[by], minlength=self.docs))
+
+    def _frequent(self) -> np.ndarray | None:
+        """What terms that are in many documents add to the score of each pair; other terms are looked up for each seed."""
+        self.frequent_term = self.size * SHARE > self.docs
+        number = np.flatnonzero(self.frequent_term)
+        if not 1 < self.docs <= DENSE or not len(number):
+            return None
+        at = ranges(self.first[number], self.size[number])
+        weights = np.zeros((len(number), self.docs), np.float32)
+        weights[np.repeat(np.arange(len(number)), self.size[number]), self.posting_doc[at]] = self.posting_weight[at]
+        return (weights > 0).astype(np.float32).T @ weights
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, by the BM25 score of all its terms, best first."""
         q = self.query_term[self.query_end[seed - 1] if seed else 0 : self.query_end[seed]]
         at = ranges(self.first[q], self.size[q])
         scores = np.bincount(self.posting_doc[at], self.posting_weight[at], self.docs)
+        if self.frequent is not None:
+            scores = scores + self.frequent[seed]
         scores[~unused] = 0
         while True:
             best = int(np.argmax(scores))
@@ -334,6 +416,15 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def _binary(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values of little-endian 32-bit numbers; value i starts at number at[i]."""
+    raw = tokens.astype("<u4", copy=False)
+    ends = np.r_[at, len(raw)]
+    if 4 * len(raw) < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
+    return pa.array([raw[a:z].tobytes() for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+
+
 def _pack(path: str, window: int, end_id: int, stats: object, names: list[str]):
     def run(shard: pa.Table) -> pa.Table:
         idf, mean = stats.value[:2]
@@ -341,15 +432,12 @@ def _pack(path: str, window: int, end_id: int, stats: object, names: list[str]):
         n = shard.num_rows
         order = np.lexsort((ints(shard["tie"]), ints(shard["did"])))
         shard = shard.take(pa.array(order)).combine_chunks()
-        last = np.array([end_id], "<u4").tobytes()
-        tokens: list[bytes] = []
         parts = []
         for c in chunks(shard["text"], lower=True, limit=1 << 20):
-            tokens += [t + last for t in encode(shard["text"].slice(c.first, c.texts).to_pylist(), path)]
+            ids, size = coder(path).ids(c)
             key, tf = np.unique(c.owner().astype(U) * U(TERMS) + (c.hash & U(TERMS - 1)), return_counts=True)
-            parts.append(((key & U(TERMS - 1)).astype(np.int64), (key // U(TERMS)).astype(np.int64) + c.first, tf, np.diff(c.off)))
-        term, doc, tf, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        lengths = np.array([len(t) // 4 for t in tokens])
+            parts.append(((key & U(TERMS - 1)).astype(np.int64), (key // U(TERMS)).astype(np.int64) + c.first, tf, np.diff(c.off), np.insert(ids, np.cumsum(size), end_id), size + 1))
+        term, doc, tf, length, tokens, lengths = (np.concatenate([p[i] for p in parts]) for i in range(6))
         placed = np.array(order_documents(lengths, Index(term, doc, tf, length, idf, mean), window))
         size = lengths[placed]
         begin = np.cumsum(size) - size
@@ -361,13 +449,13 @@ def _pack(path: str, window: int, end_id: int, stats: object, names: list[str]):
         sequence = np.searchsorted(ends, at, "right")
         start = at - begin[which]
         row = placed[which]
-        ids = [tokens[r][4 * s : 4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), (stop - at).tolist(), strict=True)]
+        tokens = tokens[ranges((np.cumsum(lengths) - lengths)[placed], size)]
         assert len(np.unique(placed)) == n
         base = int(shard["shard"][0].as_py()) << 40
         kept = shard.take(pa.array(row))
         seq_start = np.r_[0, ends][:-1]
         columns = {x: kept[x] for x in ["did", *names]}
-        columns |= {"start": pa.array(start), "length": pa.array(stop - at), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(lengths[row]), "sequence_id": pa.array(base + sequence), "offset": pa.array(at - seq_start[sequence])}
+        columns |= {"start": pa.array(start), "length": pa.array(stop - at), "ids": _binary(tokens, at), "doc_tokens": pa.array(lengths[row]), "sequence_id": pa.array(base + sequence), "offset": pa.array(at - seq_start[sequence])}
         return pa.table(columns)
 
     return run

@@ -471,6 +471,50 @@ def test_special_strings_are_encoded_by_the_file():
     assert packing.encode(texts, path) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_ids_of_many_texts_are_merged_together():
+    """One call for all words not met before, almost none for words met; odd blanks, long words and cut steps change no id."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab1 2'sl!\t\n\x0b\x1c\x85\u00a0\u3000\u2003\u00e9\u6f22\x00") for _ in range(rng.randrange(30))) for _ in range(2000)]
+    texts += ["x" * 300, "a" + " " * 300 + "b", "\n" * 300 + "a", " ", "a\u00a0 b", "a \u00a0b", "\x00" * 300]
+    assert packing.encode(texts, path) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    coder, calls = packing.Coder(path), []
+    real = coder.ranked.encode_ordinary
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real(text)
+
+    coder.ranked = Counted()
+    packing._tokenizers["counted"] = coder
+    words = [" ".join(f"word{i}x{k}" for k in range(40)) for i in range(100)]
+    first = packing.encode(words, "counted")
+    assert len(calls) == 1
+    assert packing.encode(words, "counted") == first == packing.encode(words, path)
+    assert sum(map(len, calls[1:])) < len(calls[0]) / 20  # a few words share a slot
+
+
+def test_frequent_terms_are_not_looked_up_for_each_seed(monkeypatch):
+    rng = np.random.default_rng(3)
+    own = [np.unique(np.r_[rng.integers(0, 20, 15), rng.integers(20, 4000, 10)]) for _ in range(300)]
+    term, doc = np.concatenate(own), np.repeat(np.arange(300), [len(x) for x in own])
+    tf, length = rng.integers(1, 4, len(term)), np.array([len(x) for x in own])
+    idf = rng.random(4000) + 0.1
+    index = packing.Index(term, doc, tf, length, idf, float(length.mean()))
+    looked_up = sum(int(index.size[t]) for t in index.query_term)
+    assert looked_up < 20_000  # 600,000 with the frequent ones
+    monkeypatch.setattr(packing, "DENSE", 0)
+    plain = packing.Index(term, doc, tf, length, idf, float(length.mean()))
+    for seed in range(0, 300, 7):
+        unused = np.arange(300) != seed
+        assert list(index.neighbours(seed, unused)) == list(plain.neighbours(seed, unused))
+
+
 def test_neighbours_follow_their_seed():
     term = np.array([0, 1, 2, 0, 1, 9, 7, 8])
     doc = np.array([0, 0, 0, 2, 2, 1, 3, 3])

@@ -18,6 +18,7 @@ every token shuffled, and a very frequent word sends a row from each chunk.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,15 @@ ADD = 0.1  # smoothing of counts
 END = U(0x5851F42D4C957F2D)  # stands for the end of a text
 
 
+@functools.cache
+def _first_kinds() -> np.ndarray:
+    """The kind of the first slot of a word's class, by its last byte * 256 and the one before that."""
+    byte = np.arange(256, dtype=U)
+    byte[65:91] += U(32)
+    group = 1 + mix((byte[:, None] * U(256) + byte).ravel()) % U(CLASSES - 1)
+    return (group * U(SLOTS)).astype(np.int64)
+
+
 def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of a chunk and an end after each text: hashes, kinds (class * SLOTS + slot) and the text of each token."""
     n = c.texts
@@ -59,11 +69,11 @@ def tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, kind, text = np.full(total, END, U), np.zeros(total, np.int64), np.repeat(np.arange(n), per + 1)
     h[at] = c.hash
     if len(c.hash):
-        last = c.data[c.end - 1].astype(U)
-        before = np.where(c.end - c.start > 1, c.data[np.maximum(c.end - 2, 0)], 0).astype(U)
-        lower = lambda b: np.where((b >= U(65)) & (b <= U(90)), b + U(32), b)
-        group = 1 + mix(lower(last) * U(256) + lower(before)) % U(CLASSES - 1)
-        kind[at] = (group * U(SLOTS) + mix(c.hash + U(77)) % U(SLOTS)).astype(np.int64)
+        ending = c.data.take(c.end - 1).astype(np.intp) << 8
+        ending += np.where(c.end - c.start > 1, c.data.take(np.maximum(c.end - 2, 0)), 0)
+        own = (mix(c.hash + U(77)) % U(SLOTS)).astype(np.int64)
+        own += _first_kinds().take(ending)
+        kind[at] = own
     return h, kind, text
 
 
@@ -86,27 +96,33 @@ def rows_of(past: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarr
     return bias, (past >> U(64 - HASH_BITS)).astype(np.int64)
 
 
-def odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of those; weights stay within LIMIT, so none overflows."""
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the active weights; weights stay within LIMIT, so no exponential of a sum overflows."""
     z = weights.take(bias, 0)
     for r in rows:
         z += weights.take(r, 0)
-    e = np.exp(z)
-    return z, e, e @ np.ones(WIDTH, np.float32)
+    return z
 
 
 def log_choice(weights: np.ndarray, active: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> np.ndarray:
     """Natural log of the probability of what was chosen before each token."""
-    z, _, total = odds(weights, *active)
-    return z[np.arange(len(chosen)), chosen].astype(float) - np.log(total)
+    z = logits(weights, *active)
+    own = z.ravel().take(places(chosen)).astype(float)
+    return own - np.log(np.exp(z, out=z) @ np.ones(WIDTH, np.float32))
+
+
+def places(chosen: np.ndarray) -> np.ndarray:
+    """Where the chosen ones of rows of WIDTH numbers lie, row after row."""
+    return np.arange(0, len(chosen) * WIDTH, WIDTH) + chosen
 
 
 def log_kind(weights: np.ndarray, past: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each token's class and slot."""
-    group, slot = kind // SLOTS, kind % SLOTS
+    group = kind // SLOTS
     out = log_choice(weights, rows_of(past), group)
     word = np.flatnonzero(group)
-    out[word] += log_choice(weights, rows_of(past[:, word], group[word]), slot[word])
+    group = group.take(word)
+    out[word] += log_choice(weights, rows_of(past.take(word, 1), group), kind.take(word) - group * SLOTS)
     return out
 
 
@@ -115,24 +131,39 @@ def row_sums(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
     Most rows have few gradients: the first ones are added layer by layer, all rows at once, and what a row has more of them in one sum.
     """
+    n = len(g)
     order = np.argsort(rows.astype(np.uint16 if HASH_BITS <= 16 else np.uint32), kind="stable")
     start, often = runs(rows.take(order))
     at = rows.take(order.take(start))
-    order %= len(g)
+    order = np.tile(np.arange(n), -(-len(rows) // n)).take(order)
     sums = g.take(order.take(start), 0)
-    more = np.arange(len(start))
-    for layer in range(1, LAYERS):
-        more = more[often.take(more) > layer]
-        sums[more] += g.take(order.take(start.take(more) + layer), 0)
-    more = more[often.take(more) > LAYERS]
+    more = np.flatnonzero(often > 1)
     if len(more):
-        size = often.take(more) - LAYERS
-        first = np.cumsum(size) - size
-        rest = np.repeat(start.take(more) + LAYERS - first, size) + np.arange(size.sum())
-        sums[more] += np.add.reduceat(g.take(order.take(rest), 0), first, 0)
+        often_more = often.take(more)
+        by = np.argsort(np.maximum(LAYERS + 1 - often_more, 0).astype(np.uint8), kind="stable")  # rows with most gradients come first
+        more, often_more = more.take(by), often_more.take(by)
+        first = start.take(more)
+        have = np.cumsum(np.bincount(np.minimum(often_more, LAYERS + 1), minlength=LAYERS + 2)[::-1])[::-1]  # rows of at least so many
+        sum_more = sums.take(more, 0)
+        for layer in range(1, LAYERS):
+            m = have[layer + 1]
+            sum_more[:m] += g.take(order.take(first[:m] + layer), 0)
+        m = have[LAYERS + 1]
+        if m:
+            size = often_more[:m] - LAYERS
+            begin = np.cumsum(size) - size
+            rest = np.repeat(first[:m] + LAYERS - begin, size) + np.arange(size.sum())
+            sum_more[:m] += np.add.reduceat(g.take(order.take(rest), 0), begin, 0)
+        put_rows(sums, more, sum_more)
     return at, sums, often
 
 
+def put_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each copied as one value."""
+    whole = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(whole).ravel()[at] = rows.view(whole).ravel()
+
+
 class Trainer:
     """Weights that move along the gradients of one task."""
 
@@ -143,36 +174,37 @@ class Trainer:
 
     def step(self, past: np.ndarray, kind: np.ndarray) -> None:
         self.count += len(kind)
-        group, slot = kind // SLOTS, kind % SLOTS
+        group = kind // SLOTS
         self._learn(*rows_of(past), group)
         word = np.flatnonzero(group)
         if len(word):
-            self._learn(*rows_of(past[:, word], group[word]), slot[word])
+            group = group.take(word)
+            self._learn(*rows_of(past.take(word, 1), group), kind.take(word) - group * SLOTS)
 
     def _learn(self, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
-        _, g, total = odds(self.w, bias, rows)
-        g /= total[:, None]
+        g = logits(self.w, bias, rows)
+        np.exp(g, out=g)
+        g /= (g @ np.ones(WIDTH, np.float32))[:, None]
         n = len(chosen)
-        g[np.arange(n), chosen] -= 1
+        g.ravel()[places(chosen)] -= 1
         self._move(*row_sums(g, rows.ravel()))
         if (bias == bias[0]).all():
-            self._move(bias[:1], g.sum(0, keepdims=True), np.array([n]))
+            self._move(bias[:1], np.ones((1, n), np.float32) @ g, np.array([n]))
         else:
             own = np.eye(CLASSES + 1, dtype=np.float32).take(bias - BIAS, 0)
-            often = own.sum(0)
+            often = np.bincount(bias - BIAS, minlength=CLASSES + 1)
             some = np.flatnonzero(often)
             self._move(BIAS + some, (own.T @ g)[some], often[some])
 
     def _move(self, at: np.ndarray, by: np.ndarray, often: np.ndarray) -> None:
         """One step of the rows ``at``, whose gradients sum to ``by`` over ``often`` tokens; a row's weights share a rate."""
-        by /= np.sqrt(often).astype(np.float32)[:, None]
         seen = self.seen.take(at)
-        seen += np.einsum("ij,ij->i", by, by) * np.float32(SPREAD)
+        seen += np.einsum("ij,ij->i", by, by) / often.astype(np.float32) * np.float32(SPREAD)
         self.seen[at] = seen
-        by *= (np.float32(RATE) / np.sqrt(seen))[:, None]
+        by *= (np.float32(RATE) / np.sqrt(seen * often.astype(np.float32)))[:, None]
         w = self.w.take(at, 0)
         w -= by
-        self.w[at] = np.clip(w, -LIMIT, LIMIT, out=w)
+        put_rows(self.w, at, np.clip(w, -LIMIT, LIMIT, out=w))
 
 
 def _gradients(shared: object):

@@ -386,6 +386,37 @@ def test_gradients_sum_by_row():
     assert at.tolist() == np.unique(rows).tolist() and often.tolist() == np.bincount(rows)[at].tolist() and np.allclose(sums, want[at], atol=1e-4)
 
 
+def test_a_step_holds_few_numbers_for_a_token():
+    """Time goes by what is moved; a row of gradients, one of weights and what sums them are enough."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    past = maxent.history(rng.zipf(1.3, 8192).astype(np.uint64) % np.uint64(3000) * np.uint64(0x9E3779B97F4A7C15), np.arange(8192) // 400)
+    kind = rng.integers(0, maxent.KINDS, 8192)
+    t = maxent.Trainer(np.zeros((maxent.ROWS, maxent.WIDTH), np.float32))
+    t.step(past, kind)
+    tracemalloc.start()
+    try:
+        t.step(past, kind)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 6.2 * 8192 * maxent.WIDTH * 4  # 6.75 rows of 32-bit numbers for each token before, 5.7 now
+
+
+def test_kinds_by_last_letters():
+    from citeweld.llm._words import U, chunks, mix
+
+    words = ["a", "Ab", "AB", "aB", "é", "x.", "Zz", "@[", "1" * 30]
+    (c,) = chunks(pa.array([" ".join(words), ""]), lower=True)
+    h, kind, text = maxent.tokens(c)
+    low = lambda b: b + 32 if 65 <= b <= 90 else b
+    ends = [(low(w.encode()[-1]), low(w.encode()[-2]) if len(w.encode()) > 1 else 0) for w in words]
+    group = [1 + int(mix(np.array([x * 256 + y], U))[0]) % (maxent.CLASSES - 1) for x, y in ends]
+    assert (kind // maxent.SLOTS).tolist() == [*group, 0, 0] and text.tolist() == [0] * 10 + [1]
+    assert (kind % maxent.SLOTS).tolist()[:9] == [int(x) % maxent.SLOTS for x in mix(c.hash + U(77))] and h[9] == h[10] == maxent.END
+
+
 def test_scores_by_plain_loops(spark, docs):
     """score is the sum over tokens of class, slot and word, each worked out alone from the weights and plain counts."""
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]

@@ -14,7 +14,7 @@ from citeweld.operators import evaluate, labels, predicates
 from citeweld.operators.candidates import candidates
 from citeweld.plans import linkage
 from citeweld.sources import ris, tables, writers
-from citeweld.spark import components
+from citeweld.spark import components, cut
 
 LIVER = "A long enough title about the liver: and a subtitle that is certainly longer than forty characters"
 
@@ -331,3 +331,62 @@ def test_titles_are_compared_by_places_as_one_by_one(spark):
     pairs = pa.table({"g": [0] * 600, "a": [1] * 600, "b": list(range(2, 602)), "as_reply": [False] * 600, "need": [0.5] * 600})
     own = pa.table({"h": [0] * 601, "side": [0] + [1] * 600, "pos": list(range(1, 602)), "titles": pa.array([["t"]] * 601, pa.list_(pa.string()))})
     assert run(pairs, own).num_rows == 600 and sum(groups) == 600
+
+
+@pytest.mark.parametrize("two_files", [False, True])
+def test_blocks_give_what_comparing_a_list_of_pairs_gives(spark, monkeypatch, two_files):
+    from citeweld.operators import blocks
+    from citeweld.plans import matching
+
+    rng = random.Random(11)
+    words = ["liver", "kidney", "trial", "of", "the", "long", "study", "cells", "growth", "in"]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (3, 8, 40, 60)]
+    some = lambda values, most: sorted({rng.choice(values) for _ in range(rng.randrange(most + 1))})
+    none, rows = matching.blank(), []
+    for pos in range(1, 401):
+        title = rng.choice(texts) + rng.choice(["", " a", " cells", " x y"])
+        rows.append((pos, rng.choice([0, 2000, 2001, 2002, 2004]), rng.choice([None, None, "1", "2"]), some(["d1", "d2", "d3"], 2), some(["i1", "i2"], 1), some(["s1", "s2"], 2), some(["Smith A; Doe J", "Smith B; Doe J", "Quist Z"], 2), some(["Lancet", "Lancet Oncology", "BMJ", "Gut"], 2), some([title, title[:-3], "other words"], 2), *(rng.random() < 0.1 for _ in range(5))))
+    names = "pos year page_start dois isbns issns all_authors journals titles several_pages is_reply is_phase is_cochrane is_trial".split()
+    kinds = "pos long, year int, page_start string, dois array<string>, isbns array<string>, issns array<string>, all_authors array<string>, journals array<string>, titles array<string>, several_pages boolean, is_reply boolean, is_phase boolean, is_cochrane boolean, is_trial boolean"
+    own = spark.createDataFrame(rows, kinds)
+    items = cut(own.select(*[(F.col(c) if c in names else none[c]).alias(c) for c in none]))
+    found = lambda df: sorted(map(tuple, df.select("a", "b", "plain", "as_reply").collect()))
+    wanted = found(predicates.compared(items, candidates(items, two_files)))
+    assert len(wanted) == len(set(wanted)) > 500
+    assert found(blocks.matches(items, two_files)) == wanted
+    # pieces and batches of a few rows
+    monkeypatch.setattr(blocks, "PIECE", 6_000)
+    monkeypatch.setattr(blocks, "CELLS", 50)
+    assert found(blocks.matches(items, two_files)) == wanted
+    assert found(blocks.matches(items, two_files, replies=False).where("plain").withColumn("as_reply", F.lit(None).cast("boolean"))) == [(a, b, p, None) for a, b, p, _ in wanted if p]
+
+
+def test_no_pair_of_candidates_is_moved(spark):
+    from citeweld.operators import blocks
+    from citeweld.plans import matching
+
+    own = {"pos": F.col("pos"), "year": F.lit(2000), "titles": F.array(F.lit("t"))}
+    none = matching.blank()
+    items = cut(spark.range(1, 501).withColumnRenamed("id", "pos").select(*[own.get(c, none[c]).alias(c) for c in none]))
+    assert candidates(items).count() == 500 * 499 // 2
+    assert blocks.dealt(items, False).count() == 500
+
+
+def test_starts_rule_out_only_what_is_unlike():
+    from citeweld.functions import similarity
+
+    rng = random.Random(8)
+    letters = "aabcdeeefghi jk lmnopqrstuvwxyz0"
+    base = ["".join(rng.choices(letters[:k], k=n)) for n in (300, 700, 2000) for k in (4, 12, 32)]
+    strings = [*base, *["".join(c if rng.random() > p else rng.choice(["", "x", c + c]) for c in rng.choice(base)) for p in (0.01, 0.03, 0.1, 0.2, 0.3) for _ in range(8)]]
+    strings += [s[i:] + s[:i] for s in base for i in (5, 150)] + ["q" + base[3] + "zz", "zz" + base[3] + "q", base[8][:900] + "7" + base[8], base[8] + "7" + base[8][:900]]
+    places, ruled = [similarity.Places(s) for s in strings], 0
+    for i in range(len(strings)):
+        for j in range(i):
+            n = min(len(strings[i]), len(strings[j])) - 1
+            exact = jaro_winkler(strings[i][:n], strings[j][:n])
+            for need in (0.7, 0.8, 0.89, 0.94, exact - 1e-6, exact):
+                got = similarity.cut_likeness(places[i], places[j], need)
+                assert (got > need) == (exact > need) or abs(exact - need) < 1e-12, (i, j, need)
+                ruled += got == 0.0
+    assert ruled > 1000

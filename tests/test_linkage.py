@@ -390,3 +390,19 @@ def test_starts_rule_out_only_what_is_unlike():
                 assert (got > need) == (exact > need) or abs(exact - need) < 1e-12, (i, j, need)
                 ruled += got == 0.0
     assert ruled > 1000
+
+
+@pytest.mark.parametrize("replies", [0, 1])
+def test_matches_of_replies_alone_are_kept_only_where_there_are_replies(spark, monkeypatch, replies):
+    from citeweld.plans import matching
+
+    none, counts, keep = matching.blank(), [], labels.cut
+    titles = F.element_at(F.array(*map(F.lit, ("liver growth", "zebra", "0123456", "quick fox"))), (F.col("pos") % 4 + 1).cast("int"))
+    own = {"pos": F.col("pos"), "id": F.when(F.col("pos") <= 2, -F.col("pos")).otherwise(F.col("pos")), "is_old": F.col("pos") <= 2, "year": F.lit(2000), "titles": F.array(titles), "all_authors": F.array(F.lit("Smith A")), "journals": F.array(F.lit("Gut")), "issns": F.array(F.lit("1")), "page_start": F.lit("5")}
+    own["is_reply"] = F.col("pos") <= replies
+    items = cut(spark.range(1, 5).withColumnRenamed("id", "pos").select(*[own.get(c, none[c]).alias(c) for c in none]))
+    monkeypatch.setattr(labels, "cut", lambda df: counts.append(df.count()) or keep(df))
+    found = {r.id: r.label for r in linkage.link(items, two_files=True).collect()}
+    monkeypatch.undo()
+    assert counts[0] == 6 * replies
+    assert found == (dict.fromkeys(found, "-1") if replies else dict.fromkeys(found))
